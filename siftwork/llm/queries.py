@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, chat, language_id, quality
+from siftwork.llm import bpe, chat, language_id, near_dedup, quality, suffix_dedup
 from siftwork.llm.common import held_out, table
 
 #: Where the tokenizer files are; callers may pass other paths to the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -30,6 +35,10 @@ def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out()))
@@ -41,7 +50,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, WORD_BPE, bpe.compile_lexicon(docs, WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_chat_format, op6_pu_quality, op9_language_id, op10_bpe_transducer)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op9_language_id, op10_bpe_transducer)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
