@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, chat, language_id, near_dedup, quality, suffix_dedup
+from siftwork.llm import additive_ann, bpe, chat, language_id, near_dedup, packing, quality, suffix_dedup
 from siftwork.llm.common import held_out, table
 
 #: Where the tokenizer files are; callers may pass other paths to the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id")
@@ -50,7 +59,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, WORD_BPE, bpe.compile_lexicon(docs, WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op9_language_id, op10_bpe_transducer)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op9_language_id, op10_bpe_transducer)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
