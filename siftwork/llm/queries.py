@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import additive_ann, bpe, chat, language_id, near_dedup, packing, quality, suffix_dedup
+from siftwork.llm import additive_ann, bpe, chat, language_id, near_dedup, packing, quality, suffix_dedup, token_counts
 from siftwork.llm.common import held_out, table
 
 #: Where the tokenizer files are; callers may pass other paths to the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.by_lines(F.col("text")).alias("parts"))
+    return token_counts.attribute(docs, BYTE_RANKS, rule="most")
 
 
 def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, WORD_BPE, bpe.compile_lexicon(docs, WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op9_language_id, op10_bpe_transducer)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op9_language_id, op10_bpe_transducer)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
