@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import put_shared, rows_by_bytes
+from siftwork.llm.common import most_frequent, put_shared, rows_by_bytes
 from siftwork.llm.transducer import Transducer, compile_words
 from siftwork.llm.word_bpe import WordBpe, word_bpe
 
@@ -77,9 +77,13 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, max_words: int = 50_000) ->
     """Compiles the most frequent words of docs and gives Spark the file; returns its name for SparkFiles.
 
     max_words bounds what the driver gathers and the size of the file. It never changes a result, since
-    words outside the lexicon are merged.
+    words outside the lexicon are merged. Words seen once are never in it.
     """
-    top = word_counts(docs, tokenizer).orderBy(F.desc("n"), "word").limit(max_words).collect()
+    counts = word_counts(docs, tokenizer).where("n > 1").persist()
+    try:
+        top = most_frequent(counts, max_words).collect()
+    finally:
+        counts.unpersist()
     bpe = word_bpe(tokenizer)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     data = compile_words({r["word"]: bpe.merge(r["word"]) for r in top})

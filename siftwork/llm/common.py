@@ -54,6 +54,23 @@ def hash_below(col: Column, share: float) -> Column:
     return F.xxhash64(col) <= F.lit(min(2**63 - 1, int((min(1.0, share) * 2 - 1) * 2**63)))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (n, ...) with the largest n, at most so many: whole classes of like n, as long as they fit.
+
+    Only the sizes of the classes, a few hundred, come to the driver. If already the first one is too
+    large, its rows are taken by n and then by their other columns.
+    """
+    level = F.floor(F.log2("n") * 8)
+    taken, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if taken + row["n"] > most:
+            break
+        taken, least = taken + row["n"], row["level"]
+    if least is None:
+        return counts.orderBy(F.desc("n"), *[c for c in counts.columns if c != "n" and counts.schema[c].dataType.typeName() != "map"]).limit(most)
+    return counts.where(level >= least)
+
+
 def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many text bytes (or one row), which bounds a task's memory."""
     for batch in batches:

@@ -34,11 +34,17 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        #: Pairs of ids, as one number, to their ranks; the id that each rank makes; a rank beyond all.
+        self.pairs = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.merged = [self.vocab[a + b] for a, b in merges]
+        self.none = len(merges)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.letters = byte_letters()
+        #: The id of each byte inside a word and at its end.
+        self.inner = [self.vocab[c] for c in byte_letters()]
+        self.last = [self.vocab[c + self.suffix] for c in byte_letters()]
         self.library = Tokenizer.from_file(path)
 
     def words(self, text: str) -> list[str]:
@@ -59,28 +65,25 @@ class WordBpe:
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one word, by repeated merging of the pair of lowest rank, all its places from the left."""
+        """Ids of one word: of its adjacent pairs the one of lowest rank, the leftmost of equals, merges until none can."""
         if word in self.special:
             return (self.special[word],)
-        parts = [self.letters[b] for b in word.encode()]
-        if not parts:
+        if not word:
             return ()
-        parts[-1] += self.suffix
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: ranks.get(p, none))
-            if best not in ranks:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return tuple(self.vocab[p] for p in parts)
+        coded = word.encode()
+        ids = [self.inner[b] for b in coded]
+        ids[-1] = self.last[coded[-1]]
+        get, none, merged = self.pairs.get, self.none, self.merged
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (low := min(ranks)) != none:
+            i = ranks.index(low)
+            ids[i] = merged[low]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return tuple(ids)
 
 
 @lru_cache(2)
