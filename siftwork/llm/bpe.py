@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -27,29 +30,41 @@ MEMO = 200_000
 
 
 class Encoder(dict):
-    """word -> (ids, ids as text, tokens as text); unseen words are looked up or merged once."""
+    """word -> its ids as little-endian 32-bit numbers; unseen words are looked up or merged once."""
 
     def __init__(self, bpe: WordBpe, lexicon: Transducer | None = None):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        known = self.lexicon.find(new) if self.lexicon is not None else [None] * len(new)
-        for word, ids in zip(new, known, strict=True):
-            ids = self.bpe.merge(word) if ids is None else ids
-            self[word] = (ids, " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids)))
+    def entry(self, ids: tuple[int, ...]):
+        return array("I", ids).tobytes()
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them known afterwards; a null text has none."""
         split = [self.bpe.words(t) if t else [] for t in texts]
         if len(self) > MEMO:
             self.clear()
-        self.learn(set(chain.from_iterable(split)))
+        new = list(set(chain.from_iterable(split)).difference(self))
+        known = self.lexicon.find(new) if self.lexicon is not None else [None] * len(new)
+        for word, ids in zip(new, known, strict=True):
+            self[word] = self.entry(self.bpe.merge(word) if ids is None else ids)
         return split
 
-    def ids(self, words: list[str]) -> list[int]:
-        return list(chain.from_iterable(self[w][0] for w in words))
+    def ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
+
+
+class Speller(Encoder):
+    """word -> (number of ids, ids as text, tokens as text)."""
+
+    def entry(self, ids: tuple[int, ...]):
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids))
+
+
+@lru_cache(2)
+def encoder(kind: type[Encoder], tokenizer: str, lexicon: str | None) -> Encoder:
+    """One for a Python worker, which keeps its words from task to task."""
+    return kind(word_bpe(tokenizer), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -100,10 +115,10 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> DataF
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(word_bpe(tokenizer), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
+        words_of = encoder(Encoder, tokenizer, lexicon)
         for batch in rows_by_bytes(batches, "text", 2 << 20):
-            split = encoder.words(batch.column(at).to_pylist())
-            ids = pa.array([encoder.ids(words) for words in split], pa.list_(pa.int32()))
+            rows = [np.frombuffer(words_of.ids(words), np.int32) for words in words_of.words(batch.column(at).to_pylist())]
+            ids = pa.array(rows, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     return kept.mapInArrow(run, kept.withColumn("ids", F.lit(None).cast("array<int>")).schema)
@@ -127,14 +142,14 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> Data
     """Per row of docs: doc_id, n_tokens, ids_sha256 (ids as text, joined by one space) and decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(word_bpe(tokenizer), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
+        words_of = encoder(Speller, tokenizer, lexicon)
         for batch in rows_by_bytes(batches, "text", 4 << 20):
             n, ids, decoded = [], [], []
-            for words in encoder.words(batch.column(1).to_pylist()):
-                known = [encoder[w] for w in words]
-                n.append(sum(len(x[0]) for x in known))
-                ids.append(hashlib.sha256(" ".join([x[1] for x in known]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x[2] for x in known]).encode()).hexdigest())
+            for words in words_of.words(batch.column(1).to_pylist()):
+                counts, numbers, tokens = zip(*map(words_of.__getitem__, words), strict=True) if words else ((), (), ())
+                n.append(sum(counts))
+                ids.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import additive_ann, bpe, chat, language_id, near_dedup, packing, quality, suffix_dedup, token_counts
+from siftwork.llm import additive_ann, bpe, chat, image_copies, language_id, near_dedup, packing, quality, suffix_dedup, token_counts
 from siftwork.llm.common import held_out, table
 
 #: Where the tokenizer files are; callers may pass other paths to the operators.
@@ -54,6 +54,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables hold no pictures; the media column is a preview drawn from each page's visible text."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("media_id"), image_copies.page_text(F.col("html")).alias("shown"))
+    classes = image_copies.copy_classes(image_copies.previews(pages, "shown").select("media_id", "image"))
+    return classes.select(F.col("media_id").alias("page_id"), "class_id", "n_links", "n_corners")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out()))
@@ -65,7 +72,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, WORD_BPE, bpe.compile_lexicon(docs, WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op9_language_id, op10_bpe_transducer)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op8_image_copies, op9_language_id, op10_bpe_transducer)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
