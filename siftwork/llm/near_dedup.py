@@ -8,7 +8,8 @@ the weighted Jaccard similarity. Bands of components give candidates, the multis
 
 Equal texts are one node. Buckets of few nodes are compared pair by pair. In larger ones every member is
 compared with one pivot, the node that shares most buckets with others, such as the source of a group of
-copies; further rounds take the next pivots for members still apart, until a round finds no link.
+copies. Where that leaves a bucket in several classes, its members are sorted by the rest of their
+signatures, and each is compared with those of other classes near it, if signatures are alike enough.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
+#: In sorted buckets: how many following rows a row is compared with, and from what share of equal components on.
+REACH, ALIKE = 64, 0.68
+#: Rows of a sorted run that are compared in one task.
+RUN = 2048
 
 
 def canonical(text: str | None) -> str:
@@ -109,17 +115,19 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the canonical text, null without words), bands."""
+    """doc_id, node (digest of the canonical text, null without words), bands, marks (16 bits of each component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "text", 4 << 20):
             texts = [canonical(t) for t in batch.column(1).to_pylist()]
-            keys = band_keys(signatures(*shingles(texts), len(texts)))
+            signature = signatures(*shingles(texts), len(texts))
+            keys = band_keys(signature)
+            marks = [row.tobytes() for row in (mix(signature.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)]
             nodes = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), bands], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), bands, pa.array(marks, pa.binary())], names=["doc_id", "node", "bands", "marks"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, bands array<long>, marks binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -154,49 +162,28 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     null doc_id take part by their text; a class of such rows only has a null class_id. Repeated rows are copies.
     """
     signed = stored(_signed(docs), "signed")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    spread = stored(nodes.select("node", F.explode("bands").alias("bucket")), "spread")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(spread.join(sizes, "bucket"), "buckets")
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = signed.join(rank.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # Of rows that share a doc_id, those with the wanted text; a digest tells.
-    texts = _of_node(texts.join(wanted, "doc_id"))
+    wanted = nodes.join(rank.select("node"), "node", "left_semi").select("node", "doc_id")
+    # Rows may share a doc_id: of each, those with the wanted text stay.
+    texts = _of_node(docs.select(F.col("doc_id").cast("long").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))))
     texts = stored(texts.dropDuplicates(["node"]), "texts")
 
     few = buckets.where(F.col("n") <= SMALL).select("bucket", "node")
     pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = stored(buckets.where(F.col("n") > SMALL).join(rank, "node").select("bucket", "node", "rank"), "large")
-    many = not large.isEmpty()
-    used = None
-    links = tested = None
-    while True:
-        if many:
-            best = large if used is None else large.join(used, ["bucket", "node"], "left_anti")
-            if links is not None:
-                groups = components(links)
-                placed = stored(large.join(groups, "node", "left").select("bucket", "node", "rank", F.coalesce("component", "node").alias("component")), "placed")
-                apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-                best = best.join(apart, "bucket", "left_semi")
-            pivots = best.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("pivot"))
-            if links is None:
-                met = large.join(pivots, "bucket").where("node <> pivot")
-            else:
-                home = placed.select(F.col("bucket"), F.col("node").alias("pivot"), F.col("component").alias("home"))
-                met = placed.join(pivots.join(home, ["bucket", "pivot"]), "bucket").where("component <> home")
-            met = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            turned = pivots.select("bucket", F.col("pivot").alias("node"))
-            used = stored(turned if used is None else used.unionByName(turned), "used")
-            pairs = pairs.unionByName(met) if links is None else met
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs, texts, similarity), "links")
-        more = not found.isEmpty()
-        links = found if links is None else links.unionByName(found) if more else links
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not many or not more:
-            break
+    large = stored(buckets.where(F.col("n") > SMALL).join(rank, "node").select("bucket", "band", "node", "rank"), "large")
+    pivots = large.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("pivot"))
+    starred = large.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    links = stored(_verified(pairs.unionByName(starred).distinct(), texts, similarity), "links")
+    if not large.isEmpty():
+        placed = large.join(components(links), "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        rest = placed.join(apart, "bucket", "left_semi").join(nodes.select("node", "marks"), "node")
+        near = _neighbours(rest, similarity)
+        links = links.unionByName(stored(_verified(near, texts, similarity), "links"))
     groups = components(links)
     whole = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class_node"))
     names = whole.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
@@ -204,6 +191,52 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", "class_node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def _neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, band, node, component, marks) that are near in the order of their bucket.
+
+    The order is by the components after the band's own. Rows are numbered in that order over all buckets
+    and dealt in runs of equal length, each with the beginning of the next, so no bucket is in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begin = 2 * ROWS * (F.col("band") + 1) + 1
+    order = F.substring(F.concat("marks", "marks"), begin, F.lit(2 * 6 * ROWS))
+    dealt = rows.select("bucket", order.alias("order"), "node", "component", "marks").repartitionByRange(n, "bucket", "order").sortWithinPartitions("bucket", "order", "node")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            place = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "node", "component", "marks")), pa.array([part] * batch.num_rows, pa.int32()), place], names=["bucket", "node", "component", "marks", "part", "place"])
+
+    schema = "bucket long, node binary, component binary, marks binary, part int, place long"
+    numbered = stored(dealt.mapInArrow(number, schema), "sorted")
+    # One small row for each partition.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = numbered.join(F.broadcast(offsets), "part").withColumn("place", F.col("place") + F.col("before"))
+    run, offset = F.floor(F.col("place") / RUN), F.col("place") % RUN
+    shared = F.when(offset < REACH, F.array(run, run - 1)).otherwise(F.array(run))
+    limit = ALIKE + similarity - SIMILARITY
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        bucket, place = rows.column("bucket").to_numpy(), rows.column("place").to_numpy()
+        nodes = np.array(rows.column("node").to_pylist(), object)
+        group = np.unique(np.array(rows.column("component").to_pylist(), "S16"), return_inverse=True)[1]
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint16).reshape(len(nodes), -1)
+        own = place < (place[0] // RUN + 1) * RUN if len(place) else place  # the others are compared in their own run
+        found = set()
+        for d in range(1, min(REACH, len(nodes) - 1) + 1):
+            at = np.flatnonzero((bucket[:-d] == bucket[d:]) & (group[:-d] != group[d:]) & own[:-d])
+            alike = at[(marks[at] == marks[at + d]).mean(axis=1) >= limit]
+            found.update((min(nodes[i], nodes[i + d]), max(nodes[i], nodes[i + d])) for i in alike.tolist())
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    runs = placed.select("bucket", "node", "component", "marks", "place", F.explode(shared).alias("run")).where("run >= 0")
+    return runs.groupBy("run").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def _of_node(rows: DataFrame) -> DataFrame:
     """node, text of those rows (text, node) whose text has that digest."""
 
