@@ -32,8 +32,7 @@ def is_private_v4(host: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-@F.pandas_udf("boolean")
-def _is_private_v6(hosts: pd.Series) -> pd.Series:
+def _inside_v6(hosts: pd.Series) -> pd.Series:
     nets = [ipaddress.ip_network(n) for n in PRIVATE_V6]
 
     def inside(host: str | None) -> bool:
@@ -48,7 +47,8 @@ def _is_private_v6(hosts: pd.Series) -> pd.Series:
 
 def is_private(host: Column) -> Column:
     """For both versions. Only hosts with a colon reach Python; Spark has no function for IPv6 networks."""
-    return F.when(F.coalesce(F.instr(host, ":") > 0, F.lit(False)), _is_private_v6(F.when(F.instr(host, ":") > 0, host))).otherwise(is_private_v4(host))
+    inside_v6 = F.pandas_udf(_inside_v6, "boolean")
+    return F.when(F.coalesce(F.instr(host, ":") > 0, F.lit(False)), inside_v6(F.when(F.instr(host, ":") > 0, host))).otherwise(is_private_v4(host))
 
 
 def passes_gate(path: Column, proxy_header: Column, private: Column) -> Column:
