@@ -25,13 +25,16 @@ from siftwork.llm.common import most_frequent, put_shared, rows_by_bytes
 from siftwork.llm.transducer import Transducer, compile_words
 from siftwork.llm.word_bpe import WordBpe, word_bpe
 
-#: A worker forgets its words beyond this number; it then looks them up again.
+#: Words that a worker counts before it sends them on.
 MEMO = 200_000
 
 
 class Encoder(dict):
     """word -> its ids as little-endian 32-bit numbers; unseen words are looked up or merged once."""
 
+    #: Beyond so many words it forgets them, and looks them up again.
+    most = 500_000
+
     def __init__(self, bpe: WordBpe, lexicon: Transducer | None = None):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
@@ -39,15 +42,18 @@ class Encoder(dict):
     def entry(self, ids: tuple[int, ...]):
         return array("I", ids).tobytes()
 
+    def __missing__(self, word: str):
+        found = self[word] = self.entry(self.bpe.merge(word))
+        return found
+
     def words(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards; a null text has none."""
+        """The words of each text; a null text has none. Those of the lexicon are looked up together."""
         split = [self.bpe.words(t) if t else [] for t in texts]
-        if len(self) > MEMO:
+        if len(self) > self.most:
             self.clear()
-        new = list(set(chain.from_iterable(split)).difference(self))
-        known = self.lexicon.find(new) if self.lexicon is not None else [None] * len(new)
-        for word, ids in zip(new, known, strict=True):
-            self[word] = self.entry(self.bpe.merge(word) if ids is None else ids)
+        if self.lexicon is not None:
+            new = list(set(chain.from_iterable(split)).difference(self))
+            self.update((word, self.entry(ids)) for word, ids in zip(new, self.lexicon.find(new), strict=True) if ids is not None)
         return split
 
     def ids(self, words: list[str]) -> bytes:
@@ -57,6 +63,8 @@ class Encoder(dict):
 class Speller(Encoder):
     """word -> (number of ids, ids as text, tokens as text)."""
 
+    most = 250_000
+
     def entry(self, ids: tuple[int, ...]):
         return len(ids), " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids))
 
