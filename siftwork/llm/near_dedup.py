@@ -29,10 +29,12 @@ from siftwork.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: two texts of similarity 0.8 are missed with probability (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
+#: Components of a signature; those beyond the bands sharpen the estimate of similarity only.
+COMPONENTS = 128
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
 #: In sorted buckets: how many following rows a row is compared with, and from what share of equal components on.
-REACH, ALIKE = 64, 0.68
+REACH, ALIKE = 48, 0.7
 #: Rows of a sorted run that are compared in one task.
 RUN = 2048
 
@@ -64,7 +66,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return ByteHash(data).slices(starts[at], ends[last]), of
 
 
-def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
+def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, m: int = COMPONENTS) -> np.ndarray:
     """BagMinHash signatures (n, m) of the multisets of hashes; an owner without hashes has infinities."""
     ids = (owner.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))
     ids.sort()
@@ -107,7 +109,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, m: int = BANDS * R
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    values = signature.view(np.uint64).reshape(len(signature), bands, -1)
+    values = np.ascontiguousarray(signature[:, : bands * ROWS]).view(np.uint64).reshape(len(signature), bands, ROWS)
     key = np.zeros(values.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
     for i in range(values.shape[2]):
         key = mix(key ^ values[:, :, i])
