@@ -86,21 +86,20 @@ def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 <<
             yield batch.slice(start)
 
 
-#: Odd multiplier of the polynomial hash modulo 2**64, and its inverse.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Odd multipliers of two polynomial hashes modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse for at least n + 1 places."""
-    return _power_table(1 << max(12, int(n).bit_length()))
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for at least n + 1 places."""
+    return _power_table(1 << max(12, int(n).bit_length()), base)
 
 
-@lru_cache(4)
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(6)
+def _power_table(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for base in (BASE, UNBASE):
-        p = np.full(n + 1, base, np.uint64)
+    for b in (base, pow(base, -1, 2**64)):
+        p = np.full(n + 1, b, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p))
     return out[0], out[1]
@@ -119,8 +118,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class ByteHash:
     """Hashes of any slices of one byte buffer after one pass over it; equal bytes give equal hashes in any buffer."""
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = _powers(len(data))
+    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+        self.up, self.down = _powers(len(data), base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
 

@@ -12,7 +12,7 @@ in three levels, each an exchange in which blocks send fingerprints and learn wh
 
 A block sends each fingerprint once, sorted, cut into cells by leading bits, so a string that is in every
 document weighs no more in a task than its number of blocks. Answers are a byte for each fingerprint.
-Equality across blocks rests on 64-bit fingerprints of whole strings.
+Equality across blocks rests on two independent 64-bit fingerprints of whole strings.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ByteHash, mix, shared_dir, stored
+from siftwork.llm.common import BASES, ByteHash, mix, shared_dir, stored
 from siftwork.llm.suffix_sort import deep_shallow
 
 LENGTH, ANCHOR, STEP = 200, 100, 16
@@ -67,7 +67,7 @@ class Block:
         anchor = min(ANCHOR, length)
         reach = length - anchor + 1
         self.window = np.zeros(0, np.int64)
-        self.hash = ByteHash(self.data)
+        self.hash, self.second = ByteHash(self.data), ByteHash(self.data, BASES[1])
         if len(self.data) >= length:
             valid = np.ones(len(self.data) - length + 1, bool)
             for end in self.ends[:-1].tolist():  # windows that would cross into the next text
@@ -106,7 +106,7 @@ class Block:
         high = np.minimum(last + self.length, self.ends[text])
         core = self.hash.slices(last, last - STEP + 1 + self.length) + step.astype(np.uint64)
         shape = ((a - low) * 1024 + (high - a)).astype(np.uint64)
-        sent, self._row, self._count = _unique(mix(core), mix(self.hash.slices(low, high) ^ mix(shape)))
+        sent, self._row, self._count = _unique(mix(core), mix(self.hash.slices(low, high) ^ mix(shape)), self.second.slices(low, high))
         return sent
 
     def learn2(self, answer: np.ndarray) -> None:
@@ -126,7 +126,7 @@ class Block:
         class_of = np.empty(len(starts), np.int64)
         class_of[order] = classes
         size = np.bincount(classes, minlength=len(at))
-        sent, row, _ = _unique(self.hash.slices(at, at + self.length))
+        sent, row, _ = _unique(self.hash.slices(at, at + self.length), self.second.slices(at, at + self.length))
         self._row, self._count = row[class_of], size[class_of]
         return sent
 
@@ -145,12 +145,12 @@ class Block:
 
 def _answer1(group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     """1 for fingerprints that more than one block sent."""
-    _, row, count = _unique(keys[0])
+    _, row, count = _unique(*keys)
     return (count[row] > 1).astype(np.uint8)
 
 
 def _answer2(group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    (core, _), row, count = _unique(*keys)
+    (core, *_), row, count = _unique(*keys)
     _, of_core, shapes = _unique(core)
     several = (shapes[of_core] > 1)[row]
     many = (count > 1)[row]
@@ -159,7 +159,7 @@ def _answer2(group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return np.select([many & ~several, many & first, many, several], [1, 3, 4, 2], 0).astype(np.uint8)
 
 
-ANSWERS: dict[int, tuple[int, Callable]] = {1: (1, _answer1), 2: (2, _answer2), 3: (1, _answer1)}
+ANSWERS: dict[int, tuple[int, Callable]] = {1: (1, _answer1), 2: (3, _answer2), 3: (2, _answer1)}
 _SENT = "cell long, block long, level int, keys binary"
 _ANSWERED = "block long, level int, cell long, answer binary"
 
@@ -182,7 +182,7 @@ def _read_answers(answers: pa.Table) -> dict[int, np.ndarray]:
 def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
     """Texts in a fixed order, and the order: by id, then text, so that every level numbers them alike."""
     texts = [(t or "").encode("utf-8", "replace") for t in rows.column("text").to_pylist()]
-    ids = rows.column("row").to_pylist()
+    ids = rows.column("__row").to_pylist()
     order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])), np.int64)
     return [texts[i] for i in order.tolist()], order
 
@@ -235,15 +235,15 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks, bits = max(1, math.ceil(total / BLOCK)), max(6, math.ceil(math.log2(max(1, total / CELL))))
-    dealt = docs.withColumn("row", F.xxhash64(*docs.columns)).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    dealt = docs.withColumn("__row", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)))
     kept = _by_block(dealt)
     told = None
     for level in (1, 2, 3):
         first_time, again = _ask(level, bits, length)
         if told is None:
-            sent = kept.groupBy("block").applyInArrow(first_time, _SENT)
+            sent = kept.groupBy("__block").applyInArrow(first_time, _SENT)
         else:
-            sent = kept.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(again, _SENT)
+            sent = kept.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(again, _SENT)
         answers = stored(sent.groupBy("cell").applyInArrow(_tell(level), _ANSWERED), f"answers{level}")
         told = answers if told is None else told.unionByName(answers)
 
@@ -255,9 +255,9 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
         removed: list = [None] * len(texts)
         for i, f in zip(order.tolist(), flags, strict=True):
             removed[i] = f
-        return out(rows.drop_columns(["row", "block"]), removed)
+        return out(rows.drop_columns(["__row", "__block"]), removed)
 
-    return kept.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    return kept.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
 
 
 def _by_block(dealt: DataFrame) -> DataFrame:
@@ -265,8 +265,8 @@ def _by_block(dealt: DataFrame) -> DataFrame:
     spark = dealt.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"siftwork_blocks_{uuid.uuid4().hex}"
-    writer = dealt.repartition(n, "block").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(n, "block").sortBy("block").saveAsTable(name)
+    writer = dealt.repartition(n, "__block").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(n, "__block").sortBy("__block").saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and rows still reads them
     return rows
