@@ -32,7 +32,7 @@ from siftwork.llm.suffix_sort import deep_shallow
 
 LENGTH, ANCHOR, STEP = 200, 100, 16
 #: Text bytes of a block, and of the text that shares a cell of fingerprints.
-BLOCK, CELL = 1 << 20, 8 << 20
+BLOCK, CELL = 1 << 20, 2 << 20
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -234,7 +234,7 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
         raise ValueError(f"length must be {ANCHOR + STEP} at least")
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks, bits = max(1, math.ceil(total / BLOCK)), max(6, math.ceil(math.log2(max(1, total / CELL))))
+    blocks, bits = max(1, math.ceil(total / BLOCK)), max(8, math.ceil(math.log2(max(1, total / CELL))))
     dealt = docs.withColumn("__row", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)))
     kept = _by_block(dealt)
     told = None
