@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import language_id, near_dedup, packing, quality, suffix_dedup
-from siftwork.llm.common import stored, table
+from siftwork.llm.common import held_out, stored, table
 from siftwork.llm.queries import WORD_BPE
 
 #: A language is accepted from this posterior on.
@@ -18,14 +18,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a language of at least LEAST_CERTAIN go."""
-    model = language_id.fit(docs)
+    model = language_id.fit(docs.where(~held_out()))
     scored = language_id.identify(docs, model)
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
