@@ -34,7 +34,7 @@ COMPONENTS = 128
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
 #: In sorted buckets: how many following rows a row is compared with, and from what share of equal components on.
-REACH, ALIKE = 48, 0.7
+REACH, ALIKE = 64, 0.7
 #: Rows of a sorted run that are compared in one task.
 RUN = 2048
 
