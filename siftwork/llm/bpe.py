@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,21 +38,20 @@ class Encoder(dict):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
 
-    def entry(self, ids: tuple[int, ...]):
-        return array("I", ids).tobytes()
-
-    def __missing__(self, word: str):
-        found = self[word] = self.entry(self.bpe.merge(word))
-        return found
+    def entry(self, ids: bytes):
+        return ids
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text; a null text has none. Those of the lexicon are looked up together."""
+        """The words of each text, all of them known afterwards; a null text has none."""
         split = [self.bpe.words(t) if t else [] for t in texts]
         if len(self) > self.most:
             self.clear()
+        new = list(set(chain.from_iterable(split)).difference(self))
         if self.lexicon is not None:
-            new = list(set(chain.from_iterable(split)).difference(self))
-            self.update((word, self.entry(ids)) for word, ids in zip(new, self.lexicon.find(new), strict=True) if ids is not None)
+            found = self.lexicon.find(new)
+            self.update((word, self.entry(ids)) for word, ids in zip(new, found, strict=True) if ids is not None)
+            new = [word for word, ids in zip(new, found, strict=True) if ids is None]
+        self.update((word, self.entry(ids)) for word, ids in zip(new, self.bpe.merge(new), strict=True))
         return split
 
     def ids(self, words: list[str]) -> bytes:
@@ -65,8 +63,9 @@ class Speller(Encoder):
 
     most = 250_000
 
-    def entry(self, ids: tuple[int, ...]):
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids))
+    def entry(self, ids: bytes):
+        numbers = memoryview(ids).cast("I").tolist()
+        return len(numbers), " ".join(map(str, numbers)), " ".join(map(self.bpe.token.__getitem__, numbers))
 
 
 @lru_cache(2)
@@ -107,9 +106,9 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, max_words: int = 50_000) ->
         top = most_frequent(counts, max_words).collect()
     finally:
         counts.unpersist()
-    bpe = word_bpe(tokenizer)
+    words = [r["word"] for r in top]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    data = compile_words({r["word"]: bpe.merge(r["word"]) for r in top})
+    data = compile_words(dict(zip(words, word_bpe(tokenizer).merge(words), strict=True)))
     docs.sparkSession.sparkContext.addFile(put_shared(docs.sparkSession, name, data))
     return name
 

@@ -41,8 +41,8 @@ def _minimal(words: list[bytes]) -> list[dict[int, int] | tuple]:
     return states
 
 
-def compile_words(entries: dict[str, tuple[int, ...]]) -> bytes:
-    """The file of a lexicon: word -> ids. The empty word is left out."""
+def compile_words(entries: dict[str, bytes]) -> bytes:
+    """The file of a lexicon: word -> ids as little-endian 32-bit numbers. The empty word is left out."""
     words = sorted(w.encode() for w in entries if w)
     states = _minimal(words)
     behind = np.zeros(len(states), np.int64)
@@ -65,8 +65,8 @@ def compile_words(entries: dict[str, tuple[int, ...]]) -> bytes:
         np.array(targets, np.int32)[at],
         np.array(skips, np.int32)[at],
         np.array([s[0] for s in states], np.uint8),
-        np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32),
-        np.array([i for x in ids for i in x], np.int32),
+        np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32),
+        np.frombuffer(b"".join(ids), np.int32),
     ]
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
     return MAGIC + head + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
@@ -91,7 +91,7 @@ class Transducer:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
-    def find(self, words: list[str]) -> list[tuple[int, ...] | None]:
+    def find(self, words: list[str]) -> list[bytes | None]:
         """Ids of each word, None for those not in the lexicon; all words walk the automaton in step, byte by byte."""
         coded = [w.encode() for w in words]
         lengths = np.array([len(w) for w in coded], np.int64)
@@ -113,4 +113,4 @@ class Transducer:
             ended = lengths[alive] == depth
             found[alive[ended]] = self.final[state[alive[ended]]] > 0
             alive = alive[~ended]
-        return [tuple(self.ids[self.starts[k] : self.starts[k + 1]].tolist()) if ok else None for k, ok in zip(number.tolist(), found.tolist(), strict=True)]
+        return [self.ids[self.starts[k] : self.starts[k + 1]].tobytes() if ok else None for k, ok in zip(number.tolist(), found.tolist(), strict=True)]

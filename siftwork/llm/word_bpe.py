@@ -10,6 +10,7 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: The contractions, letters, single digits and other signs of the tokenizer's split pattern,
@@ -27,7 +28,7 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """Splits texts into words as the tokenizer does and merges single words into ids."""
+    """Splits texts into words as the tokenizer does and merges words into ids."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -35,16 +36,20 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: Pairs of ids, as one number, to their ranks; the id that each rank makes; a rank beyond all.
-        self.pairs = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(merges)}
-        self.merged = [self.vocab[a + b] for a, b in merges]
-        self.none = len(merges)
+        #: Pairs of ids, as one number, in order; their ranks; the id that each rank makes; a rank beyond all.
+        keys = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in merges], np.int64)
+        self.rank_of = np.argsort(keys, kind="stable")
+        self.keys, self.none = keys[self.rank_of], len(merges)
+        self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        made = {int(m): i for i, m in enumerate(self.merged)}
+        if any(max(made.get(self.vocab[x], -1) for x in pair) >= i for i, pair in enumerate(merges)):
+            raise ValueError(f"{path}: a merge comes before the merges of its parts")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         #: The id of each byte inside a word and at its end.
-        self.inner = [self.vocab[c] for c in byte_letters()]
-        self.last = [self.vocab[c + self.suffix] for c in byte_letters()]
+        self.inner = np.array([self.vocab[c] for c in byte_letters()], np.int64)
+        self.last = np.array([self.vocab[c + self.suffix] for c in byte_letters()], np.int64)
         self.library = Tokenizer.from_file(path)
 
     def words(self, text: str) -> list[str]:
@@ -64,26 +69,55 @@ class WordBpe:
         normal = self.library.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one word: of its adjacent pairs the one of lowest rank, the leftmost of equals, merges until none can."""
-        if word in self.special:
-            return (self.special[word],)
-        if not word:
-            return ()
-        coded = word.encode()
-        ids = [self.inner[b] for b in coded]
-        ids[-1] = self.last[coded[-1]]
-        get, none, merged = self.pairs.get, self.none, self.merged
-        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (low := min(ranks)) != none:
-            i = ranks.index(low)
-            ids[i] = merged[low]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
-        return tuple(ids)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, `none` for those that never merge."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], self.none)
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit numbers; all words are merged in step.
+
+        A round merges in every word the pair of lowest rank, at all its places from the left. Since a
+        merge only makes pairs of higher rank, that equals merging one place at a time.
+        """
+        coded = [w.encode() if w not in self.special else b"" for w in words]
+        size = np.array([len(c) for c in coded], np.int64)
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        word = np.repeat(np.arange(len(words)), size)
+        ids, ends = self.inner[data], (np.cumsum(size) - 1)[size > 0]
+        ids[ends] = self.last[data[ends]]
+        rank = np.full(len(ids), self.none)
+        rank[:-1] = np.where(word[:-1] == word[1:], self._ranks(ids[:-1], ids[1:]), self.none)
+        ended: list[tuple[np.ndarray, np.ndarray]] = [(word[:0], ids[:0])]
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            over = low == self.none
+            if over.any():
+                ended.append((word[over], ids[over]))
+                ids, word, rank, low = ids[~over], word[~over], rank[~over], low[~over]
+            at = np.flatnonzero(rank == low)
+            if not len(at):
+                break
+            # Of places that overlap, as in a run of one letter, every second one from the left.
+            new = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            run = np.arange(len(at))
+            at = at[(run - np.maximum.accumulate(np.where(new, run, 0))) % 2 == 0]
+            ids[at] = self.merged[rank[at]]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, word, rank = ids[kept], word[kept], rank[kept]
+            at -= np.arange(len(at))
+            for p in (at, at[at > 0] - 1):
+                more = p + 1 < len(ids)
+                q = np.where(more, p + 1, p)
+                rank[p] = np.where(more & (word[p] == word[q]), self._ranks(ids[p], ids[q]), self.none)
+        word, ids = (np.concatenate([e[i] for e in ended]) for i in (0, 1))
+        order = np.argsort(word, kind="stable")
+        blob = ids[order].astype("<u4").tobytes()
+        bounds = (4 * np.searchsorted(word[order], np.arange(len(words) + 1))).tolist()
+        return [blob[a:b] if w not in self.special else self.special[w].to_bytes(4, "little") for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(2)
