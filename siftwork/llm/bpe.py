@@ -11,7 +11,6 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,14 +24,14 @@ from siftwork.llm.transducer import Transducer, compile_words
 from siftwork.llm.word_bpe import WordBpe, word_bpe
 
 #: Words that a worker counts before it sends them on.
-MEMO = 200_000
+MEMO = 150_000
 
 
 class Encoder(dict):
     """word -> its ids as little-endian 32-bit numbers; unseen words are looked up or merged once."""
 
     #: Beyond so many words it forgets them, and looks them up again.
-    most = 500_000
+    most = 150_000
 
     def __init__(self, bpe: WordBpe, lexicon: Transducer | None = None):
         super().__init__()
@@ -61,16 +60,15 @@ class Encoder(dict):
 class Speller(Encoder):
     """word -> (number of ids, ids as text, tokens as text)."""
 
-    most = 250_000
+    most = 100_000
 
     def entry(self, ids: bytes):
         numbers = memoryview(ids).cast("I").tolist()
         return len(numbers), " ".join(map(str, numbers)), " ".join(map(self.bpe.token.__getitem__, numbers))
 
 
-@lru_cache(2)
 def encoder(kind: type[Encoder], tokenizer: str, lexicon: str | None) -> Encoder:
-    """One for a Python worker, which keeps its words from task to task."""
+    """One for a task: what it remembers is let go with the task."""
     return kind(word_bpe(tokenizer), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
 
 
@@ -150,7 +148,7 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = encoder(Speller, tokenizer, lexicon)
-        for batch in rows_by_bytes(batches, "text", 4 << 20):
+        for batch in rows_by_bytes(batches, "text", 2 << 20):
             n, ids, decoded = [], [], []
             for words in words_of.words(batch.column(1).to_pylist()):
                 counts, numbers, tokens = zip(*map(words_of.__getitem__, words), strict=True) if words else ((), (), ())

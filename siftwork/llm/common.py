@@ -71,7 +71,7 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(level >= least)
 
 
-def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many text bytes (or one row), which bounds a task's memory."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))

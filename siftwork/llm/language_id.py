@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Character n-gram orders, longest first.
 ORDERS = (4, 3, 2, 1)
 #: A worker forgets its words beyond this number; it then scores them again.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 60_000, max_ng
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in rows_by_bytes(batches, "text"):
+        for batch in rows_by_bytes(batches, "text", 2 << 20):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, k in Counter(WORD.findall(text.lower())).items():
                     counts[lang, word] += k
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         rows = _Scores(model) if model else None
-        for batch in rows_by_bytes(batches, "text"):
+        for batch in rows_by_bytes(batches, "text", 2 << 20):
             found, scores = [], []
             for text in batch.column(text_at).to_pylist():
                 words = WORD.findall(text.lower()) if text and rows is not None else ()

@@ -120,7 +120,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, node (digest of the canonical text, null without words), bands, marks (16 bits of each component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_by_bytes(batches, "text", 4 << 20):
+        for batch in rows_by_bytes(batches, "text", 1 << 20):
             texts = [canonical(t) for t in batch.column(1).to_pylist()]
             signature = signatures(*shingles(texts), len(texts))
             keys = band_keys(signature)
@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """Those pairs (a, b) whose shingle multisets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_by_bytes(batches, "text_a", 2 << 20):
+        for batch in rows_by_bytes(batches, "text_a", 1 << 20):
             both = [canonical(t) for c in ("text_a", "text_b") for t in batch.column(c).to_pylist()]
             hashes, owner = shingles(both)
             edges = np.searchsorted(owner, np.arange(len(both) + 1))
@@ -243,7 +243,7 @@ def _of_node(rows: DataFrame) -> DataFrame:
     """node, text of those rows (text, node) whose text has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_by_bytes(batches, "text"):
+        for batch in rows_by_bytes(batches, "text", 2 << 20):
             same = [hashlib.blake2b(canonical(t).encode("utf-8", "replace"), digest_size=16).digest() == node for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
@@ -265,7 +265,7 @@ def _with_node(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_by_bytes(batches, "text"):
+        for batch in rows_by_bytes(batches, "text", 2 << 20):
             texts = [canonical(t) for t in batch.column(at).to_pylist()]
             nodes = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "__node"])
