@@ -169,10 +169,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(spread.join(sizes, "bucket"), "buckets")
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
-    wanted = nodes.join(rank.select("node"), "node", "left_semi").select("node", "doc_id")
-    # Rows may share a doc_id: of each, those with the wanted text stay.
-    texts = _of_node(docs.select(F.col("doc_id").cast("long").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))))
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    # Copies are dropped in each task before texts are shuffled, once, by their digests.
+    named = _with_node(docs.select("text")).where("__node IS NOT NULL").select(F.col("__node").alias("node"), "text").dropDuplicates(["node"])
+    texts = stored(named.join(rank.select("node"), "node", "left_semi"), "texts")
 
     few = buckets.where(F.col("n") <= SMALL).select("bucket", "node")
     pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
@@ -239,17 +238,6 @@ def _neighbours(rows: DataFrame, similarity: float) -> DataFrame:
     return runs.groupBy("run").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def _of_node(rows: DataFrame) -> DataFrame:
-    """node, text of those rows (text, node) whose text has that digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_by_bytes(batches, "text", 2 << 20):
-            same = [hashlib.blake2b(canonical(t).encode("utf-8", "replace"), digest_size=16).digest() == node for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return rows.select("node", "text").mapInArrow(run, "node binary, text string")
-
-
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: all without words, and of each class the first by doc_id (nulls last), then text."""
     classes = near_classes(docs, similarity).where("node IS NOT NULL").select("doc_id", "class_node", "node").dropDuplicates()
@@ -262,6 +250,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _with_node(docs: DataFrame) -> DataFrame:
+    """Adds __node, the digest of the canonical text, null without words."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
