@@ -87,7 +87,8 @@ class Block:
         self.repeated = np.zeros(len(self.window), bool)
 
     def level1(self) -> list[np.ndarray]:
-        sent, self._row, self._count = _unique(self.grams[self.anchors])
+        # Anchors are the least of their hashes; mixed again, they spread over all cells.
+        sent, self._row, self._count = _unique(mix(self.grams[self.anchors]))
         return sent
 
     def learn1(self, answer: np.ndarray) -> None:
