@@ -25,6 +25,12 @@ ORDERS = (4, 3, 2, 1)
 MEMO = 100_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case; none if it has no letter, as texts of superscripts or fractions have not."""
+    words = WORD.findall(text.lower()) if text else []
+    return words if any(w.isascii() for w in words) or any(c.isalpha() for w in words for c in w) else []
+
+
 def grams(word: str, order: int) -> list[str]:
     marked = f"^{word}$" if order > 1 else word
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
@@ -149,7 +155,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         for batch in rows_by_bytes(batches, "text", 2 << 20):
             found, scores = [], []
             for text in batch.column(text_at).to_pylist():
-                words = WORD.findall(text.lower()) if text and rows is not None else ()
+                words = words_of(text) if rows is not None else ()
                 if not words:
                     found.append("und")
                     scores.append(0.0)

@@ -194,10 +194,10 @@ def test_language_id_backs_off_to_shorter_grams(spark):
     docs = spark.createDataFrame([("der hund und die katze " * 5, "de"), ("the dog and the cat sat " * 5, "en"), (None, "en"), ("xx", None)], "text string, lang string")
     model = language_id.fit(docs)
     assert model.languages == ["de", "en"] and "hund" in model.words
-    unseen = spark.createDataFrame([(0, "hunde"), (1, "dogs"), (2, None), (3, ""), (4, "12 !?"), (5, "и"), (6, "the " * 90000)], "score long, text string")
+    unseen = spark.createDataFrame([(0, "hunde"), (1, "dogs"), (2, None), (3, ""), (4, "12 !?"), (7, "² ½"), (5, "и"), (6, "the " * 90000)], "score long, text string")
     got = {r["text"][:5] if r["text"] else r["text"]: (r["lang_pred"], r["score"]) for r in language_id.identify(unseen, model).collect()}
     assert got["hunde"][0] == "de" and got["dogs"][0] == "en" and got["the t"][0] == "en"
-    assert got[None] == got[""] == got["12 !?"] == ("und", 0.0)
+    assert got[None] == got[""] == got["12 !?"] == got["² ½"] == ("und", 0.0)
     assert got["и"][1] == pytest.approx(0.5)  # nothing known: all languages alike
     assert {r["lang_pred"] for r in language_id.identify(unseen, language_id.fit(docs.limit(0))).collect()} == {"und"}
 
