@@ -100,3 +100,9 @@ def retry_after_header(header: Column, cap: int | None = None) -> Column:
 def passwords_match(first: Column, second: Column, least: int = 8) -> Column:
     """Both the same and at least so many characters."""
     return F.coalesce((first == second) & (F.char_length(first) >= least), F.lit(False))
+
+
+def stored_email(email: Column, expires_at: Column, now: Column) -> Column:
+    """A remembered address, empty once its time is over; without a time it stays. At the very end it still holds."""
+    known = F.coalesce(email, F.lit(""))
+    return F.when(expires_at.isNotNull() & (now > expires_at), "").otherwise(known)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import chat, clock, network, text
-from siftwork.operators import lookup, mutations, rules
-from siftwork.sources import tables
+from siftwork.operators import lookup, mutations, outbox, rules
+from siftwork.sources import requests, tables
 
 SESSION_NOW, TOKEN_NOW = "2001-06-01 00:00:00", "2024-01-30 23:58:00"
 _S, _T = f"TIMESTAMP '{SESSION_NOW}'", f"TIMESTAMP '{TOKEN_NOW}'"
@@ -339,3 +339,24 @@ def retry_after_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(k == 0, F.col("doc_id").cast("string")).when(k == 1, "soon").when(k == 2, "-5").otherwise("30s")
     d = tables.read(spark, sf_dir, "documents").where("doc_id > 0").select("doc_id", header.alias("header"))
     return d.select("doc_id", text.retry_after_header(F.col("header")).alias("seconds"), text.retry_after_header(F.col("header"), text.RETRY_CAP).alias("capped"))
+
+
+@query("""SELECT custkey, trim(name) AS username, CASE custkey % 4 WHEN 0 THEN 'secret-12' WHEN 1 THEN 'short' WHEN 2 THEN repeat('x', 129) END AS password,
+    concat_ws(',', CASE WHEN length(trim(name)) < 3 THEN 'username' END, CASE WHEN custkey % 4 <> 0 THEN 'password' END) AS faulty
+    FROM (SELECT c_custkey AS custkey, CASE c_custkey % 3 WHEN 0 THEN ' a ' ELSE '  ' || c_name || ' ' END AS name FROM customer)""")
+def register_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.read(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lit(" a ")).otherwise(F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")))
+    k = F.col("c_custkey") % 4
+    password = F.when(k == 0, F.lit("secret-12")).when(k == 1, F.lit("short")).when(k == 2, F.repeat(F.lit("x"), F.lit(129)))
+    body = F.to_json(F.struct(F.lit("a@b.example").alias("email"), name.alias("username"), password.alias("password")))
+    rows = requests.parsed(c.select(F.col("c_custkey").alias("custkey"), body.alias("body")), "register")
+    return rows.select("custkey", "username", "password", F.array_join("faulty", ",").alias("faulty"))
+
+
+@query("""SELECT t.id AS token_id, 'Desk <desk@example.com>' AS sender, u.email AS recipient, CASE t.purpose WHEN 'signup' THEN 'Verify' ELSE 'Reset' END AS subject,
+    'https://example.com' || CASE t.purpose WHEN 'signup' THEN '/verify/' ELSE '/reset/' END || t.id || '.s' || t.id AS url FROM tokens t JOIN users u ON u.id = t.user_id""")
+def mail_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issued = tables.tokens(spark, sf_dir).select("id", "user_id", "purpose", F.concat(F.lit("s"), F.col("id")).alias("secret"))
+    rows = outbox.outbox(issued, tables.users(spark, sf_dir), "Desk", "desk@example.com", "https://example.com", {"signup": "/verify/", "password_reset": "/reset/"}, {"signup": "Verify", "password_reset": "Reset"})
+    return rows.select("token_id", F.col("from").alias("sender"), F.element_at("to", 1).alias("recipient"), "subject", "url")

@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwork.functions import chat, network, text
+from siftwork.operators.outbox import error_map
+from siftwork.sources.requests import parsed
 from siftwork.sources.schemas import USERS, chat_requests, conform
 
 
@@ -88,3 +90,25 @@ def test_private_addresses_match_the_library(spark, hosts):
 
     hosts = [h for h in hosts if h.isprintable()] + ["172.16.0.0", "172.32.0.0", "fe80::1", "febf::", "fec0::", "010.0.0.1"]
     assert run(spark, hosts, network.is_private) == [known(h) for h in hosts]
+
+
+def test_request_records(spark):
+    long = "p" * 8
+    bodies = ['{"email": " a@b ", "username": "abc", "password": "' + long + '"}', '{"email": "ab", "username": "   abc   ", "password": "1234567"}', "[]", "no json", None, "{}"]
+    got = [(r["email"], r["username"], r["faulty"]) for r in parsed(spark.createDataFrame([(b,) for b in bodies], "body string"), "register").collect()]
+    all_of = ["email", "username", "password"]
+    assert got == [("a@b", "abc", []), ("ab", "abc", ["email", "password"]), *[(None, None, all_of)] * 4]
+    resend = parsed(spark.createDataFrame([("{}",), ('{"email": "  x"}',)], "body string"), "resend_verification").collect()
+    assert [(r["email"], r["faulty"]) for r in resend] == [(None, []), ("  x", [])]
+
+
+def test_error_map(spark):
+    df = spark.createDataFrame([(True, False), (True, True), (None, False)], "a boolean, b boolean")
+    got = [r[0] for r in df.select(error_map({"email": F.col("a"), "username": F.col("b")}, {"email": "taken", "username": "in use"})).collect()]
+    assert got == [{"email": "taken"}, {"email": "taken", "username": "in use"}, {}]
+
+
+def test_stored_email(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-01 00:00:00'), ('a', TIMESTAMP_NTZ '2024-01-01 00:00:01'), ('a', NULL), (NULL, NULL) AS t(e, x)")
+    now = F.lit("2024-01-01 00:00:01").cast("timestamp_ntz")
+    assert [r[0] for r in df.select(text.stored_email(F.col("e"), F.col("x"), now)).collect()] == ["", "a", "a", ""]
