@@ -30,11 +30,11 @@ WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: two texts of similarity 0.8 are missed with probability (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
 #: Components of a signature; those beyond the bands sharpen the estimate of similarity only.
-COMPONENTS = 128
+COMPONENTS = 192
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
 #: In sorted buckets: how many following rows a row is compared with, and from what share of equal components on.
-REACH, ALIKE = 64, 0.7
+REACH, ALIKE = 64, 0.72
 #: Rows of a sorted run that are compared in one task.
 RUN = 2048
 
