@@ -20,6 +20,10 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ɏß]+|[0-9]|[^\\sa-z0-
 UNUSUAL = re.compile("[^\\t-\\r -~À-ÖØ-öø-įĲ-ɏ]")
 
 
+#: Bits of the hash table of pairs, which stays far from full.
+SLOTS = 18
+
+
 def byte_letters() -> list[str]:
     """The character that stands for each byte: itself where printable, else one from 256 on, in order."""
     own = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -36,10 +40,9 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: Pairs of ids, as one number, in order; their ranks; the id that each rank makes; a rank beyond all.
-        keys = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in merges], np.int64)
-        self.rank_of = np.argsort(keys, kind="stable")
-        self.keys, self.none = keys[self.rank_of], len(merges)
+        #: A rank beyond all; pairs of ids in a hash table; the id that each rank makes.
+        self.none = len(merges)
+        self._hashed(np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in merges], np.int64))
         self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
         made = {int(m): i for i, m in enumerate(self.merged)}
         if any(max(made.get(self.vocab[x], -1) for x in pair) >= i for i, pair in enumerate(merges)):
@@ -69,11 +72,36 @@ class WordBpe:
         normal = self.library.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _hashed(self, keys: np.ndarray) -> None:
+        """Fills the table of pairs: each key is in the first free slot from its own on."""
+        self.slots, self.slot_rank = np.full((1 << SLOTS) + 64, -1, np.int64), np.full((1 << SLOTS) + 64, self.none, np.int32)
+        rank, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rank):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.slots[slot[placed]], self.slot_rank[slot[placed]] = keys[rank[placed]], rank[placed]
+            left = np.ones(len(rank), bool)
+            left[placed] = False
+            rank, slot = rank[left], slot[left] + 1
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, `none` for those that never merge."""
         key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], self.none)
+        slot = self._slot(key)
+        found = self.slots[slot]
+        rank = np.where(found == key, self.slot_rank[slot], self.none)
+        again = np.flatnonzero((found != key) & (found >= 0))
+        while len(again):  # another pair's slot: few go on to the next one
+            slot[again] += 1
+            found = self.slots[slot[again]]
+            hit = found == key[again]
+            rank[again[hit]] = self.slot_rank[slot[again[hit]]]
+            again = again[~hit & (found >= 0)]
+        return rank
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers; all words are merged in step.
