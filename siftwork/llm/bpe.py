@@ -11,7 +11,6 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +36,20 @@ class Encoder(dict):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
 
-    def entry(self, ids: bytes):
-        return ids
+    #: What is remembered of a word's ids.
+    entry = bytes
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them known afterwards; a null text has none."""
         split = [self.bpe.words(t) if t else [] for t in texts]
         if len(self) > self.most:
             self.clear()
-        new = list(set(chain.from_iterable(split)).difference(self))
+        new = list(set().union(*split).difference(self))
         if self.lexicon is not None:
             found = self.lexicon.find(new)
             self.update((word, self.entry(ids)) for word, ids in zip(new, found, strict=True) if ids is not None)
             new = [word for word, ids in zip(new, found, strict=True) if ids is None]
-        self.update((word, self.entry(ids)) for word, ids in zip(new, self.bpe.merge(new), strict=True))
+        self.update(zip(new, map(self.entry, self.bpe.merge(new)), strict=True))
         return split
 
     def ids(self, words: list[str]) -> bytes:
