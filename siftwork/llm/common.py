@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,8 +72,17 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(level >= least)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, so that a Python worker does not hold what earlier tasks used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many text bytes (or one row), which bounds a task's memory."""
+    release_memory()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
@@ -84,6 +94,7 @@ def rows_by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 <<
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    release_memory()
 
 
 #: Odd multipliers of two polynomial hashes modulo 2**64.

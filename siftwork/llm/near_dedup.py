@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ByteHash, mix, rows_by_bytes, stored
+from siftwork.llm.common import ByteHash, mix, release_memory, rows_by_bytes, stored
 from siftwork.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -232,6 +232,7 @@ def _neighbours(rows: DataFrame, similarity: float) -> DataFrame:
             at = np.flatnonzero((bucket[:-d] == bucket[d:]) & (group[:-d] != group[d:]) & own[:-d])
             alike = at[(marks[at] == marks[at + d]).mean(axis=1) >= limit]
             found.update((min(nodes[i], nodes[i + d]), max(nodes[i], nodes[i + d])) for i in alike.tolist())
+        release_memory()
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
     runs = placed.select("bucket", "node", "component", "marks", "place", F.explode(shared).alias("run")).where("run >= 0")

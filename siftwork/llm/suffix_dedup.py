@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import BASES, ByteHash, mix, shared_dir, stored
+from siftwork.llm.common import BASES, ByteHash, mix, release_memory, shared_dir, stored
 from siftwork.llm.suffix_sort import deep_shallow
 
 LENGTH, ANCHOR, STEP = 200, 100, 16
@@ -194,6 +194,8 @@ def _ask(level: int, bits: int, length: int) -> tuple[Callable, Callable]:
     def run(key: tuple, rows: pa.Table, answers: dict[int, np.ndarray]) -> pa.Table:
         block_id = key[0].as_py()
         sent = _learned(Block(_texts(rows)[0], length), answers, level)
+        if block_id % 8 == 0:
+            release_memory()
         cell = (sent[0] >> np.uint64(64 - bits)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(cell))
@@ -253,6 +255,8 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
         block = Block(texts, length)
         _learned(block, _read_answers(known), 4)
         flags = np.split(block.removed(), block.ends[:-1])
+        del block
+        release_memory()
         removed: list = [None] * len(texts)
         for i, f in zip(order.tolist(), flags, strict=True):
             removed[i] = f
