@@ -8,8 +8,8 @@ the weighted Jaccard similarity. Bands of components give candidates, the multis
 
 Equal texts are one node. Buckets of few nodes are compared pair by pair. In larger ones every member is
 compared with one pivot, the node that shares most buckets with others, such as the source of a group of
-copies. Where that leaves a bucket in several classes, its members are sorted by the rest of their
-signatures, and each is compared with those of other classes near it, if signatures are alike enough.
+copies. Members that this leaves in other classes than the pivot's are then compared with all members of the
+bucket, in tiles of bounded bytes that count shared shingles exactly; only links that join two classes leave a tile.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +28,11 @@ from siftwork.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4: two texts of similarity 0.8 are missed with probability (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
-#: Components of a signature; those beyond the bands sharpen the estimate of similarity only.
-COMPONENTS = 192
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
-#: In sorted buckets: how many following rows a row is compared with, and from what share of equal components on.
-REACH, ALIKE = 64, 0.72
-#: Rows of a sorted run that are compared in one task.
-RUN = 2048
+#: Text bytes of a block; a tile compares two blocks of a bucket.
+BLOCK = 2 << 20
+
 
 
 def canonical(text: str | None) -> str:
@@ -66,7 +62,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return ByteHash(data).slices(starts[at], ends[last]), of
 
 
-def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, m: int = COMPONENTS) -> np.ndarray:
+def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
     """BagMinHash signatures (n, m) of the multisets of hashes; an owner without hashes has infinities."""
     ids = (owner.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))
     ids.sort()
@@ -117,19 +113,18 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the canonical text, null without words), bands, marks (16 bits of each component)."""
+    """doc_id, node (digest of the canonical text, null without words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "text", 1 << 20):
             texts = [canonical(t) for t in batch.column(1).to_pylist()]
             signature = signatures(*shingles(texts), len(texts))
             keys = band_keys(signature)
-            marks = [row.tobytes() for row in (mix(signature.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)]
             nodes = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), bands, pa.array(marks, pa.binary())], names=["doc_id", "node", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), bands], names=["doc_id", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, bands array<long>, marks binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -164,27 +159,23 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     null doc_id take part by their text; a class of such rows only has a null class_id. Repeated rows are copies.
     """
     signed = stored(_signed(docs), "signed")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(spread.join(sizes, "bucket"), "buckets")
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
     # Copies are dropped in each task before texts are shuffled, once, by their digests.
-    named = _with_node(docs.select("text")).where("__node IS NOT NULL").select(F.col("__node").alias("node"), "text").dropDuplicates(["node"])
+    named = _with_node(docs.select("text")).where("__node IS NOT NULL").select(F.col("__node").alias("node"), "text", F.octet_length("text").alias("size")).dropDuplicates(["node"])
     texts = stored(named.join(rank.select("node"), "node", "left_semi"), "texts")
 
     few = buckets.where(F.col("n") <= SMALL).select("bucket", "node")
     pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = stored(buckets.where(F.col("n") > SMALL).join(rank, "node").select("bucket", "band", "node", "rank"), "large")
+    large = stored(buckets.where(F.col("n") > SMALL).join(rank, "node").select("bucket", "node", "rank"), "large")
     pivots = large.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("pivot"))
     starred = large.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     links = stored(_verified(pairs.unionByName(starred).distinct(), texts, similarity), "links")
     if not large.isEmpty():
-        placed = large.join(components(links), "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
-        apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        rest = placed.join(apart, "bucket", "left_semi").join(nodes.select("node", "marks"), "node")
-        near = _neighbours(rest, similarity)
-        links = links.unionByName(stored(_verified(near, texts, similarity), "links"))
+        links = links.unionByName(stored(_across(large, pivots, components(links), texts, similarity), "links"))
     groups = components(links)
     whole = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class_node"))
     names = whole.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
@@ -192,51 +183,69 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", "class_node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _neighbours(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, band, node, component, marks) that are near in the order of their bucket.
+def _across(large: DataFrame, pivots: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join different components within a bucket: no two linked members stay apart.
 
-    The order is by the components after the band's own. Rows are numbered in that order over all buckets
-    and dealt in runs of equal length, each with the beginning of the next, so no bucket is in one task.
+    Members in the pivot's component are linked among themselves already; the rest is compared with
+    all. Both are dealt into blocks by node, so work and rows grow with the rest times the bucket.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    begin = 2 * ROWS * (F.col("band") + 1) + 1
-    order = F.substring(F.concat("marks", "marks"), begin, F.lit(2 * 6 * ROWS))
-    dealt = rows.select("bucket", order.alias("order"), "node", "component", "marks").repartitionByRange(n, "bucket", "order").sortWithinPartitions("bucket", "order", "node")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            place = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "node", "component", "marks")), pa.array([part] * batch.num_rows, pa.int32()), place], names=["bucket", "node", "component", "marks", "part", "place"])
-
-    schema = "bucket long, node binary, component binary, marks binary, part int, place long"
-    numbered = stored(dealt.mapInArrow(number, schema), "sorted")
-    # One small row for each partition.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = numbered.join(F.broadcast(offsets), "part").withColumn("place", F.col("place") + F.col("before"))
-    run, offset = F.floor(F.col("place") / RUN), F.col("place") % RUN
-    shared = F.when(offset < REACH, F.array(run, run - 1)).otherwise(F.array(run))
-    limit = ALIKE + similarity - SIMILARITY
-
-    def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place")
-        bucket, place = rows.column("bucket").to_numpy(), rows.column("place").to_numpy()
-        nodes = np.array(rows.column("node").to_pylist(), object)
-        group = np.unique(np.array(rows.column("component").to_pylist(), "S16"), return_inverse=True)[1]
-        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint16).reshape(len(nodes), -1)
-        own = place < (place[0] // RUN + 1) * RUN if len(place) else place  # the others are compared in their own run
-        found = set()
-        for d in range(1, min(REACH, len(nodes) - 1) + 1):
-            at = np.flatnonzero((bucket[:-d] == bucket[d:]) & (group[:-d] != group[d:]) & own[:-d])
-            alike = at[(marks[at] == marks[at + d]).mean(axis=1) >= limit]
-            found.update((min(nodes[i], nodes[i + d]), max(nodes[i], nodes[i + d])) for i in alike.tolist())
+    named = groups.select(F.col("node").alias("pivot"), F.col("component").alias("hub"))
+    hubs = pivots.join(named, "pivot", "left").select("bucket", F.coalesce("hub", "pivot").alias("hub"))
+    placed = large.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sized = placed.join(hubs, "bucket").join(texts.select("node", "size"), "node").withColumn("main", F.col("component") == F.col("hub")).drop("hub")
+    sized = stored(sized, "placed")
+    total = [F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / BLOCK) for which in (F.col("main"), ~F.col("main"))]
+    blocks = sized.groupBy("bucket").agg(total[0].alias("mains"), total[1].alias("rests"), (F.sum("size") <= BLOCK).alias("one")).where("rests > 0")
+    rows = sized.join(blocks, "bucket")
+    # Blocks of the rest come first, then those of the pivot's component; a small bucket is one block.
+    spread = F.xxhash64("node", "bucket")
+    block = F.when(F.col("one"), F.lit(0)).when(F.col("main"), F.col("rests") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "rests"))
+    last = F.when(F.col("one"), F.lit(0)).when(F.col("main"), F.col("rests") - 1).otherwise(F.col("rests") + F.col("mains") - 1)
+    met = rows.withColumn("block", block.cast("long")).withColumn("last", last.cast("long")).join(texts.select("node", "text"), "node")
+    met = met.select("bucket", "node", "component", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
+    tiles = met.select("bucket", F.greatest("block", "other").alias("x"), F.least("block", "other").alias("y"), "node", "component", "block", "text")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        found = _joining([canonical(t) for t in rows.column("text").to_pylist()], rows.column("component").to_pylist(), rows.column("block").to_numpy() == key[2].as_py(), key[1] == key[2], similarity)
+        nodes = rows.column("node").to_pylist()
         release_memory()
-        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
-
-    runs = placed.select("bucket", "node", "component", "marks", "place", F.explode(shared).alias("run")).where("run >= 0")
-    return runs.groupBy("run").applyInArrow(compare, "a binary, b binary").distinct()
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return tiles.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary")
+
+
+def _joining(texts: list[str], components: list[bytes], left: np.ndarray, within: bool, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of texts of the similarity that join two components; each of `left` against all if `within`, else against the others."""
+    n = len(texts)
+    hashes, owner = shingles(texts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    size = np.bincount(owner, minlength=n)
+    # The k-th occurrence of a shingle is an element of its own: multisets become sets.
+    first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])) if len(hashes) else np.zeros(0, np.int64)
+    nth = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    _, element, held = np.unique(mix(hashes ^ mix(nth.astype(np.uint64))), return_inverse=True, return_counts=True)
+    common = held[element] > 1  # others are in one text only
+    element, owner = element[common], owner[common]
+    begin = np.searchsorted(owner, np.arange(n + 1))
+    some = np.flatnonzero(begin[1:] > begin[:-1])
+    label = np.unique(np.array(components, object), return_inverse=True)[1]
+    inside, shared, found = np.zeros(len(held), bool), np.zeros(n, np.int64), []
+    for i in np.flatnonzero(left).tolist():
+        open_ = (label != label[i]) & (size >= similarity * size[i]) & (size[i] >= similarity * size)
+        open_ &= np.arange(n) > i if within else ~left
+        if not open_.any():
+            continue
+        own = element[begin[i] : begin[i + 1]]
+        inside[own] = True
+        shared[some] = np.add.reduceat(inside[element], begin[some], dtype=np.int64) if len(some) else 0
+        inside[own] = False
+        for j in np.flatnonzero(open_ & (shared >= similarity * (size[i] + size - shared) - 1e-9)).tolist():
+            if label[j] != label[i]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

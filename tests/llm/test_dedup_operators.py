@@ -100,6 +100,40 @@ def test_large_group_of_near_copies_around_a_source(spark):
     assert sum(got[d] != want[d] for d in want) <= 1  # banding may miss one in some ten thousand
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 1 << 12])
+def test_members_of_a_large_bucket_that_are_far_from_its_pivot(spark, monkeypatch, block):
+    """A chain of texts, each linked with the next only, and texts near each other but not near the source."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(3)
+    words = [f"x{rng.randrange(10**5)}" for _ in range(120)]
+    rows = [(i, copies(rng, " ".join(words), rng.choice([1, 3, 5, 7]))) for i in range(60)]
+    chain = list(words)
+    for i in range(60):
+        chain[i * 2] = f"c{i}"
+        rows.append((100 + i, " ".join(chain)))
+    rows += [(300 + i, copies(rng, " ".join(words[:80] + [f"b{k}" for k in range(40)]), 2)) for i in range(30)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip([r[0] for r in rows], brute_classes(rows), strict=True))
+
+
+def test_joining_pairs_are_those_of_brute_force():
+    rng = random.Random(4)
+    base = [f"x{i}" for i in range(40)] + ["again and again and again"] * 3
+    texts = [near_dedup.canonical(copies(rng, " ".join(base), rng.randrange(4))) for _ in range(50)] + ["one", "two words"]
+    want = brute_classes(list(enumerate(texts)))
+    for left, within in ((np.ones(len(texts), bool), True), (np.arange(len(texts)) < 20, False)):
+        found = near_dedup._joining(texts, [bytes([i]) for i in range(len(texts))], left, within, 0.8)
+        sets = [shingle_counts(t) for t in texts]
+        for i, j in found:
+            shared = sum((sets[i] & sets[j]).values())
+            assert shared >= 0.8 * (len(texts[i].split()) - 4 + len(texts[j].split()) - 4 - shared) - 1e-9
+        if within:
+            up = list(range(len(texts)))
+            for i, j in found:
+                up = [up[i] if u == up[j] else u for u in up]
+            assert len(set(up)) == len(set(want)) and all((up[i] == up[j]) == (want[i] == want[j]) for i in range(len(up)) for j in range(i))
+
+
 def test_one_of_each_keeps_one(spark):
     rows = [(3, "a b c d e f", "x"), (2, "A b c  d e f", "y"), (2, "A b c  d e f", "y"), (9, "something else is in here", "z"), (5, None, "n"), (6, "", "e"), (None, "a b c d e f", "x"), (None, "no id at all here", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
