@@ -1,8 +1,8 @@
 """Cropped and edited copies among images, by local descriptors.
 
 Corners are found at several scales; each has an orientation from the intensity centroid around it and a
-binary descriptor of intensity tests rotated by it. Descriptors meet in hash tables over parts of their bits,
-so those within a small Hamming distance share a table entry. Matches of two images must agree on
+binary descriptor of intensity tests rotated by it. Descriptors meet in hash tables over choices of their bits,
+so those within a small Hamming distance often share a table entry, and images with one such descriptor are compared. Matches of two images must agree on
 one similarity transform (shift, scale, rotation); the agreeing ones are counted, and links form classes.
 """
 
@@ -19,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ByteHash, mix, rows_by_bytes, stored
+from siftwork.llm.common import ByteHash, mix, release_memory, rows_by_bytes, stored
 from siftwork.llm.components import components
 
-#: Corners kept at each scale (full, half, quarter), strongest first.
-CORNERS = (10, 5, 2)
-TABLES, TABLE_BITS = 3, 32
+#: Corners kept at each scale (full, half, quarter) of any image, strongest first; besides, all that are the
+#: strongest within APART pixels at their scale, which depends on nearby pixels only: a crop keeps those inside it.
+CORNERS, APART = (10, 5, 2), 42
+#: 32-bit words of a descriptor; hash tables, and the bits of a key, drawn for each table.
+WORDS, TABLES, TABLE_BITS = 3, 3, 32
 #: Radius of the patch around a corner, and how far its tests reach.
 RADIUS = 9
 #: Most differing bits of a match, least agreeing matches of a link, and pixels they may be off at scale 1.
 HAMMING, AGREE, OFF = 10, 4, 3.0
-#: Table entries with more images than this compare each image with one of them.
-SMALL = 16
+#: Radians by which the turn of an agreeing match may differ from the transform's.
+TURN = 0.4
+#: Table entries with more images than this are compared in tiles of two blocks with so many descriptor bytes.
+SMALL, BLOCK = 16, 96 << 10
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -91,14 +95,20 @@ def pgm(pixels: np.ndarray) -> bytes:
 def _tests() -> np.ndarray:
     """Pairs of points (tests, 2, xy) for 32 orientations: fixed draws around the corner, then rotated."""
     rng = np.random.default_rng(1)
-    points = np.clip(rng.normal(0, RADIUS / 2.2, (TABLES * TABLE_BITS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
+    points = np.clip(rng.normal(0, RADIUS / 2.2, (WORDS * 32, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
     turns = np.arange(32) * 2 * np.pi / 32
     c, s = np.cos(turns), np.sin(turns)
     x, y = points[..., 0], points[..., 1]
     return np.rint(np.stack([c[:, None, None] * x - s[:, None, None] * y, s[:, None, None] * x + c[:, None, None] * y], axis=-1)).astype(np.int64)
 
 
-TESTS = _tests()
+def _chosen() -> np.ndarray:
+    """The descriptor bits (TABLES, TABLE_BITS) of each table's keys: each four tables share out all bits."""
+    rng = np.random.default_rng(2)
+    return np.concatenate([rng.permutation(WORDS * 32).reshape(-1, TABLE_BITS) for _ in range(TABLES * TABLE_BITS // (WORDS * 32))])
+
+
+TESTS, CHOSEN = _tests(), _chosen()
 _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1].reshape(2, -1)
 _DISC = _GRID[:, (_GRID**2).sum(axis=0) <= RADIUS**2]
 
@@ -114,9 +124,28 @@ def _box(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def _highest_within(a: np.ndarray, reach: int) -> np.ndarray:
+    """The largest value within so many rows and columns of each place, by doubling."""
+    for _ in range(2):
+        n = len(a)
+        b, width = np.pad(a, ((reach, reach), (0, 0))), 1
+        while width < 2 * reach + 1:
+            step = min(width, 2 * reach + 1 - width)
+            b = np.maximum(b[:-step], b[step:])
+            width += step
+        a = b[:n].T
+    return a
+
+
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """Keys (n, TABLES) of descriptors, which name their table too."""
+    each = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), WORDS * 4), axis=1, bitorder="little")
+    return (each[:, CHOSEN].astype(np.int64) << np.arange(TABLE_BITS)).sum(axis=2) * TABLES + np.arange(TABLES)
+
+
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (n, 4): x, y at full size, scale, angle; descriptors (n, TABLES) of 32 bits. None for small or flat images."""
-    corners, bits = [np.zeros((0, 4))], [np.zeros((0, TABLES), np.uint32)]
+    """Corners (n, 4): x, y at full size, scale, angle; descriptors (n, WORDS) of 32 bits. None for small or flat images."""
+    corners, bits = [np.zeros((0, 4))], [np.zeros((0, WORDS), np.uint32)]
     image = pixels.astype(np.float32)
     for level, most in enumerate(CORNERS):
         if level:
@@ -135,9 +164,12 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         highest = np.maximum(np.maximum(s[:, :-2], s[:, 2:]), s[:, 1:-1])
         beside = np.maximum(s[1:-1, :-2], s[1:-1, 2:])
         highest = np.maximum(np.maximum(highest[:-2], highest[2:]), beside)
-        y, x = np.nonzero((s[1:-1, 1:-1] >= highest) & (s[1:-1, 1:-1] > 25))
+        peaks = np.where((s[1:-1, 1:-1] >= highest) & (s[1:-1, 1:-1] > 25), s[1:-1, 1:-1], 0)
+        y, x = np.nonzero(peaks)
+        alone = peaks[y, x] >= _highest_within(peaks, APART)[y, x]
         y, x = y + edge, x + edge
-        order = np.argsort(-strength[y, x], kind="stable")[:most]
+        order = np.argsort(-strength[y, x], kind="stable")
+        order = order[:most]
         y, x = y[order], x[order]
         if not len(y):
             continue
@@ -147,52 +179,79 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = TESTS[turn]
         value = smooth[y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
         tests = value[..., 0] < value[..., 1]
-        bits.append(np.packbits(tests.reshape(len(y), TABLES, TABLE_BITS), axis=2, bitorder="little").view(np.uint32)[..., 0])
+        bits.append(np.packbits(tests.reshape(len(y), WORDS, 32), axis=2, bitorder="little").view(np.uint32)[..., 0])
         scale = 2.0**level
         corners.append(np.stack([(x + 0.5) * scale, (y + 0.5) * scale, np.full(len(x), scale), angle], axis=1))
     return np.concatenate(corners), np.concatenate(bits)
 
 
+def digest(pixels: np.ndarray) -> int:
+    data = repr(pixels.shape).encode() + np.rint(pixels).astype(np.uint8).tobytes()
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _described(images: DataFrame) -> DataFrame:
-    """media_id, node (digest of the pixels, null if unreadable), corners (float32 rows), bits (32-bit rows), keys."""
+    """media_id, node (digest of the pixels, null if unreadable), corners (float32 rows), bits (32-bit rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "image", 4 << 20):
-            node, corners, bits, keys = [], [], [], []
+            node, corners, bits = [], [], []
             for data in batch.column(1).to_pylist():
                 pixels = decode(data)
                 if pixels is None:
                     node.append(None)
-                    c, b = np.zeros((0, 4)), np.zeros((0, TABLES), np.uint32)
+                    c, b = np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32)
                 else:
-                    node.append(hashlib.blake2b(repr(pixels.shape).encode() + np.rint(pixels).astype(np.uint8).tobytes(), digest_size=8).digest())
+                    node.append(digest(pixels))
                     c, b = describe(pixels)
                 corners.append(c.astype(np.float32).tobytes())
                 bits.append(b.tobytes())
-                keys.append((b.astype(np.int64) * TABLES + np.arange(TABLES)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(corners, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["media_id", "node", "corners", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(corners, pa.binary()), pa.array(bits, pa.binary())], names=["media_id", "node", "corners", "bits"])
+
+    return images.select(F.col("media_id").cast("long").alias("media_id"), F.col("image")).mapInArrow(run, "media_id long, node long, corners binary, bits binary")
 
-    return images.select(F.col("media_id").cast("long").alias("media_id"), F.col("image")).mapInArrow(run, "media_id long, node binary, corners binary, bits binary, keys array<long>")
 
+def _like(ba: np.ndarray, bb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the descriptors of two images that are within HAMMING, some rows at a time."""
+    step = max(1, (1 << 20) // max(1, len(bb)))
+    found = [np.nonzero(np.bitwise_count(ba[k : k + step, None] ^ bb[None]).sum(axis=2) <= HAMMING) for k in range(0, len(ba), step)]
+    return np.concatenate([i + k * step for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
 
-def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The most corners of a that one similarity transform maps onto corners of b with like descriptors."""
+
+def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], enough: float = np.inf) -> int:
+    """The most corners of a that one similarity transform maps onto corners of b with like descriptors; ends when enough are found."""
     (ca, ba), (cb, bb) = a, b
     if not len(ca) or not len(cb):
         return 0
-    apart = np.bitwise_count(ba[:, None] ^ bb[None]).sum(axis=2)
-    i, j = np.nonzero(apart <= HAMMING)
-    best = 0
+    i, j = _like(ba, bb)
+    turns, best = cb[j, 3] - ca[i, 3], 0
     for k in range(len(i)):
-        scale, turn = cb[j[k], 2] / ca[i[k], 2], cb[j[k], 3] - ca[i[k], 3]
+        scale, turn = cb[j[k], 2] / ca[i[k], 2], turns[k]
         c, s = scale * np.cos(turn), scale * np.sin(turn)
         d = ca[i, :2] - ca[i[k], :2]
         landed = np.stack([c * d[:, 0] - s * d[:, 1], s * d[:, 0] + c * d[:, 1]], axis=1) + cb[j[k], :2]
         near = ((landed - cb[j, :2]) ** 2).sum(axis=1) <= (OFF * max(1.0, scale) * cb[j, 2]) ** 2
+        near &= np.cos(turns - turn) >= np.cos(TURN)
         best = max(best, min(len(set(i[near].tolist())), len(set(j[near].tolist()))))
+        if best >= enough:
+            break
     return best
 
 
+def _entries(nodes: DataFrame) -> DataFrame:
+    """key, node, low and high (the descriptor) for each table and corner of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_by_bytes(batches, "bits", 64 << 10):
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits = np.unique(np.frombuffer(data, np.uint32).reshape(-1, WORDS), axis=0)
+                keys = table_keys(bits).ravel()
+                low = np.repeat((bits[:, 0].astype(np.uint64) | bits[:, 1].astype(np.uint64) << np.uint64(32)).view(np.int64), TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(low), pa.array(np.repeat(bits[:, 2].astype(np.int64), TABLES))], names=["key", "node", "low", "high"])
+
+    return nodes.select("node", "bits").where("octet_length(bits) > 0").mapInArrow(run, "key long, node long, low long, high long")
+
+
 def copy_classes(images: DataFrame) -> DataFrame:
     """media_id, class_id, n_links, n_corners for every row of images (media_id, image).
 
@@ -201,29 +260,36 @@ def copy_classes(images: DataFrame) -> DataFrame:
     as are images without corners, unless their pixels are the same.
     """
     described = stored(_described(images), "corners")
-    nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("media_id").alias("media_id"), F.first("corners").alias("corners"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    entries = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    nodes = stored(described.where("node IS NOT NULL").groupBy("node").agg(F.min("media_id").alias("media_id"), F.first("corners").alias("corners"), F.first("bits").alias("bits")), "nodes")
+    entries = stored(_entries(nodes), "table")
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(sizes, "key"), "entries")
+    large = stored(met.where(F.col("n") > SMALL).select("key", "node").distinct(), "large")
+    big = large.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("big"))
+    parts = stored(nodes.select("node", "corners", "bits").join(big, "node", "left"), "parts")
+
+    # Pairs of small entries, unless a large entry has them too: each pair of images is compared once.
     few = met.where(F.col("n") <= SMALL)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("key", "a", "b")
-    large = met.where(F.col("n") > SMALL)
-    pivots = large.groupBy("key").agg(F.min("node").alias("a"))
-    starred = large.join(pivots, "key").where("node <> a").select("key", "a", F.col("node").alias("b"))
-    # A pair needs AGREE corners alike; corners within the Hamming bound mostly share a table entry.
-    often = pairs.unionByName(starred).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= 2).select("a", "b")
-    parts = nodes.select("node", "corners", "bits")
-    both = often.join(parts.select(F.col("node").alias("a"), F.col("corners").alias("ca"), F.col("bits").alias("ba")), "a").join(parts.select(F.col("node").alias("b"), F.col("corners").alias("cb"), F.col("bits").alias("bb")), "b")
+    one, two = (few.select("key", F.col("node").alias(x), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}")) for x in "ab")
+    apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (apart <= HAMMING)).select("a", "b").distinct()
+    a, b = (parts.select(F.col("node").alias(x), F.col("corners").alias(f"c{x}"), F.col("bits").alias(f"b{x}"), F.col("big").alias(f"k{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(~F.coalesce(F.arrays_overlap("ka", "kb"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [[np.frombuffer(x, k).reshape(-1, n) for x in batch.column(c).to_pylist()] for c, k, n in (("ca", np.float32, 4), ("ba", np.uint32, TABLES), ("cb", np.float32, 4), ("bb", np.uint32, TABLES))]
-            keep = [agreeing((ca, ba), (cb, bb)) >= AGREE for ca, ba, cb, bb in zip(*read, strict=True)]
+            read = [[np.frombuffer(x, k).reshape(-1, n) for x in batch.column(c).to_pylist()] for c, k, n in (("ca", np.float32, 4), ("ba", np.uint32, WORDS), ("cb", np.float32, 4), ("bb", np.uint32, WORDS))]
+            keep = [agreeing((ca, ba), (cb, bb), AGREE) >= AGREE for ca, ba, cb, bb in zip(*read, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    links = stored(both.select("a", "b", "ca", "ba", "cb", "bb").mapInArrow(run, "a binary, b binary"), "links")
+    links = stored(both.select("a", "b", "ca", "ba", "cb", "bb").mapInArrow(run, "a long, b long"), "links")
+    counts = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    if not large.isEmpty():
+        within = stored(_within(large, parts), "within")
+        links = links.unionByName(within.where("b IS NOT NULL").select("a", "b"))
+        counts = counts.unionByName(within.where("b IS NULL").select(F.col("a").alias("node"), "n"))
     groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
     whole = nodes.select("node", "media_id").join(groups, "node", "left").select("node", "media_id", F.coalesce("component", "node").alias("component"))
     named = whole.groupBy("component").agg(F.min("media_id").alias("class_id"))
     classes = whole.select("node", "component").join(named, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -231,6 +297,48 @@ def copy_classes(images: DataFrame) -> DataFrame:
     return out.select("media_id", F.when(F.col("node").isNull(), F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_corners")
 
 
+def _within(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs of images that share an entry of large (key, node), compared in tiles of two blocks of an entry.
+
+    Rows (a, b, null) are links enough to connect what is linked in a tile, rows (a, null, n) the links of a node there.
+    A pair belongs to the smallest large entry that both have, so it is counted once.
+    """
+    # Entries with the same members have the same pairs.
+    marks = large.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("t"))
+    kept = marks.groupBy("m", "s", "t").agg(F.min("key").alias("key"))
+    sized = stored(large.join(kept.select("key"), "key", "left_semi").join(parts.select("node", F.octet_length("bits").alias("size")), "node"), "sized")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("blocks"))
+    rows = sized.select("key", "node").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
+    tiles = rows.select("key", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("key", F.greatest("block", "other").alias("x"), F.least("block", "other").alias("y"), "node", "block").join(parts, "node")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        at, within = key[0].as_py(), key[1] == key[2]
+        nodes, left = rows.column("node").to_pylist(), rows.column("block").to_numpy() == key[2].as_py()
+        n = len(nodes)
+        corners = [np.frombuffer(x, np.float32).reshape(-1, 4) for x in rows.column("corners").to_pylist()]
+        bits = [np.frombuffer(x, np.uint32).reshape(-1, WORDS) for x in rows.column("bits").to_pylist()]
+        before = [np.array([k for k in x if k < at], np.int64) for x in rows.column("big").to_pylist()]
+        held, owner = np.concatenate(before), np.repeat(np.arange(n), [len(x) for x in before])
+        label, degree, found = np.arange(n), np.zeros(n, np.int64), []
+        for i in np.flatnonzero(left).tolist():
+            open_ = np.arange(n) > i if within else ~left
+            if len(held):
+                open_[owner[np.isin(held, before[i])]] = False
+            for j in np.flatnonzero(open_).tolist():
+                a, b = (i, j) if nodes[i] < nodes[j] else (j, i)
+                if agreeing((corners[a], bits[a]), (corners[b], bits[b]), AGREE) >= AGREE:
+                    degree[[i, j]] += 1
+                    if label[i] != label[j]:
+                        found.append((nodes[i], nodes[j]))
+                        label[label == label[j]] = label[i]
+        some = np.flatnonzero(degree).tolist()
+        release_memory()
+        return pa.table({"a": pa.array([x for x, _ in found] + [nodes[i] for i in some], pa.int64()), "b": pa.array([x for _, x in found] + [None] * len(some), pa.int64()), "n": pa.array([None] * len(found) + degree[some].tolist(), pa.int64())})
+
+    return tiles.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long, n long")
+
+
 #: Tiles of a preview: pixels of one, and tiles in a row.
 TILE, ACROSS = 5, 16
 

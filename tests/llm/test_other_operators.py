@@ -168,3 +168,23 @@ def test_previews_of_excerpts_are_crops(spark):
     images = image_copies.previews(pages.withColumn("shown", image_copies.page_text(F.col("html"))), "shown")
     got = {r["media_id"]: r["class_id"] for r in image_copies.copy_classes(images).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_large_groups_of_copies_are_whole_and_their_links_counted(spark):
+    rng = np.random.default_rng(5)
+    banner, scenes = scene(rng)[:60, :190], [scene(rng)[:90] for _ in range(3)]
+    rows, n = [], 24
+    for k, a in enumerate(scenes):
+        rows += [(100 * k + i, image_copies.pgm(np.clip(a + rng.normal(0, 1, a.shape), 0, 255))) for i in range(n)]
+    rows += [(1000 + i, image_copies.pgm(np.concatenate([banner[:, :150], scene(rng)[:60, :150]]))) for i in range(30)]
+    images = spark.createDataFrame(rows, "media_id long, image binary")
+    pixels = {i: image_copies.decode(x) for i, x in rows}
+    order = sorted(pixels, key=lambda i: image_copies.digest(pixels[i]))
+    described, want = {i: image_copies.describe(p) for i, p in pixels.items()}, dict.fromkeys(order, 0)
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            if image_copies.agreeing(described[i], described[j], image_copies.AGREE) >= image_copies.AGREE:
+                want[i], want[j] = want[i] + 1, want[j] + 1
+    got = {r["media_id"]: r for r in image_copies.copy_classes(images).collect()}
+    assert {i: r["class_id"] for i, r in got.items() if i < 1000} == {100 * k + i: 100 * k for k in range(3) for i in range(n)}
+    assert {i: r["n_links"] for i, r in got.items()} == want and min(x for i, x in want.items() if i < 1000) >= n - 1
