@@ -169,7 +169,7 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alone = peaks[y, x] >= _highest_within(peaks, APART)[y, x]
         y, x = y + edge, x + edge
         order = np.argsort(-strength[y, x], kind="stable")
-        order = order[:most]
+        order = order[alone[order] | (np.arange(len(order)) < most)]
         y, x = y[order], x[order]
         if not len(y):
             continue

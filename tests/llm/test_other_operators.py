@@ -188,3 +188,11 @@ def test_large_groups_of_copies_are_whole_and_their_links_counted(spark):
     got = {r["media_id"]: r for r in image_copies.copy_classes(images).collect()}
     assert {i: r["class_id"] for i, r in got.items() if i < 1000} == {100 * k + i: 100 * k for k in range(3) for i in range(n)}
     assert {i: r["n_links"] for i, r in got.items()} == want and min(x for i, x in want.items() if i < 1000) >= n - 1
+
+
+@pytest.mark.parametrize("at", [0, 400, 700, 1100])
+def test_crops_of_long_pages_keep_their_corners(at):
+    words = [f"w{i}" for i in range(5000)]
+    page = image_copies.decode(image_copies._preview(" ".join(words)))
+    crop = page[at : at + page.shape[0] // 4]
+    assert image_copies.agreeing(image_copies.describe(crop), image_copies.describe(page)) >= image_copies.AGREE
