@@ -26,7 +26,7 @@ from siftwork.llm.components import components
 #: strongest within APART pixels at their scale, which depends on nearby pixels only: a crop keeps those inside it.
 CORNERS, APART = (10, 5, 2), 42
 #: 32-bit words of a descriptor; hash tables, and the bits of a key, drawn for each table.
-WORDS, TABLES, TABLE_BITS = 3, 3, 32
+WORDS, TABLES, TABLE_BITS = 3, 16, 24
 #: Radius of the patch around a corner, and how far its tests reach.
 RADIUS = 9
 #: Most differing bits of a match, least agreeing matches of a link, and pixels they may be off at scale 1.

@@ -196,3 +196,14 @@ def test_crops_of_long_pages_keep_their_corners(at):
     page = image_copies.decode(image_copies._preview(" ".join(words)))
     crop = page[at : at + page.shape[0] // 4]
     assert image_copies.agreeing(image_copies.describe(crop), image_copies.describe(page)) >= image_copies.AGREE
+
+
+def test_tables_meet_what_the_hamming_bound_admits():
+    rng = np.random.default_rng(6)
+    flat = rng.integers(0, 2, (2000, 4, 96)).astype(np.uint8)
+    edited = flat.copy()
+    for corner in edited.reshape(-1, 96):
+        corner[rng.choice(96, image_copies.HAMMING, replace=False)] ^= 1
+    one, two = (np.packbits(x, axis=2, bitorder="little").view(np.uint32).reshape(-1, 3) for x in (flat, edited))
+    met = (image_copies.table_keys(one) == image_copies.table_keys(two)).any(axis=1).reshape(-1, 4).any(axis=1)
+    assert met.mean() >= 0.93  # four corners, all of them at the bound
