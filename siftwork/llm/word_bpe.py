@@ -17,7 +17,9 @@ from tokenizers import Tokenizer
 #: for texts of the characters that PLAIN admits, already in lower case.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ɏß]+|[0-9]|[^\\sa-z0-9à-öø-ɏß]+")
 #: Characters that need none of composing, special lower case or Unicode's space and digit classes.
-UNUSUAL = re.compile("[^\\t-\\r -~À-ÖØ-öø-įĲ-ɏ]")
+#: Nor is a capital admitted whose lower case lies beyond the letters of PIECES.
+BEYOND = "".join(c for c in map(chr, range(0x132, 0x250)) if not re.fullmatch("[a-zà-öø-ɏß]+", c.lower()))
+UNUSUAL = re.compile(f"[^\\t-\\r -~À-ÖØ-öø-įĲ-ɏ]|[{BEYOND}]")
 
 
 #: Bits of the hash table of pairs, which stays far from full.

@@ -36,6 +36,14 @@ def test_words_and_merges_equal_the_library(library, spark, sf):
         assert np.frombuffer(own.ids(words), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_every_usual_character_equals_the_library(library):
+    own = bpe.Encoder(word_bpe(WORD_BPE))
+    # The capitals beyond PIECES' letters too, whether or not they are admitted.
+    texts = [t for c in map(chr, range(0x250)) for t in (c, f"a{c}b", f"{c}liyev", f"A {c}{c}1")]
+    for text, words in zip(texts, own.words(texts), strict=True):
+        assert np.frombuffer(own.ids(words), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_equals_the_library(text):
