@@ -1,7 +1,7 @@
 """Lexical retrieval packing: documents that share rare terms fill a training window together.
 
-Documents are ordered by a MinHash of their words and dealt in ranges of that order, so lexically close
-ones meet. Each range is cut into shards with a BM25 inverted index over token ids. A seed document opens
+Documents are ordered by a MinHash of their words, weighted by rarity, and dealt in ranges of that order, each
+sorted, so lexically close ones meet. Each range is cut into shards with a BM25 inverted index over token ids. A seed document opens
 a window, the index returns its unused neighbours, best first, and they fill the window; the last one is cut
 and its rest stays in the pool.
 """
@@ -24,8 +24,6 @@ WINDOW = 4096
 SHARD = 1 << 20
 #: BM25's saturation and length normalisation; fixed values in common use.
 K1, B = 1.2, 0.75
-#: Query terms in more than this share of a shard's documents say nothing and are left out.
-COMMON = 0.125
 
 
 class Bm25:
@@ -42,7 +40,6 @@ class Bm25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.rare = df <= max(2, COMMON * n)
         self.n = n
         by_doc = np.argsort(self.doc, kind="stable")
         self.row = np.repeat(np.arange(len(self.terms)), df)[by_doc]
@@ -51,7 +48,6 @@ class Bm25:
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document for the terms of one."""
         rows = self.row[self.doc_first[doc] : self.doc_first[doc + 1]]
-        rows = rows[self.rare[rows]]
         size = self.end[rows] - self.first[rows]
         at = np.arange(size.sum()) + np.repeat(self.first[rows] - np.cumsum(size) + size, size)
         return np.bincount(self.doc[at], self.weight[at], self.n).astype(float)
@@ -115,16 +111,59 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, near (MinHash of the words), ids (little-endian 32-bit, end_id last); a null text is empty."""
+    """doc_id, ids (little-endian 32-bit, end_id last); a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, end = encoder(Encoder, tokenizer, None), np.array([end_id], np.uint32).tobytes()
         for batch in rows_by_bytes(batches, "text", 2 << 20):
             ids = [words_of.ids(words) + end for words in words_of.words(batch.column(1).to_pylist())]
-            near = [int(mix(np.frombuffer(row, np.uint32)[:-1].astype(np.uint64)).min(initial=2**64 - 1) >> np.uint64(1)) for row in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "near", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, near long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
+    """The idf of each token id over all rows (ids), 0 for tokens of one document; as long as the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, n = np.zeros(1, np.int64), 0
+        for batch in rows_by_bytes(batches, "ids", 4 << 20):
+            for row in batch.column(0).to_pylist():
+                held = np.unique(np.frombuffer(row, np.uint32)[:-1])
+                if len(held) and held[-1] >= len(count) - 1:
+                    count = np.pad(count, (0, int(held[-1]) + 2 - len(count)))
+                count[held + 1] += 1
+                n += 1
+        count[0] = n  # of documents
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["token", "n"])
+
+    counts = rows.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(max((r["token"] for r in counts), default=0) + 1)
+    for r in counts:
+        df[r["token"]] = r["n"]
+    n, df = df[0], df[1:]
+    return np.where(df > 1, np.log(n / np.maximum(df, 1)), 0.0)
+
+
+def ordered(rows: DataFrame, weight: np.ndarray) -> DataFrame:
+    """doc_id, near, ids: near is made of the two least tokens, where a token's time is exponential at the rate of its weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = mix(np.arange(1, len(weight) + 1, dtype=np.uint64))
+        time = np.full(len(weight), np.inf)
+        np.divide(-np.log(((token >> np.uint64(12)).astype(float) + 0.5) / 2.0**52), weight, out=time, where=weight > 0)
+        name = (mix(token ^ np.uint64(1)) >> np.uint64(33)).astype(np.int64)
+        for batch in rows_by_bytes(batches, "ids", 4 << 20):
+            near = []
+            for row in batch.column(1).to_pylist():
+                held = np.unique(np.frombuffer(row, np.uint32)[:-1])
+                first = held[np.argsort(time[held], kind="stable")[:2]]
+                first = name[first[np.isfinite(time[first])]].tolist() + [0, 0]
+                near.append(first[0] << 31 | first[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int64()), batch.column(1)], names=["doc_id", "near", "ids"])
+
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, near long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
@@ -135,7 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
     """
     spark = docs.sparkSession
     rows = stored(tokenised(docs, tokenizer, end_id), "tokens")
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "near", "doc_id")
+    near = ordered(rows, rarity(rows))
+    dealt = near.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "near", "doc_id").sortWithinPartitions("near", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36

@@ -175,6 +175,23 @@ def test_packing_edge_tables(spark, library):
     check_packing(packing.pack(spark.createDataFrame(repeated, schema), WORD_BPE).collect(), [t for _, t in repeated], library)
 
 
+def test_documents_of_a_topic_meet_in_a_shard(spark):
+    rng = np.random.default_rng(3)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    docs = [(i, " ".join([*rng.choice(common, 150), *[f"topic{i % 40}x"] * 5, *rng.choice(common, 150)])) for i in range(400)]
+    rows = packing.tokenised(spark.createDataFrame(docs, "doc_id long, text string"), WORD_BPE, 2)
+    order = [r["doc_id"] % 40 for r in packing.ordered(rows, packing.rarity(rows)).orderBy("near", "doc_id").collect()]
+    beside = sum(a == b for a, b in zip(order, order[1:], strict=False)) / len(order)
+    assert beside >= 0.15  # 0.025 by chance
+    text = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), WORD_BPE)._jdf.queryExecution().toString()
+    assert "Sort [near" in text
+
+
+def test_common_terms_are_scored():
+    docs = [np.array([1, 2, 10 + i], np.uint32) for i in range(4)] + [np.array([3, 30 + i, 50 + i], np.uint32) for i in range(6)]
+    assert np.flatnonzero(packing.Bm25(docs).scores(0)).tolist() == [0, 1, 2, 3]
+
+
 def test_bm25_prefers_documents_that_share_rare_terms():
     rng = np.random.default_rng(0)
     docs = [np.concatenate([rng.integers(0, 50, 200), 1000 + 100 * (i % 12) + rng.integers(0, 60, 100)]).astype(np.uint32) for i in range(60)]
