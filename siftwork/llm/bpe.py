@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import most_frequent, put_shared, rows_by_bytes
+from siftwork.llm.runs import gathered
 from siftwork.llm.transducer import Transducer, compile_words
 from siftwork.llm.word_bpe import WordBpe, word_bpe
 
@@ -29,46 +30,52 @@ MEMO = 150_000
 class Encoder(dict):
     """word -> its ids as little-endian 32-bit numbers; unseen words are looked up or merged once."""
 
-    #: Beyond so many words it forgets them, and looks them up again.
+    #: So many words are remembered; others are looked up or merged in each batch that has them.
     most = 150_000
 
     def __init__(self, bpe: WordBpe, lexicon: Transducer | None = None):
         super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
+        self.numbers = {i: str(i) for i in bpe.token}
 
-    #: What is remembered of a word's ids.
-    entry = bytes
-
-    def words(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards; a null text has none."""
-        split = [self.bpe.words(t) if t else [] for t in texts]
-        if len(self) > self.most:
-            self.clear()
-        new = list(set().union(*split).difference(self))
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, those of the lexicon by the automaton, others by merging."""
+        coded = [self.get(w) for w in words]
+        new = [i for i, ids in enumerate(coded) if ids is None]
         if self.lexicon is not None:
-            found = self.lexicon.find(new)
-            self.update((word, self.entry(ids)) for word, ids in zip(new, found, strict=True) if ids is not None)
-            new = [word for word, ids in zip(new, found, strict=True) if ids is None]
-        self.update(zip(new, map(self.entry, self.bpe.merge(new)), strict=True))
-        return split
-
-    def ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
-
-
-class Speller(Encoder):
-    """word -> (number of ids, ids as text, tokens as text)."""
-
-    most = 100_000
-
-    def entry(self, ids: bytes):
-        numbers = memoryview(ids).cast("I").tolist()
-        return len(numbers), " ".join(map(str, numbers)), " ".join(map(self.bpe.token.__getitem__, numbers))
-
-
-def encoder(kind: type[Encoder], tokenizer: str, lexicon: str | None) -> Encoder:
+            for i, ids in zip(new, self.lexicon.find([words[i] for i in new]), strict=True):
+                coded[i] = ids
+            new = [i for i in new if coded[i] is None]
+        for i, ids in zip(new, self.bpe.merge([words[i] for i in new]), strict=True):
+            coded[i] = ids
+        if len(self) < self.most:
+            self.update(zip(words, coded, strict=True))
+        return coded
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; a null text has none."""
+        words, number, sizes = self.bpe.numbered(texts)
+        coded = self.of(words)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), np.uint32)
+        ids = gathered(flat, (np.cumsum(size) - size)[number], size[number])
+        ends = np.append(0, np.cumsum(size[number]))[np.append(0, np.cumsum(sizes))]
+        return ids, np.diff(ends)
+
+    def spell(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: the number of ids, ids as text and tokens as text, both joined by one space."""
+        ids, sizes = self.encode(texts)
+        ends, places, out = np.append(0, np.cumsum(sizes)).tolist(), ids.tolist(), ([], [], [])
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            out[0].append(b - a)
+            out[1].append(" ".join(map(self.numbers.__getitem__, places[a:b])))
+            out[2].append(" ".join(map(self.bpe.token.__getitem__, places[a:b])))
+        return out
+
+
+def encoder(tokenizer: str, lexicon: str | None = None) -> Encoder:
     """One for a task: what it remembers is let go with the task."""
-    return kind(word_bpe(tokenizer), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
+    return Encoder(word_bpe(tokenizer), Transducer(SparkFiles.get(lexicon)) if lexicon else None)
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -77,9 +84,9 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, counts = word_bpe(tokenizer), Counter()
         for batch in rows_by_bytes(batches, "text"):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(bpe.words(text))
+            words, number, _ = bpe.numbered(batch.column(0).to_pylist())
+            for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                counts[word] += n
             if len(counts) > MEMO:
                 yield _counted(counts)
                 counts.clear()
@@ -119,10 +126,10 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> DataF
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = encoder(Encoder, tokenizer, lexicon)
+        words_of = encoder(tokenizer, lexicon)
         for batch in rows_by_bytes(batches, "text", 2 << 20):
-            rows = [np.frombuffer(words_of.ids(words), np.int32) for words in words_of.words(batch.column(at).to_pylist())]
-            ids = pa.array(rows, pa.list_(pa.int32()))
+            flat, sizes = words_of.encode(batch.column(at).to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     return kept.mapInArrow(run, kept.withColumn("ids", F.lit(None).cast("array<int>")).schema)
@@ -146,14 +153,10 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> Data
     """Per row of docs: doc_id, n_tokens, ids_sha256 (ids as text, joined by one space) and decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = encoder(Speller, tokenizer, lexicon)
+        words_of = encoder(tokenizer, lexicon)
         for batch in rows_by_bytes(batches, "text", 2 << 20):
-            n, ids, decoded = [], [], []
-            for words in words_of.words(batch.column(1).to_pylist()):
-                counts, numbers, tokens = zip(*map(words_of.__getitem__, words), strict=True) if words else ((), (), ())
-                n.append(sum(counts))
-                ids.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
+            n, *spelt = words_of.spell(batch.column(1).to_pylist())
+            ids, decoded = ([hashlib.sha256(t.encode()).hexdigest() for t in texts] for texts in spelt)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

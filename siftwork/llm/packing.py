@@ -8,6 +8,7 @@ and its rest stays in the pool.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.bpe import Encoder, encoder
+from siftwork.llm.bpe import encoder
 from siftwork.llm.common import mix, release_memory, rows_by_bytes, stored
 
 WINDOW = 4096
 #: Tokens of a shard, the unit of one inverted index.
 SHARD = 1 << 20
+#: Shards of a range, the unit of a task.
+SHARDS = 16
 #: BM25's saturation and length normalisation; fixed values in common use.
 K1, B = 1.2, 0.75
 
@@ -114,36 +117,44 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, ids (little-endian 32-bit, end_id last); a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, end = encoder(Encoder, tokenizer, None), np.array([end_id], np.uint32).tobytes()
+        words_of, end = encoder(tokenizer), np.array([end_id], np.uint32).tobytes()
         for batch in rows_by_bytes(batches, "text", 2 << 20):
-            ids = [words_of.ids(words) + end for words in words_of.words(batch.column(1).to_pylist())]
+            flat, sizes = words_of.encode(batch.column(1).to_pylist())
+            ids = [part.tobytes() + end for part in np.split(flat, np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """The idf of each token id over all rows (ids), 0 for tokens of one document; as long as the vocabulary."""
+#: Documents whose tokens are marked at once, a row of the vocabulary each.
+MARKED = 64
+
+
+def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The idf of each token id over all rows (ids), 0 for tokens of one document; as long as the vocabulary. And all tokens' number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n = np.zeros(1, np.int64), 0
+        count, n, tokens = np.zeros(0, np.int64), 0, 0
         for batch in rows_by_bytes(batches, "ids", 4 << 20):
-            for row in batch.column(0).to_pylist():
-                held = np.unique(np.frombuffer(row, np.uint32)[:-1])
-                if len(held) and held[-1] >= len(count) - 1:
-                    count = np.pad(count, (0, int(held[-1]) + 2 - len(count)))
-                count[held + 1] += 1
-                n += 1
-        count[0] = n  # of documents
+            held = [np.frombuffer(row, np.uint32)[:-1] for row in batch.column(0).to_pylist()]
+            wide = max((int(h.max()) + 1 for h in held if len(h)), default=0)
+            if wide > len(count):
+                count = np.pad(count, (0, wide - len(count)))
+            for a in range(0, len(held), MARKED):
+                marks = np.zeros((MARKED, len(count)), bool)
+                for row, h in zip(marks, held[a : a + MARKED], strict=False):
+                    row[h] = True
+                count += marks.sum(axis=0)
+            n += len(held)
+            tokens += sum(len(h) + 1 for h in held)
         some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-1, -2], some)), pa.array(np.append([n, tokens], count[some]))], names=["token", "n"])
 
-    counts = rows.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(max((r["token"] for r in counts), default=0) + 1)
-    for r in counts:
-        df[r["token"]] = r["n"]
-    n, df = df[0], df[1:]
-    return np.where(df > 1, np.log(n / np.maximum(df, 1)), 0.0)
+    counts = {r["token"]: r["n"] for r in rows.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    n, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(max(counts, default=0) + 1)
+    df[list(counts)] = list(counts.values())
+    return np.where(df > 1, np.log(max(n, 1) / np.maximum(df, 1)), 0.0), tokens
 
 
 def ordered(rows: DataFrame, weight: np.ndarray) -> DataFrame:
@@ -153,14 +164,22 @@ def ordered(rows: DataFrame, weight: np.ndarray) -> DataFrame:
         token = mix(np.arange(1, len(weight) + 1, dtype=np.uint64))
         time = np.full(len(weight), np.inf)
         np.divide(-np.log(((token >> np.uint64(12)).astype(float) + 0.5) / 2.0**52), weight, out=time, where=weight > 0)
-        name = (mix(token ^ np.uint64(1)) >> np.uint64(33)).astype(np.int64)
+        # Places by time, distinct for distinct tokens; tokens of no weight come last, under one name.
+        place = np.empty(len(weight), np.int64)
+        place[np.argsort(time, kind="stable")] = np.arange(len(weight))
+        name = np.append((mix(token ^ np.uint64(1)) >> np.uint64(33)).astype(np.int64)[np.argsort(place)], 0)
+        name[np.searchsorted(np.sort(time), np.inf) :] = 0
         for batch in rows_by_bytes(batches, "ids", 4 << 20):
-            near = []
-            for row in batch.column(1).to_pylist():
-                held = np.unique(np.frombuffer(row, np.uint32)[:-1])
-                first = held[np.argsort(time[held], kind="stable")[:2]]
-                first = name[first[np.isfinite(time[first])]].tolist() + [0, 0]
-                near.append(first[0] << 31 | first[1])
+            rows = batch.column(1).to_pylist()
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            ends = np.cumsum(sizes)
+            at = np.minimum(np.frombuffer(b"".join(rows), np.uint32), len(weight))
+            at = np.append(place, len(weight))[at]
+            at[ends - 1] = len(weight)  # the end token
+            first = np.minimum.reduceat(at, ends - sizes)
+            at[at == np.repeat(first, sizes)] = len(weight)
+            second = np.minimum.reduceat(at, ends - sizes)
+            near = name[first] << 31 | name[second]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int64()), batch.column(1)], names=["doc_id", "near", "ids"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, near long, ids binary")
@@ -174,8 +193,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
     """
     spark = docs.sparkSession
     rows = stored(tokenised(docs, tokenizer, end_id), "tokens")
-    near = ordered(rows, rarity(rows))
-    dealt = near.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "near", "doc_id").sortWithinPartitions("near", "doc_id")
+    weight, total = rarity(rows)
+    # Ranges grow in number with the tokens, so that a task's bytes do not; equal documents are told apart by their ids' hash.
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (SHARDS * SHARD)))
+    order = ("near", "doc_id", F.xxhash64("ids"))
+    dealt = ordered(rows, weight).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36

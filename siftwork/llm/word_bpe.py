@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from siftwork.llm.runs import as_text, code_points, distinct
+
 #: The contractions, letters, single digits and other signs of the tokenizer's split pattern,
 #: for texts of the characters that PLAIN admits, already in lower case.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ɏß]+|[0-9]|[^\\sa-z0-9à-öø-ɏß]+")
@@ -24,6 +26,38 @@ UNUSUAL = re.compile(f"[^\\t-\\r -~À-ÖØ-öø-įĲ-ɏ]|[{BEYOND}]")
 
 #: Bits of the hash table of pairs, which stays far from full.
 SLOTS = 18
+SPACE, LETTER, DIGIT, SIGN = range(4)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point up to U+024F and one for all beyond: is it plain, its lower case, and that one's kind."""
+    plain, lower, kind = np.zeros(0x251, bool), np.zeros(0x251, np.uint32), np.zeros(0x251, np.int8)
+    for i in range(0x250):
+        low = chr(i).lower()
+        plain[i], lower[i] = not UNUSUAL.search(chr(i)), ord(low[0])
+        kind[i] = SPACE if low.isspace() else DIGIT if "0" <= low <= "9" else LETTER if re.fullmatch("[a-zà-öø-ɏß]+", low) else SIGN
+    return plain, lower, kind
+
+
+IS_PLAIN, LOWER, KIND = _tables()
+
+
+def plain_pieces(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what PIECES finds in plain lower-case code points, which end in a space."""
+    kind = KIND[units]
+    new = np.ones(len(units), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    quote = np.flatnonzero((units == ord("'")) & new)  # inside a run of signs it is one of them
+    if len(quote):
+        a, b = (units[np.minimum(quote + i, len(units) - 1)] for i in (1, 2))
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        new[quote[one] + 1], new[quote[two] + 1] = False, False
+        new[quote[one] + 2], new[quote[two] + 3] = True, True
+    bounds = np.append(np.flatnonzero(new), len(units))
+    starts, ends = bounds[:-1], bounds[1:]
+    words = kind[starts] != SPACE
+    return starts[words], ends[words]
 
 
 def byte_letters() -> list[str]:
@@ -67,6 +101,31 @@ class WordBpe:
             at = m.end()
         return out + self._unusual(text[at:])
 
+    def numbered(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of many texts, the number of each word in text order, and how many each text has; null is empty."""
+        texts = [t or "" for t in texts]
+        units, ends = code_points(texts)
+        capped = np.minimum(units, 0x250)
+        odd = ~IS_PLAIN[capped]
+        odd[:-1] |= (units[:-1] == ord("<")) & (units[1:] == ord("|"))
+        others = np.unique(np.searchsorted(ends, np.flatnonzero(odd))).tolist()
+        lower = LOWER[capped]
+        for i in others:
+            lower[ends[i] - len(texts[i]) : ends[i]] = ord(" ")
+        starts, stops = plain_pieces(lower)
+        first, number = distinct(lower, starts, stops)
+        whole = as_text(lower)
+        words = [whole[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
+        if others:
+            known = {w: i for i, w in enumerate(words)}
+            parts = np.split(number, np.cumsum(sizes)[:-1])
+            for i in others:
+                parts[i] = np.array([known.setdefault(w, len(known)) for w in self.words(texts[i])], np.int64)
+                sizes[i] = len(parts[i])
+            words, number = list(known), np.concatenate(parts)
+        return words, number, sizes
+
     def _unusual(self, text: str) -> list[str]:
         """Words by the file's own normaliser and split pattern; offsets are into the normalised text."""
         if not UNUSUAL.search(text):
