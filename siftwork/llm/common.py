@@ -50,9 +50,14 @@ def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toString()
 
 
+def hash_threshold(hashed: Column, share: float) -> Column:
+    """True for about that share of 64-bit hashes, the least ones; for all of them from a share of 1 on."""
+    return hashed <= F.lit(min(2**63 - 1, int((min(1.0, share) * 2 - 1) * 2**63)))
+
+
 def hash_below(col: Column, share: float) -> Column:
     """A repeatable choice of about that share of the values of col."""
-    return F.xxhash64(col) <= F.lit(min(2**63 - 1, int((min(1.0, share) * 2 - 1) * 2**63)))
+    return hash_threshold(F.xxhash64(col), share)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:

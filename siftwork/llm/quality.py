@@ -1,7 +1,9 @@
 """A quality classifier learned from trusted positives and unlabelled texts.
 
-A logistic model over text statistics minimises the non-negative unbiased risk of positive-unlabelled
-learning: pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)), with the class prior pi estimated.
+A small network over text statistics minimises the non-negative unbiased risk of positive-unlabelled
+learning: pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)). The class prior pi is estimated from
+the same two samples: no share of scores above a threshold can be smaller among the unlabelled than pi times
+that among the positives, so the least ratio over thresholds is taken, on rows that a first fit has not seen.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import hash_below, rows_by_bytes
+from siftwork.llm.common import hash_threshold, rows_by_bytes
 
 WORDS = re.compile(r"\S+")
 #: Features: shares of each byte value, then the measures of measures().
@@ -130,37 +132,46 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return QualityModel(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, by the least ratio of shares above a threshold, with its sampling error added."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    model = fit_pu(positive[::2], unlabelled[::2], 0.5, steps=200)
+    p, u = np.sort(model.scores(positive[1::2])), np.sort(model.scores(unlabelled[1::2]))
+    at = np.unique(np.concatenate([p, u]))
+    of_p, of_u = (1 - np.searchsorted(x, at, "left") / len(x) for x in (p, u))
+    error = np.sqrt(np.log(20) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    some = of_p > error
+    best = np.argmin((of_u[some] + error) / of_p[some]) if some.any() else 0
+    return float(np.clip((of_u[some] / of_p[some])[best], 0.02, 0.98)) if some.any() else 0.5
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> QualityModel | None:
     """Learns from docs (doc_id, text) and labels (doc_id, quality): quality 1 are the trusted positives.
 
-    At most about max_rows positives and max_rows unlabelled texts are used, chosen by a hash of the id;
-    labelled texts without their labels are part of the unlabelled ones. The class prior is the share of
-    positives among labelled rows. Several labels of one document count as their largest; null labels and
-    null texts teach nothing. None if there are no positives.
+    At most max_rows positives and max_rows unlabelled texts are used, those of the least hashes of doc_id and text;
+    labelled texts without their labels are part of the unlabelled ones. Labels other than 1 teach nothing, nor do
+    null labels and null texts. Several labels of one document count as their largest. None if there are no positives.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    counted = known.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("positive")).first()
-    if not counted["positive"]:
-        return None
-    prior = min(0.98, max(0.02, counted["positive"] / counted["n"]))
-    sampled = known.where((F.col("quality") == 1) & hash_below(F.col("doc_id"), max_rows / counted["positive"]))
-    n = texts.count()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "text", 2 << 20):
-            rows = features(batch.column(0).to_pylist()).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["x"])
-
-    def gathered(df: DataFrame) -> np.ndarray:
-        rows = df.select("text").mapInArrow(vectors, "x binary").limit(2 * max_rows).collect()
+            rows = features(batch.column(1).to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["h", "x"])
+
+    def gathered(df: DataFrame, salt: int) -> np.ndarray:
+        # Twice the share, so that the rows of least hashes are nearly always among them; the features of others are not computed.
+        share = F.xxhash64(F.lit(salt), "doc_id", "text").alias("h")
+        near = df.select(share, "text").where(hash_threshold(F.col("h"), 2 * max_rows / max(1, df.count())))
+        rows = near.mapInArrow(vectors, "h long, x binary").orderBy("h").limit(max_rows).collect()
         return np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in rows], float).reshape(-1, N_FEATURES)
 
-    positive = gathered(texts.join(sampled, "doc_id", "left_semi"))
-    unlabelled = gathered(texts.where(hash_below(F.concat(F.lit("u"), F.col("doc_id").cast("string")), max_rows / max(1, n))))
+    positive, unlabelled = gathered(texts.join(good, "doc_id", "left_semi"), 1), gathered(texts, 2)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit_pu(positive, unlabelled, prior)
+    return fit_pu(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3) -> DataFrame:
