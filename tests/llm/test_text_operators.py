@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftwork.llm import bpe, language_id, packing, quality, token_counts
+from siftwork.llm import bpe, language_id, packing, quality, runs, token_counts
 from siftwork.llm.transducer import Transducer, compile_words
 from siftwork.llm.word_bpe import word_bpe
 
@@ -24,6 +24,11 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", "i", "r") for i, t in enumerate(texts)] + [(None, "no id", None, None, None, None), (1, "", "en", "s", "i", "r")], DOCS)
 
 
+def encoded(texts):
+    ids, sizes = bpe.Encoder(word_bpe(WORD_BPE)).encode(texts)
+    return [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(WORD_BPE)
@@ -31,24 +36,39 @@ def library():
 
 def test_words_and_merges_equal_the_library(library, spark, sf):
     texts = [t or "" for t in HARD] + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    own = bpe.Encoder(word_bpe(WORD_BPE))
-    for text, words in zip(texts, own.words(texts), strict=True):
-        assert np.frombuffer(own.ids(words), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+    for text, ids in zip(texts, encoded(texts), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 def test_every_usual_character_equals_the_library(library):
-    own = bpe.Encoder(word_bpe(WORD_BPE))
     # The capitals beyond PIECES' letters too, whether or not they are admitted.
     texts = [t for c in map(chr, range(0x250)) for t in (c, f"a{c}b", f"{c}liyev", f"A {c}{c}1")]
-    for text, words in zip(texts, own.words(texts), strict=True):
-        assert np.frombuffer(own.ids(words), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+    for text, ids in zip(texts, encoded(texts), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_equals_the_library(text):
-    library, own = Tokenizer.from_file(WORD_BPE), bpe.Encoder(word_bpe(WORD_BPE))
-    assert np.frombuffer(own.ids(own.words([text])[0]), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    library = Tokenizer.from_file(WORD_BPE)
+    assert encoded([text, None, "and", text]) == [library.encode(t, add_special_tokens=False).ids for t in (text, "", "and", text)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab'strevlmd0 9.,-éÀ\nß<|>SRx€İ", max_size=20)), max_size=5))
+def test_pieces_of_many_texts_equal_those_of_one(texts):
+    own = word_bpe(WORD_BPE)
+    words, number, sizes = own.numbered(texts)
+    assert len(set(words)) == len(words)
+    assert [[words[i] for i in part] for part in np.split(number, np.cumsum(sizes)[:-1])][: len(texts)] == [own.words(t or "") for t in texts]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    units, _ = runs.code_points(["one two one three two"])
+    starts, ends = np.array([0, 4, 8, 12, 18]), np.array([3, 7, 11, 17, 21])
+    monkeypatch.setattr(runs.ByteHash, "slices", lambda self, a, b: np.zeros(len(a), np.uint64))
+    first, number = runs.distinct(units, starts, ends)
+    assert [runs.as_text(units[starts[i] : ends[i]]) for i in first[number]] == ["one", "two", "one", "three", "two"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -180,13 +200,55 @@ def test_documents_of_a_topic_meet_in_a_shard(spark):
     common = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
     docs = [(i, " ".join([*rng.choice(common, 150), *[f"topic{i % 40}x"] * 5, *rng.choice(common, 150)])) for i in range(400)]
     rows = packing.tokenised(spark.createDataFrame(docs, "doc_id long, text string"), WORD_BPE, 2)
-    order = [r["doc_id"] % 40 for r in packing.ordered(rows, packing.rarity(rows)).orderBy("near", "doc_id").collect()]
+    order = [r["doc_id"] % 40 for r in packing.ordered(rows, packing.rarity(rows)[0]).orderBy("near", "doc_id").collect()]
     beside = sum(a == b for a, b in zip(order, order[1:], strict=False)) / len(order)
     assert beside >= 0.15  # 0.025 by chance
     text = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), WORD_BPE)._jdf.queryExecution().toString()
     assert "Sort [near" in text
 
 
+def test_bm25_scores_equal_the_formula():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint32) for _ in range(25)]
+    index, mean = packing.Bm25(docs), np.mean([len(d) for d in docs])
+    for q, asked in enumerate(docs):
+        want = np.zeros(len(docs))
+        for term in set(asked.tolist()):
+            df = sum(term in d for d in docs)
+            for i, d in enumerate(docs):
+                tf = int((d == term).sum())
+                want[i] += np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        assert np.allclose(index.scores(q), want)
+
+
+def test_rarity_counts_documents_and_order_takes_the_two_least_tokens(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MARKED", 3)
+    rng = np.random.default_rng(1)
+    docs = [np.append(rng.integers(3, 40, rng.integers(0, 30)), 2).astype(np.uint32) for _ in range(50)]
+    rows = spark.createDataFrame([(i, bytearray(d.tobytes())) for i, d in enumerate(docs)], "doc_id long, ids binary")
+    weight, total = packing.rarity(rows)
+    held = [set(d[:-1].tolist()) for d in docs]
+    df = [sum(t in h for h in held) for t in range(len(weight))]
+    assert total == sum(map(len, docs)) and np.allclose(weight, [np.log(50 / n) if n > 1 else 0 for n in df])
+    near = {r["doc_id"]: r["near"] for r in packing.ordered(rows, weight).collect()}
+    token = packing.mix(np.arange(1, len(weight) + 1, dtype=np.uint64))
+    time = [-np.log(((int(h) >> 12) + 0.5) / 2.0**52) / w if w > 0 else np.inf for h, w in zip(token, weight, strict=True)]
+    name = (packing.mix(token ^ np.uint64(1)) >> np.uint64(33)).astype(int).tolist()
+    for i, h in enumerate(held):
+        first = [name[t] for t in sorted(h, key=lambda t: (time[t], t)) if np.isfinite(time[t])][:2] + [0, 0]
+        assert near[i] == first[0] << 31 | first[1]
+
+
+def test_packing_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Many shards in a range, two orders of arrival: the same pieces in the same sequences."""
+    monkeypatch.setattr(packing, "SHARD", 1500)
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(["red", "green", "blue", "ochre", "teal"], 90)) + f" w{i % 20}") for i in range(300)]
+    packed = [spark.createDataFrame(d, "doc_id long, text string").repartition(n) for d, n in ((docs, 16), (docs[::-1], 5))]
+    one, two = ({(r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in packing.pack(d, WORD_BPE, window=256).collect()} for d in packed)
+    assert one == two and len(one) >= 300
+
+
 def test_common_terms_are_scored():
     docs = [np.array([1, 2, 10 + i], np.uint32) for i in range(4)] + [np.array([3, 30 + i, 50 + i], np.uint32) for i in range(6)]
     assert np.flatnonzero(packing.Bm25(docs).scores(0)).tolist() == [0, 1, 2, 3]
@@ -216,9 +278,9 @@ def test_language_id_on_held_out_rows(spark, sf):
 
 
 def test_language_id_backs_off_to_shorter_grams(spark):
-    docs = spark.createDataFrame([("der hund und die katze " * 5, "de"), ("the dog and the cat sat " * 5, "en"), (None, "en"), ("xx", None)], "text string, lang string")
+    docs = spark.createDataFrame([(1, "der hund und die katze " * 5, "de"), (2, "the dog and the cat sat " * 5, "en"), (3, None, "en"), (4, "xx", None)], "doc_id long, text string, lang string")
     model = language_id.fit(docs)
-    assert model.languages == ["de", "en"] and "hund" in model.words
+    assert model.languages == ["de", "en"] and model.words.find(language_id.term_hashes(["hund", "xx"]))[0] >= 0 > model.words.find(language_id.term_hashes(["xx"]))[0]
     unseen = spark.createDataFrame([(0, "hunde"), (1, "dogs"), (2, None), (3, ""), (4, "12 !?"), (7, "² ½"), (5, "и"), (6, "the " * 90000)], "score long, text string")
     got = {r["text"][:5] if r["text"] else r["text"]: (r["lang_pred"], r["score"]) for r in language_id.identify(unseen, model).collect()}
     assert got["hunde"][0] == "de" and got["dogs"][0] == "en" and got["the t"][0] == "en"
@@ -227,6 +289,64 @@ def test_language_id_backs_off_to_shorter_grams(spark):
     assert {r["lang_pred"] for r in language_id.identify(unseen, language_id.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_id_equals_plain_counting(spark):
+    """Log frequencies and backoff by dictionaries, word by word."""
+    train = [("de", "der Hund und die Katze, der Hund schläft Æ"), ("en", "the dog and the cat the dog sleeps"), ("fr", "le chien et le chat dorment ici dogue"), ("en", "cats and dogs")]
+    docs = spark.createDataFrame([(i, t, lang, "x") for i, (lang, t) in enumerate(train)], "doc_id long, text string, lang string, score string")
+    langs = ["de", "en", "fr"]
+
+    def logs(terms):
+        table = {}
+        for lang, term in terms:
+            table.setdefault(term, [0, 0, 0])[langs.index(lang)] += 1
+        total = [sum(row[k] for row in table.values()) for k in range(3)]
+        return {t: np.log([(row[k] + 0.5) / (total[k] + 0.5 * len(table)) for k in range(3)]) for t, row in table.items()}
+
+    def split(text):
+        return language_id.WORD.findall(text.lower())
+
+    seen = [(lang, w) for lang, t in train for w in split(t)]
+    words = logs(seen)
+    grams = {order: logs([(lang, g) for lang, w in seen for g in language_id.grams(w, order)]) for order in language_id.ORDERS}
+
+    def score(word):
+        if word in words:
+            return words[word]
+        for order in language_id.ORDERS:
+            rows = [grams[order][g] for g in language_id.grams(word, order) if g in grams[order]]
+            if rows:
+                return np.mean(rows, axis=0) * min(4, len(word)) / order
+        return np.zeros(3)
+
+    asked = ["Hunde katzen", "dogged cat", "chienne", "z qq æ dog", "x", "unbekannt " * 50, "²", "a1b_c", "ΣΑΣ İ dog", "the der le"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in language_id.identify(table, language_id.fit(docs)).collect()}
+    for text in asked:
+        total = np.sum([score(w) for w in split(text)], axis=0) if any(c.isalpha() for c in text) else None
+        if total is None:
+            assert got[text] == ("und", 0.0)
+            continue
+        posterior = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[text] == (langs[int(total.argmax())], pytest.approx(posterior.max(), abs=1e-5)), text
+
+
+def test_language_id_learns_from_few_rows_and_from_many_copies(spark):
+    rows = [(i, "the dog sat", "en") for i in range(3000)] + [(5, "the cat sat", "en")] * 300 + [(9000, "der hund", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_docs=10)
+    assert model.languages == ["de", "en"]
+    assert [r["lang_pred"] for r in language_id.identify(docs.limit(1).selectExpr("'hund' AS text"), model).collect()] == ["de"]
+
+
+def test_class_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(5)
+    for share in (0.25, 0.6):
+        labels = rng.random(4000) < share
+        cloud = lambda good: np.where(good[:, None], 1.6, -1.6) + rng.normal(size=(len(good), 3))
+        found = quality.class_prior(cloud(np.ones(2000, bool)), cloud(labels))
+        assert abs(found - share) < 0.08, (share, found)
+
+
 def test_quality_on_held_out_rows(spark):
     from siftwork.llm.common import held_out
 
