@@ -22,7 +22,7 @@ class Template:
 
     open: str = "### "
     middle: str = ": "
-    close: str = " </turn>\n"
+    close: str = "\n</turn>\n"
     mark: str = "</turn>"
     labels: dict[str, str] = field(default_factory=lambda: {"system": "System", "user": "User", "assistant": "Assistant"})
     loss_roles: tuple[str, ...] = ("assistant",)
@@ -30,6 +30,15 @@ class Template:
     transitions: dict[str, dict[str, str]] = field(default_factory=lambda: {"start": {"system": "told", "user": "asked"}, "told": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}})
     final: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self) -> None:
+        for control in (self.open, self.mark):
+            if any(self.close.startswith(control[i:]) or self.middle.endswith(control[:i]) for i in range(1, len(control))):
+                raise ValueError(f"{control!r} could arise where a text meets the template")
+        if len(set(self.labels.values())) < len(self.labels):
+            raise ValueError("two roles have one label")
+        if self.mark not in self.close or not all((self.open, self.middle, self.close, self.mark)):
+            raise ValueError("close must hold the mark, and no string may be empty")
+
 
 #: Escapes inside texts: the backslash first, so that every backslash of the output begins an escape.
 def _escapes(t: Template) -> list[tuple[str, str]]:
@@ -76,7 +85,10 @@ def formatted(convs: DataFrame, t: Template = Template()) -> DataFrame:
         return F.struct(text.alias("text"), loss.alias("loss"))
 
     def of_turn(x: Column) -> Column:
+        # A role that is spelt as the label of another is marked as itself.
         label = F.replace(escaped(F.coalesce(F.try_element_at(labels, x["role"]), x["role"]), t), F.lit(t.middle), F.lit("\\c"))
+        own = ~x["role"].isin(*t.labels) & x["role"].isin(*t.labels.values())
+        label = F.concat(F.when(own, "\\r").otherwise(""), label)
         return F.array(
             segment(F.concat(F.lit(t.open), label, F.lit(t.middle)), F.lit(False)),
             segment(escaped(x["text"], t), x["role"].isin(*t.loss_roles)),
@@ -92,7 +104,7 @@ def formatted(convs: DataFrame, t: Template = Template()) -> DataFrame:
 
 
 def read_back(df: DataFrame, t: Template = Template()) -> DataFrame:
-    """Adds read (array of role, text) parsed from `formatted`, and trained: the unescaped text under the loss mask."""
+    """Adds read (array of role, text) parsed from `formatted`, and trained: of these, the text of the roles under the loss mask."""
     names = _map({label: role for role, label in t.labels.items()})
     # split() takes a pattern; the close string is quoted, and the piece behind the last one is empty.
     pieces = F.filter(F.split("formatted", "\\Q" + t.close + "\\E", -1), lambda x: x != "")
@@ -100,12 +112,16 @@ def read_back(df: DataFrame, t: Template = Template()) -> DataFrame:
     def parsed(piece: Column) -> Column:
         body = F.substring(piece, F.lit(len(t.open) + 1), F.length(piece))
         cut = F.instr(body, t.middle)
-        label = unescaped(F.replace(F.substring(body, F.lit(1), cut - 1), F.lit("\\c"), F.lit(t.middle)), t)
+        head = F.substring(body, F.lit(1), cut - 1)
+        own = F.startswith(head, F.lit("\\r"))
+        head = F.when(own, F.substring(head, F.lit(3), F.length(head))).otherwise(head)
+        label = unescaped(F.replace(head, F.lit("\\c"), F.lit(t.middle)), t)
         text = unescaped(F.substring(body, cut + len(t.middle), F.length(body)), t)
-        return F.struct(F.coalesce(F.try_element_at(names, label), label).alias("role"), text.alias("text"))
+        return F.struct(F.when(own, label).otherwise(F.coalesce(F.try_element_at(names, label), label)).alias("role"), text.alias("text"))
 
-    trained = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t))
-    return df.withColumn("read", F.transform(pieces, parsed)).withColumn("trained", F.array_join(trained, ""))
+    read = F.transform(pieces, parsed)
+    trained = F.transform(F.filter("read", lambda x: x["role"].isin(*t.loss_roles)), lambda x: x["text"])
+    return df.withColumn("read", read).withColumn("trained", F.array_join(trained, ""))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables hold no pictures; the media column is a preview drawn from each page's visible text."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("media_id"), image_copies.page_text(F.col("html")).alias("shown"))
     classes = image_copies.copy_classes(image_copies.previews(pages, "shown").select("media_id", "image"))
-    return classes.select(F.col("media_id").alias("page_id"), "class_id", "n_links", "n_corners")
+    return classes.select(F.col("media_id").alias("page_id"), "class_id", "n_corners")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +84,15 @@ ORACLES: dict[str, str] = {
             SELECT *, coalesce(map {'system': 'System', 'user': 'User', 'assistant': 'Assistant'}[role], role) AS label FROM turns
         ), escaped AS (
             SELECT *, replace(replace(replace(text, '\', '\e'), '### ', '\o'), '</turn>', '\m') AS body,
-                replace(replace(replace(replace(label, '\', '\e'), '### ', '\o'), '</turn>', '\m'), ': ', '\c') AS head
+                CASE WHEN role IN ('System', 'User', 'Assistant') THEN '\r' ELSE '' END
+                || replace(replace(replace(replace(label, '\', '\e'), '### ', '\o'), '</turn>', '\m'), ': ', '\c') AS head
             FROM shown
         )
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(length('### ' || head || ': ' || body || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+            CAST(sum(length('### ' || head || ': ' || body || chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
             regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid
         FROM escaped GROUP BY conv_id
     """,
