@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -24,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def nullable(schema: StructType) -> StructType:
+    """The schema with nulls allowed throughout, as Arrow tables from tasks have it."""
+    text = schema.json()
+    for what in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{what}":false', f'"{what}":true')
+    return StructType.fromJson(json.loads(text))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is configured, as in tests."""
     sc = spark.sparkContext

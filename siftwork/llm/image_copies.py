@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.buckets import one_of_equal, stars, tiles
 from siftwork.llm.common import ByteHash, mix, release_memory, rows_by_bytes, stored
 from siftwork.llm.components import components
 
@@ -33,8 +34,10 @@ RADIUS = 9
 HAMMING, AGREE, OFF = 10, 4, 3.0
 #: Radians by which the turn of an agreeing match may differ from the transform's.
 TURN = 0.4
-#: Table entries with more images than this are compared in tiles of two blocks with so many descriptor bytes.
+#: Table entries with more images than this are compared with a pivot, then in tiles of two blocks with so many descriptor bytes.
 SMALL, BLOCK = 16, 96 << 10
+#: Larger pictures count as unreadable, since a task decodes a picture whole.
+MOST_PIXELS = 1 << 27
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -43,6 +46,8 @@ def decode(data: bytes | None) -> np.ndarray | None:
         if data and data[:2] in (b"P5", b"P6"):
             m = re.match(rb"P[56]\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+255\s", data)
             w, h, k = int(m[1]), int(m[2]), 1 if data[:2] == b"P5" else 3
+            if w * h > MOST_PIXELS:
+                return None
             pixels = np.frombuffer(data, np.uint8, w * h * k, m.end()).reshape(h, w, k)
             return pixels[..., 0] if k == 1 else pixels.mean(axis=2)
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -64,9 +69,9 @@ def _png(data: bytes) -> np.ndarray | None:
         at += n + 12
     w, h, depth, colour, _, _, interlaced = size
     k = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlaced:
+    if depth != 8 or interlaced or w * h > MOST_PIXELS:
         return None
-    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, w * k + 1)
+    lines = np.frombuffer(zlib.decompressobj().decompress(packed, h * (w * k + 1)), np.uint8).reshape(h, w * k + 1)
     out = np.zeros((h + 1, w + 1, k), np.int64)
     for y in range(h):  # PNG's line filters: none, left, above, mean of both, nearest of three
         line, how = lines[y, 1:].reshape(w, k).astype(np.int64), lines[y, 0]
@@ -89,7 +94,8 @@ def _png(data: bytes) -> np.ndarray | None:
 
 
 def pgm(pixels: np.ndarray) -> bytes:
-    return b"P5 %d %d 255\n" % (pixels.shape[1], pixels.shape[0]) + np.clip(np.rint(pixels), 0, 255).astype(np.uint8).tobytes()
+    whole = pixels if pixels.dtype == np.uint8 else np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
+    return b"P5 %d %d 255\n" % (pixels.shape[1], pixels.shape[0]) + whole.tobytes()
 
 
 def _tests() -> np.ndarray:
@@ -114,27 +120,32 @@ _DISC = _GRID[:, (_GRID**2).sum(axis=0) <= RADIUS**2]
 
 
 def _box(a: np.ndarray) -> np.ndarray:
-    """Sums over 3 x 3 pixels; zero on the border, where no corner is looked for."""
+    """Sums over 3 x 3 pixels of each plane; zero on the border, where no corner is looked for."""
     out = np.zeros_like(a)
-    b = a[:-2] + a[1:-1]
-    b += a[2:]
-    inner = out[1:-1, 1:-1]
-    np.add(b[:, :-2], b[:, 1:-1], out=inner)
-    inner += b[:, 2:]
+    b = a[..., :-2, :] + a[..., 1:-1, :]
+    b += a[..., 2:, :]
+    inner = out[..., 1:-1, 1:-1]
+    np.add(b[..., :-2], b[..., 1:-1], out=inner)
+    inner += b[..., 2:]
     return out
 
 
-def _highest_within(a: np.ndarray, reach: int) -> np.ndarray:
-    """The largest value within so many rows and columns of each place, by doubling."""
-    for _ in range(2):
-        n = len(a)
-        b, width = np.pad(a, ((reach, reach), (0, 0))), 1
-        while width < 2 * reach + 1:
-            step = min(width, 2 * reach + 1 - width)
-            b = np.maximum(b[:-step], b[step:])
-            width += step
-        a = b[:n].T
-    return a
+def _alone(y: np.ndarray, x: np.ndarray, strength: np.ndarray, reach: int) -> np.ndarray:
+    """True for peaks, given by rows, with no stronger one within so many rows and columns."""
+    out = np.zeros(len(y), bool)
+    if not len(y):
+        return out
+    # Peaks of one cell are within reach of each other, so only the strongest of a cell can be alone.
+    cell = y // (reach + 1) * (int(x.max()) // (reach + 1) + 1) + x // (reach + 1)
+    top = np.zeros(int(cell.max()) + 1, strength.dtype)
+    np.maximum.at(top, cell, strength)
+    some = np.flatnonzero(strength >= top[cell])
+    for a in range(0, len(some), 64):
+        own = some[a : a + 64]
+        near = slice(*np.searchsorted(y, [y[own[0]] - reach, y[own[-1]] + reach + 1]))
+        close = (np.abs(y[own, None] - y[near]) <= reach) & (np.abs(x[own, None] - x[near]) <= reach)
+        out[own] = ~(close & (strength[near] > strength[own, None])).any(axis=1)
+    return out
 
 
 def table_keys(bits: np.ndarray) -> np.ndarray:
@@ -153,22 +164,26 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             image = (image[:h:2, :w:2] + image[1:h:2, :w:2] + image[:h:2, 1:w:2] + image[1:h:2, 1:w:2]) / 4
         if min(image.shape) < 2 * RADIUS + 3:
             break
-        smooth = _box(image) / 9
-        dy, dx = np.zeros_like(smooth), np.zeros_like(smooth)
-        dy[1:-1] = smooth[2:] - smooth[:-2]
-        dx[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
-        xx, yy, xy = _box(dx * dx), _box(dy * dy), _box(dx * dy)
-        strength = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)  # the smaller eigenvalue
+        smooth = _box(image)
+        smooth *= np.float32(1 / 9)
+        products = np.zeros((3, *smooth.shape), np.float32)
+        dy, dx = smooth[2:, 1:-1] - smooth[:-2, 1:-1], smooth[1:-1, 2:] - smooth[1:-1, :-2]
+        for plane, (p, q) in zip(products, ((dx, dx), (dy, dy), (dx, dy)), strict=True):
+            np.multiply(p, q, out=plane[1:-1, 1:-1])
         edge = RADIUS + 1
-        s = strength[edge - 1 : 1 - edge, edge - 1 : 1 - edge]
-        highest = np.maximum(np.maximum(s[:, :-2], s[:, 2:]), s[:, 1:-1])
-        beside = np.maximum(s[1:-1, :-2], s[1:-1, 2:])
-        highest = np.maximum(np.maximum(highest[:-2], highest[2:]), beside)
-        peaks = np.where((s[1:-1, 1:-1] >= highest) & (s[1:-1, 1:-1] > 25), s[1:-1, 1:-1], 0)
-        y, x = np.nonzero(peaks)
-        alone = peaks[y, x] >= _highest_within(peaks, APART)[y, x]
+        xx, yy, xy = _box(products[:, edge - 2 : 2 - edge, edge - 2 : 2 - edge])[:, 1:-1, 1:-1]
+        half = (xx - yy) / 2
+        half *= half
+        half += xy * xy
+        strength = (xx + yy) / 2 - np.sqrt(half)  # the smaller eigenvalue
+        inner = strength[1:-1, 1:-1]
+        across = np.maximum(np.maximum(strength[:-2], strength[2:]), strength[1:-1])
+        highest = np.maximum(np.maximum(across[:, :-2], across[:, 2:]), across[:, 1:-1])
+        y, x = np.nonzero((inner >= highest) & (inner > 25))
+        strength = inner[y, x]
+        alone = _alone(y, x, strength, APART)
         y, x = y + edge, x + edge
-        order = np.argsort(-strength[y, x], kind="stable")
+        order = np.argsort(-strength, kind="stable")
         order = order[alone[order] | (np.arange(len(order)) < most)]
         y, x = y[order], x[order]
         if not len(y):
@@ -224,6 +239,8 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     if not len(ca) or not len(cb):
         return 0
     i, j = _like(ba, bb)
+    if enough < np.inf and min(len(set(i.tolist())), len(set(j.tolist()))) < enough:
+        return 0
     turns, best = cb[j, 3] - ca[i, 3], 0
     for k in range(len(i)):
         scale, turn = cb[j[k], 2] / ca[i[k], 2], turns[k]
@@ -253,28 +270,37 @@ def _entries(nodes: DataFrame) -> DataFrame:
 
 
 def copy_classes(images: DataFrame) -> DataFrame:
-    """media_id, class_id, n_links, n_corners for every row of images (media_id, image).
+    """media_id, class_id, n_corners for every row of images (media_id, image).
 
-    class_id is the smallest media_id that links connect; n_links counts linked images of other pixels.
-    Images of the same pixels are one node. Null, empty and unreadable images are a class of their own,
-    as are images without corners, unless their pixels are the same.
+    class_id is the smallest media_id of those that links connect; images of the same pixels are one node. Null,
+    empty and unreadable images are a class of their own, as are images without corners, unless their pixels
+    are the same. Pairs meet by a table entry whose descriptors are alike in both; in entries of many images
+    the pairs that are linked through others already are left out, all others are compared.
     """
     described = stored(_described(images), "corners")
     nodes = stored(described.where("node IS NOT NULL").groupBy("node").agg(F.min("media_id").alias("media_id"), F.first("corners").alias("corners"), F.first("bits").alias("bits")), "nodes")
     entries = stored(_entries(nodes), "table")
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(sizes, "key"), "entries")
-    large = stored(met.where(F.col("n") > SMALL).select("key", "node").distinct(), "large")
-    big = large.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("big"))
-    parts = stored(nodes.select("node", "corners", "bits").join(big, "node", "left"), "parts")
-
-    # Pairs of small entries, unless a large entry has them too: each pair of images is compared once.
     few = met.where(F.col("n") <= SMALL)
     one, two = (few.select("key", F.col("node").alias(x), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}")) for x in "ab")
     apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (apart <= HAMMING)).select("a", "b").distinct()
-    a, b = (parts.select(F.col("node").alias(x), F.col("corners").alias(f"c{x}"), F.col("bits").alias(f"b{x}"), F.col("big").alias(f"k{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(~F.coalesce(F.arrays_overlap("ka", "kb"), F.lit(False)))
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (apart <= HAMMING)).select("a", "b")
+    large = stored(one_of_equal(met.where(F.col("n") > SMALL).select(F.col("key").alias("bucket"), "node").distinct()), "large")
+    pivots, starred = stars(large, met.groupBy("node").agg(F.sum("n").alias("rank")))
+    links = stored(_linked(pairs.unionByName(starred).distinct(), nodes), "links")
+    if not large.isEmpty():
+        links = links.unionByName(stored(_across(large, pivots, components(links), nodes), "links"))
+    groups = components(links)
+    whole = nodes.select("node", "media_id").join(groups, "node", "left").select("node", "media_id", F.coalesce("component", "node").alias("component"))
+    named = whole.groupBy("component").agg(F.min("media_id").alias("class_id"))
+    classes = whole.join(named, "component").select("node", "class_id")
+    out = described.select("media_id", "node", (F.octet_length("corners") / 16).cast("int").alias("n_corners")).join(classes, "node", "left")
+    return out.select("media_id", F.when(F.col("node").isNull(), F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), "n_corners")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose corners agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,65 +308,56 @@ def copy_classes(images: DataFrame) -> DataFrame:
             keep = [agreeing((ca, ba), (cb, bb), AGREE) >= AGREE for ca, ba, cb, bb in zip(*read, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    links = stored(both.select("a", "b", "ca", "ba", "cb", "bb").mapInArrow(run, "a long, b long"), "links")
-    counts = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
-    if not large.isEmpty():
-        within = stored(_within(large, parts), "within")
-        links = links.unionByName(within.where("b IS NOT NULL").select("a", "b"))
-        counts = counts.unionByName(within.where("b IS NULL").select(F.col("a").alias("node"), "n"))
-    groups = components(links)
-    degree = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
-    whole = nodes.select("node", "media_id").join(groups, "node", "left").select("node", "media_id", F.coalesce("component", "node").alias("component"))
-    named = whole.groupBy("component").agg(F.min("media_id").alias("class_id"))
-    classes = whole.select("node", "component").join(named, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = described.select("media_id", "node", (F.octet_length("corners") / 16).cast("int").alias("n_corners")).join(classes, "node", "left")
-    return out.select("media_id", F.when(F.col("node").isNull(), F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_corners")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("corners").alias(f"c{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "ba", "cb", "bb").mapInArrow(run, "a long, b long")
 
 
-def _within(large: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs of images that share an entry of large (key, node), compared in tiles of two blocks of an entry.
-
-    Rows (a, b, null) are links enough to connect what is linked in a tile, rows (a, null, n) the links of a node there.
-    A pair belongs to the smallest large entry that both have, so it is counted once.
-    """
-    # Entries with the same members have the same pairs.
-    marks = large.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("t"))
-    kept = marks.groupBy("m", "s", "t").agg(F.min("key").alias("key"))
-    sized = stored(large.join(kept.select("key"), "key", "left_semi").join(parts.select("node", F.octet_length("bits").alias("size")), "node"), "sized")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("blocks"))
-    rows = sized.select("key", "node").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
-    tiles = rows.select("key", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("key", F.greatest("block", "other").alias("x"), F.least("block", "other").alias("y"), "node", "block").join(parts, "node")
+def _across(large: DataFrame, pivots: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within an entry: no two linked members stay apart."""
+    met = tiles(large, pivots, groups, nodes.select("node", F.octet_length("bits").alias("size")), BLOCK, nodes.select("node", "corners", "bits"))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        at, within = key[0].as_py(), key[1] == key[2]
-        nodes, left = rows.column("node").to_pylist(), rows.column("block").to_numpy() == key[2].as_py()
-        n = len(nodes)
+        rows = rows.sort_by("node")
+        nodes = rows.column("node").to_pylist()
         corners = [np.frombuffer(x, np.float32).reshape(-1, 4) for x in rows.column("corners").to_pylist()]
         bits = [np.frombuffer(x, np.uint32).reshape(-1, WORDS) for x in rows.column("bits").to_pylist()]
-        before = [np.array([k for k in x if k < at], np.int64) for x in rows.column("big").to_pylist()]
-        held, owner = np.concatenate(before), np.repeat(np.arange(n), [len(x) for x in before])
-        label, degree, found = np.arange(n), np.zeros(n, np.int64), []
-        for i in np.flatnonzero(left).tolist():
-            open_ = np.arange(n) > i if within else ~left
-            if len(held):
-                open_[owner[np.isin(held, before[i])]] = False
-            for j in np.flatnonzero(open_).tolist():
-                a, b = (i, j) if nodes[i] < nodes[j] else (j, i)
-                if agreeing((corners[a], bits[a]), (corners[b], bits[b]), AGREE) >= AGREE:
-                    degree[[i, j]] += 1
-                    if label[i] != label[j]:
-                        found.append((nodes[i], nodes[j]))
-                        label[label == label[j]] = label[i]
-        some = np.flatnonzero(degree).tolist()
+        label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        found = _joining(corners, bits, label, rows.column("block").to_numpy() == key[2].as_py(), key[1] == key[2])
         release_memory()
-        return pa.table({"a": pa.array([x for x, _ in found] + [nodes[i] for i in some], pa.int64()), "b": pa.array([x for _, x in found] + [None] * len(some), pa.int64()), "n": pa.array([None] * len(found) + degree[some].tolist(), pa.int64())})
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
+
+    return met.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")
 
-    return tiles.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long, n long")
+
+def _joining(corners: list[np.ndarray], bits: list[np.ndarray], label: np.ndarray, left: np.ndarray, within: bool) -> list[tuple[int, int]]:
+    """Pairs of agreeing images that join two labels; each of `left` against all if `within`, else against the others."""
+    label, found = label.copy(), []
+    size = np.array([len(b) for b in bits])
+    flat = np.concatenate(bits)
+    for i in np.flatnonzero(left & (size >= AGREE)).tolist():
+        open_ = (label != label[i]) & (size >= AGREE) & (np.arange(len(bits)) > i if within else ~left)
+        if not open_.any():
+            continue
+        some = np.flatnonzero(open_)
+        other = flat[np.repeat(open_, size)]
+        first = np.cumsum(size[some]) - size[some]
+        of_i, of_j = np.zeros(len(some), np.int64), np.zeros(len(other), bool)
+        for a in range(0, len(bits[i]), 16):
+            like = np.bitwise_count(bits[i][a : a + 16, None] ^ other[None]).sum(axis=2) <= HAMMING
+            of_i += np.logical_or.reduceat(like, first, axis=1).sum(axis=0)
+            of_j |= like.any(axis=0)
+        enough = (of_i >= AGREE) & (np.add.reduceat(of_j, first, dtype=np.int64) >= AGREE)
+        for j in some[enough].tolist():
+            if label[j] != label[i] and agreeing((corners[i], bits[i]), (corners[j], bits[j]), AGREE) >= AGREE:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
 
 
 #: Tiles of a preview: pixels of one, and tiles in a row.
 TILE, ACROSS = 5, 16
+#: Odd multipliers of a word's hash, one for each pixel of its tile.
+SHADES = mix(np.arange(1, TILE * TILE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def page_text(html: str | Column) -> Column:
@@ -372,9 +389,9 @@ def _preview(text: str | None) -> bytes | None:
         return None
     data = np.frombuffer(" ".join(words).encode("utf-8", "replace"), np.uint8)
     gaps = np.flatnonzero(data == 32)
-    seed = ByteHash(data).slices(np.append(0, gaps + 1), np.append(gaps, len(data)))
+    seed = ByteHash(data).slices(np.append(0, gaps + 1), np.append(gaps, len(data)))[:, None]
     rows = -(-len(seed) // ACROSS)
     blank = np.zeros(rows * ACROSS * TILE * TILE, np.uint8)
-    shades = mix(seed[:, None] + np.arange(TILE * TILE, dtype=np.uint64))
-    blank[: shades.size] = ((shades >> np.uint64(61)).astype(np.uint8) * 36).ravel()
+    shades = (seed * SHADES >> np.uint64(61)).astype(np.uint8).ravel()
+    blank[: shades.size] = shades * np.uint8(36)
     return pgm(blank.reshape(rows, ACROSS, TILE, TILE).transpose(0, 2, 1, 3).reshape(rows * TILE, ACROSS * TILE))

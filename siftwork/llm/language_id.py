@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ByteHash, hash_threshold, rows_by_bytes
+from siftwork.llm.common import ByteHash, hash_threshold, nullable, rows_by_bytes
 from siftwork.llm.runs import as_text, code_points, distinct
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     kept = docs.drop("lang_pred", "score")
     text_at = kept.columns.index("text")
-    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = nullable(kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

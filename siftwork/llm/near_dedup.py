@@ -1,10 +1,12 @@
 """Near-duplicate detection by BagMinHash over word shingles as multisets.
 
 Texts are lower-cased and split at white space; their shingles of five words, with their counts, are a
-weighted set. BagMinHash signs it: every (shingle, dyadic range of counts) has a Poisson process whose
-points carry a time, a component and, by halving the range, a count; a component's value is the earliest
-time among the points at or below the shingle's count. Components agree with probability equal to
-the weighted Jaccard similarity. Bands of components give candidates, the multisets' overlap decides.
+weighted set, whose weights are discrete already. BagMinHash signs it: every (shingle, dyadic range of counts) has
+a Poisson process whose points carry a time, a component and a count in the range. The method halves a range
+again and again and follows the half that a point falls in; the halvings are the bits of the point's draw, so here one
+number gives them all, and ranges beyond the shingle's count are never opened. A component's value is the
+earliest time among the points at or below the count. Components agree with probability equal to the
+weighted Jaccard similarity. Bands of components give candidates, the multisets' overlap decides.
 
 Equal texts are one node. Buckets of few nodes are compared pair by pair. In larger ones every member is
 compared with one pivot, the node that shares most buckets with others, such as the source of a group of
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ByteHash, mix, release_memory, rows_by_bytes, stored
+from siftwork.llm.buckets import one_of_equal, stars, tiles
+from siftwork.llm.common import ByteHash, fresh, mix, nullable, release_memory, rows_by_bytes, stored
 from siftwork.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -31,8 +34,7 @@ BANDS, ROWS = 20, 4
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
 #: Text bytes of a block; a tile compares two blocks of a bucket.
-BLOCK = 2 << 20
-
+BLOCK = 512 << 10
 
 
 def canonical(text: str | None) -> str:
@@ -165,14 +167,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = stored(spread.join(sizes, "bucket"), "buckets")
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
     # Copies are dropped in each task before texts are shuffled, once, by their digests.
-    named = _with_node(docs.select("text")).where("__node IS NOT NULL").select(F.col("__node").alias("node"), "text", F.octet_length("text").alias("size")).dropDuplicates(["node"])
+    named = _with_node(docs.select("text"), "node").where("node IS NOT NULL").select("node", "text", F.octet_length("text").alias("size")).dropDuplicates(["node"])
     texts = stored(named.join(rank.select("node"), "node", "left_semi"), "texts")
 
     few = buckets.where(F.col("n") <= SMALL).select("bucket", "node")
     pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = stored(buckets.where(F.col("n") > SMALL).join(rank, "node").select("bucket", "node", "rank"), "large")
-    pivots = large.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("pivot"))
-    starred = large.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    large = stored(one_of_equal(buckets.where(F.col("n") > SMALL).select("bucket", "node")), "large")
+    pivots, starred = stars(large, rank)
     links = stored(_verified(pairs.unionByName(starred).distinct(), texts, similarity), "links")
     if not large.isEmpty():
         links = links.unionByName(stored(_across(large, pivots, components(links), texts, similarity), "links"))
@@ -184,26 +185,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _across(large: DataFrame, pivots: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join different components within a bucket: no two linked members stay apart.
-
-    Members in the pivot's component are linked among themselves already; the rest is compared with
-    all. Both are dealt into blocks by node, so work and rows grow with the rest times the bucket.
-    """
-    named = groups.select(F.col("node").alias("pivot"), F.col("component").alias("hub"))
-    hubs = pivots.join(named, "pivot", "left").select("bucket", F.coalesce("hub", "pivot").alias("hub"))
-    placed = large.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sized = placed.join(hubs, "bucket").join(texts.select("node", "size"), "node").withColumn("main", F.col("component") == F.col("hub")).drop("hub")
-    sized = stored(sized, "placed")
-    total = [F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / BLOCK) for which in (F.col("main"), ~F.col("main"))]
-    blocks = sized.groupBy("bucket").agg(total[0].alias("mains"), total[1].alias("rests"), (F.sum("size") <= BLOCK).alias("one")).where("rests > 0")
-    rows = sized.join(blocks, "bucket")
-    # Blocks of the rest come first, then those of the pivot's component; a small bucket is one block.
-    spread = F.xxhash64("node", "bucket")
-    block = F.when(F.col("one"), F.lit(0)).when(F.col("main"), F.col("rests") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "rests"))
-    last = F.when(F.col("one"), F.lit(0)).when(F.col("main"), F.col("rests") - 1).otherwise(F.col("rests") + F.col("mains") - 1)
-    met = rows.withColumn("block", block.cast("long")).withColumn("last", last.cast("long")).join(texts.select("node", "text"), "node")
-    met = met.select("bucket", "node", "component", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
-    tiles = met.select("bucket", F.greatest("block", "other").alias("x"), F.least("block", "other").alias("y"), "node", "component", "block", "text")
+    """Links (a, b) that join different components within a bucket: no two linked members stay apart."""
+    met = tiles(large, pivots, groups, texts.select("node", "size"), BLOCK, texts.select("node", "text"))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")
@@ -212,7 +195,7 @@ def _across(large: DataFrame, pivots: DataFrame, groups: DataFrame, texts: DataF
         release_memory()
         return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
 
-    return tiles.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary")
+    return met.groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary")
 
 
 def _joining(texts: list[str], components: list[bytes], left: np.ndarray, within: bool, similarity: float) -> list[tuple[int, int]]:
@@ -253,20 +236,22 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = near_classes(docs, similarity).where("node IS NOT NULL").select("doc_id", "class_node", "node").dropDuplicates()
     first = Window.partitionBy("class_node").orderBy(F.asc_nulls_last("doc_id"), "node")
     chosen = classes.withColumn("place", F.row_number().over(first)).where("place = 1").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
-    named = _with_node(docs)
-    kept = named.join(chosen, named["doc_id"].eqNullSafe(chosen["kept_id"]) & (named["__node"] == chosen["kept_node"]), "left_semi")
-    single = kept.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("text"))).where("__place = 1")
-    return single.select(*docs.columns).unionByName(named.where("__node IS NULL").select(*docs.columns))
+    node = fresh("__node", docs.columns)
+    place = fresh("__place", docs.columns)
+    named = _with_node(docs, node)
+    kept = named.join(chosen, named["doc_id"].eqNullSafe(chosen["kept_id"]) & (named[node] == chosen["kept_node"]), "left_semi")
+    single = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", node).orderBy("text"))).where(F.col(place) == 1)
+    return single.select(*docs.columns).unionByName(named.where(F.col(node).isNull()).select(*docs.columns))
 
 
-def _with_node(docs: DataFrame) -> DataFrame:
-    """Adds __node, the digest of the canonical text, null without words."""
+def _with_node(docs: DataFrame, node: str) -> DataFrame:
+    """Adds node, the digest of the canonical text, null without words."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "text", 2 << 20):
             texts = [canonical(t) for t in batch.column(at).to_pylist()]
             nodes = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, node])
 
-    return docs.mapInArrow(run, docs.withColumn("__node", F.lit(None).cast("binary")).schema)
+    return docs.mapInArrow(run, nullable(docs.withColumn(node, F.lit(None).cast("binary")).schema))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import hash_threshold, rows_by_bytes
+from siftwork.llm.common import hash_threshold, nullable, rows_by_bytes
 
 WORDS = re.compile(r"\S+")
 #: Features: shares of each byte value, then the measures of measures().
@@ -191,4 +191,4 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3) -
             scores = model.scores(features(texts)) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(run, kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return kept.mapInArrow(run, nullable(kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import BASES, ByteHash, mix, release_memory, shared_dir, stored
+from siftwork.llm.common import BASES, ByteHash, fresh, mix, nullable, release_memory, shared_dir, stored
 from siftwork.llm.suffix_sort import deep_shallow
 
 LENGTH, ANCHOR, STEP = 200, 100, 16
@@ -180,20 +180,20 @@ def _read_answers(answers: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.frombuffer(b"".join(a for n, _, a in rows if n == k), np.uint8) for k in {r[0] for r in rows}}
 
 
-def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
+def _texts(rows: pa.Table, row_: str) -> tuple[list[bytes], np.ndarray]:
     """Texts in a fixed order, and the order: by id, then text, so that every level numbers them alike."""
     texts = [(t or "").encode("utf-8", "replace") for t in rows.column("text").to_pylist()]
-    ids = rows.column("__row").to_pylist()
+    ids = rows.column(row_).to_pylist()
     order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])), np.int64)
     return [texts[i] for i in order.tolist()], order
 
 
-def _ask(level: int, bits: int, length: int) -> tuple[Callable, Callable]:
+def _ask(level: int, bits: int, length: int, row_: str) -> tuple[Callable, Callable]:
     """What a block sends at a level: functions of its rows alone, and of its rows and answers."""
 
     def run(key: tuple, rows: pa.Table, answers: dict[int, np.ndarray]) -> pa.Table:
         block_id = key[0].as_py()
-        sent = _learned(Block(_texts(rows)[0], length), answers, level)
+        sent = _learned(Block(_texts(rows, row_)[0], length), answers, level)
         if block_id % 8 == 0:
             release_memory()
         cell = (sent[0] >> np.uint64(64 - bits)).astype(np.int64)
@@ -238,20 +238,21 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks, bits = max(1, math.ceil(total / BLOCK)), max(8, math.ceil(math.log2(max(1, total / CELL))))
-    dealt = docs.withColumn("__row", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)))
-    kept = _by_block(dealt)
+    row_, block_ = fresh("__row", docs.columns), fresh("__block", docs.columns)
+    dealt = docs.withColumn(row_, F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn(block_, F.pmod(F.xxhash64(row_), F.lit(blocks)))
+    kept = _by_block(dealt, block_)
     told = None
     for level in (1, 2, 3):
-        first_time, again = _ask(level, bits, length)
+        first_time, again = _ask(level, bits, length, row_)
         if told is None:
-            sent = kept.groupBy("__block").applyInArrow(first_time, _SENT)
+            sent = kept.groupBy(block_).applyInArrow(first_time, _SENT)
         else:
-            sent = kept.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(again, _SENT)
+            sent = kept.groupBy(block_).cogroup(told.groupBy("block")).applyInArrow(again, _SENT)
         answers = stored(sent.groupBy("cell").applyInArrow(_tell(level), _ANSWERED), f"answers{level}")
         told = answers if told is None else told.unionByName(answers)
 
     def finish(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
-        texts, order = _texts(rows)
+        texts, order = _texts(rows, row_)
         block = Block(texts, length)
         _learned(block, _read_answers(known), 4)
         flags = np.split(block.removed(), block.ends[:-1])
@@ -260,18 +261,18 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
         removed: list = [None] * len(texts)
         for i, f in zip(order.tolist(), flags, strict=True):
             removed[i] = f
-        return out(rows.drop_columns(["__row", "__block"]), removed)
+        return out(rows.drop_columns([row_, block_]), removed)
 
-    return kept.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    return kept.groupBy(block_).cogroup(told.groupBy("block")).applyInArrow(finish, schema)
 
 
-def _by_block(dealt: DataFrame) -> DataFrame:
+def _by_block(dealt: DataFrame, block_: str) -> DataFrame:
     """The rows, written once as files bucketed by block, so that no level shuffles texts again."""
     spark = dealt.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"siftwork_blocks_{uuid.uuid4().hex}"
-    writer = dealt.repartition(n, "__block").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(n, "__block").sortBy("__block").saveAsTable(name)
+    writer = dealt.repartition(n, block_).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(n, block_).sortBy(block_).saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and rows still reads them
     return rows
@@ -299,4 +300,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts.append(t if t is None or not f.any() else np.frombuffer(t.encode("utf-8", "replace"), np.uint8)[~f].tobytes().decode("utf-8", "ignore"))
         return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    return with_repeats(docs, out, docs.schema, length)
+    return with_repeats(docs, out, nullable(docs.schema), length)

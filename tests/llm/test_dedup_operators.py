@@ -143,6 +143,20 @@ def test_one_of_each_keeps_one(spark):
     assert near_dedup.one_of_each(df.limit(0)).count() == 0
 
 
+def test_clashing_names_and_map_columns_pass(spark):
+    """Columns named like inner ones, and maps that hold no nulls, through all stages that keep columns."""
+    from siftwork.llm import language_id, quality
+
+    text = "some words that are long enough to be looked at " * 8
+    df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, None, "c")], "doc_id long, text string, __node string")
+    df = df.withColumns({"__place": F.lit(7), "__row": F.lit(8), "__block": F.lit("q"), "m": F.create_map(F.lit("k"), F.lit(1)), "s": F.struct(F.array(F.lit(1)).alias("x"))})
+    for made in (near_dedup.one_of_each(df), suffix_dedup.without_repeats(df)):
+        assert made.columns == df.columns
+        rows = made.collect()
+        assert len(rows) in (2, 3) and all((r["__place"], r["__row"], r["__block"], r["m"], r["s"]["x"]) == (7, 8, "q", {"k": 1}, [1]) and r["__node"] in "abc" for r in rows)
+    assert language_id.identify(df, None).count() == quality.score(df, None).count() == 3
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(40)]

@@ -5,7 +5,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwork.llm import additive_ann, chat, image_copies
@@ -46,6 +49,31 @@ def test_nearest_recall_and_ties(spark):
             assert s == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
 
 
+def test_nearest_among_fifty_thousand(spark):
+    """Vectors without clusters, the hardest case, of which 0.13 % are scored exactly."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50_000, 24)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 24).cast(pa.list_(pa.float32()))}))
+    got = additive_ann.nearest(df, F.col("vec_id") % 500 == 0, codebooks=12, max_fit=6000).toPandas()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    like = unit[::500] @ unit.T
+    like[np.arange(100), np.arange(0, 50_000, 500)] = -2
+    best = np.argsort(-like, axis=1)[:, :5]
+    hits = sum(len(set(got.vec_id[got.query_id == 500 * i]) & set(b.tolist())) for i, b in enumerate(best))
+    assert hits >= 0.9 * 500, hits
+
+
+def test_equal_cosines_go_to_the_smaller_ids(spark):
+    """Scalings of one vector, and an id with two vectors."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-9, 9, 8).astype(float)
+    rows = [(i, (base * 2.0 ** (i % 40)).tolist()) for i in range(201)] + [(300 + i, rng.normal(size=8).tolist()) for i in range(50)] + [(301, base.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = additive_ann.nearest(df, F.col("vec_id").isin(0, 301), codebooks=4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 0] == [(0, i, 1.0) for i in range(1, 6)]
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 301] == [(i, 1.0) for i in range(5)]
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, 1), (1, [0.0, 1.0], 1, 1), (50, [1.0, 1.0], 1, 1)], VECTORS)
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in additive_ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
@@ -96,6 +124,35 @@ def test_chat_reads_back(spark):
         assert d["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in whole).encode()).hexdigest()
 
 
+NAMES = st.one_of(st.sampled_from(["user", "assistant", "system", "User", "Assistant", "System", "\\r", "\\rUser", ": ", "a: b", "### ", ""]), st.text("uU:# \\r<>/\n", max_size=6))
+SAID = st.one_of(st.sampled_from(["ends in ###", "</turn>", "</turn", "### ", "\n</turn>\n", "\\o", "\n"]), st.text("#</turn> :\\\neomcré", max_size=25))
+
+
+def test_any_roles_and_texts_read_back(spark):
+    """Conversations drawn by hypothesis, formatted in one job: all come back, and no control string stands inside a turn."""
+    drawn = []
+
+    @settings(max_examples=200, deadline=None, database=None)
+    @given(st.lists(st.tuples(NAMES, SAID), min_size=1, max_size=5))
+    def draw(turns):
+        drawn.append(turns)
+
+    draw()
+    df = spark.createDataFrame([(c, i, r, t) for c, turns in enumerate(drawn) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.formatted(chat.conversations(df))).collect():
+        turns = drawn[r["conv_id"]]
+        assert [tuple(x) for x in r["read"]] == turns
+        assert r["formatted"].count("### ") == r["formatted"].count("</turn>") == len(turns)
+        assert r["trained"] == "".join(t for role, t in turns if role == "assistant")
+        assert [s["loss"] for s in r["segments"]][1::3] == [role == "assistant" for role, _ in turns]
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for wrong in ({"close": " </turn>\n"}, {"mark": "<x>"}, {"open": ""}, {"labels": {"a": "A", "b": "A"}}):
+        with pytest.raises(ValueError):
+            chat.Template(**wrong)
+
+
 def test_chat_orders_turns_and_takes_other_templates(spark):
     rows = [(1, 2, "b", "two"), (1, None, "a", "first"), (1, 2, "a", "one"), (1, 2, "b", "two")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -170,24 +227,47 @@ def test_previews_of_excerpts_are_crops(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
-def test_large_groups_of_copies_are_whole_and_their_links_counted(spark):
+@pytest.mark.parametrize("block", [1500, 96 << 10])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, block):
+    """Twelve pictures, 25 cropped and noisy copies of each, and banners that many pictures share, against all pairs."""
+    monkeypatch.setattr(image_copies, "BLOCK", block)
     rng = np.random.default_rng(5)
-    banner, scenes = scene(rng)[:60, :190], [scene(rng)[:90] for _ in range(3)]
-    rows, n = [], 24
-    for k, a in enumerate(scenes):
-        rows += [(100 * k + i, image_copies.pgm(np.clip(a + rng.normal(0, 1, a.shape), 0, 255))) for i in range(n)]
-    rows += [(1000 + i, image_copies.pgm(np.concatenate([banner[:, :150], scene(rng)[:60, :150]]))) for i in range(30)]
-    images = spark.createDataFrame(rows, "media_id long, image binary")
-    pixels = {i: image_copies.decode(x) for i, x in rows}
-    order = sorted(pixels, key=lambda i: image_copies.digest(pixels[i]))
-    described, want = {i: image_copies.describe(p) for i, p in pixels.items()}, dict.fromkeys(order, 0)
-    for k, i in enumerate(order):
-        for j in order[k + 1 :]:
-            if image_copies.agreeing(described[i], described[j], image_copies.AGREE) >= image_copies.AGREE:
-                want[i], want[j] = want[i] + 1, want[j] + 1
-    got = {r["media_id"]: r for r in image_copies.copy_classes(images).collect()}
-    assert {i: r["class_id"] for i, r in got.items() if i < 1000} == {100 * k + i: 100 * k for k in range(3) for i in range(n)}
-    assert {i: r["n_links"] for i, r in got.items()} == want and min(x for i, x in want.items() if i < 1000) >= n - 1
+    banner, pixels = scene(rng)[:60, :190], {}
+    for k in range(12):
+        a = scene(rng)
+        for i in range(25):
+            top, side = rng.integers(0, 12, 2)
+            pixels[100 * k + i] = np.clip(a[top : top + 130, side : side + 180] + rng.normal(0, 2, (130, 180)), 0, 255).round().astype(np.uint8)
+    for i in range(40):
+        pixels[5000 + i] = np.concatenate([banner[:, :150], scene(rng)[:60, :150]]).round().astype(np.uint8)
+    images = spark.createDataFrame([(i, image_copies.pgm(p) if i % 2 else png(p, i % 3)) for i, p in pixels.items()], "media_id long, image binary")
+    described, label = {i: image_copies.describe(p) for i, p in pixels.items()}, {i: i for i in pixels}
+    links = [(i, j) for i in pixels for j in pixels if i < j and image_copies.agreeing(described[i], described[j], image_copies.AGREE) >= image_copies.AGREE]
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in links:
+        low, high = sorted((top(i), top(j)))
+        label[high] = low
+    got = {r["media_id"]: r["class_id"] for r in image_copies.copy_classes(images).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links) and len(links) > 2000
+    assert sum(got[i] == top(i) for i in pixels) >= 0.98 * len(pixels)
+    assert all(top(got[i]) == top(i) for i in pixels)  # no class joins what no links join
+
+
+def test_joining_pairs_within_and_across_blocks():
+    rng = np.random.default_rng(8)
+    base = [image_copies.describe(scene(rng)) for _ in range(4)]
+    parts = [base[i % 4] for i in range(12)]
+    corners, bits = [c for c, _ in parts], [b for _, b in parts]
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if image_copies.agreeing(parts[i], parts[j]) >= image_copies.AGREE}
+    for within in (True, False):
+        left = np.ones(12, bool) if within else np.arange(12) < 5
+        found = image_copies._joining(corners, bits, np.arange(12), left, within)
+        assert set(found) <= want and len(found) == len({i % 4 for i in range(12)}) * 2
 
 
 @pytest.mark.parametrize("at", [0, 400, 700, 1100])
