@@ -27,11 +27,11 @@ from siftwork.llm.components import components
 #: strongest within APART pixels at their scale, which depends on nearby pixels only: a crop keeps those inside it.
 CORNERS, APART = (10, 5, 2), 42
 #: 32-bit words of a descriptor; hash tables, and the bits of a key, drawn for each table.
-WORDS, TABLES, TABLE_BITS = 3, 16, 24
+WORDS, TABLES, TABLE_BITS = 3, 6, 24
 #: Radius of the patch around a corner, and how far its tests reach.
 RADIUS = 9
 #: Most differing bits of a match, least agreeing matches of a link, and pixels they may be off at scale 1.
-HAMMING, AGREE, OFF = 10, 4, 3.0
+HAMMING, AGREE, OFF = 7, 4, 3.0
 #: Radians by which the turn of an agreeing match may differ from the transform's.
 TURN = 0.4
 #: Table entries with more images than this are compared with a pivot, then in tiles of two blocks with so many descriptor bytes.
@@ -111,7 +111,7 @@ def _tests() -> np.ndarray:
 def _chosen() -> np.ndarray:
     """The descriptor bits (TABLES, TABLE_BITS) of each table's keys: each four tables share out all bits."""
     rng = np.random.default_rng(2)
-    return np.concatenate([rng.permutation(WORDS * 32).reshape(-1, TABLE_BITS) for _ in range(TABLES * TABLE_BITS // (WORDS * 32))])
+    return np.concatenate([rng.permutation(WORDS * 32).reshape(-1, TABLE_BITS) for _ in range(-(-TABLES * TABLE_BITS // (WORDS * 32)))])[:TABLES]
 
 
 TESTS, CHOSEN = _tests(), _chosen()
@@ -256,17 +256,16 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """key, node, low and high (the descriptor) for each table and corner of the nodes."""
+    """key, node for each table and corner of the nodes, once for each key of a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "bits", 64 << 10):
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bits = np.unique(np.frombuffer(data, np.uint32).reshape(-1, WORDS), axis=0)
-                keys = table_keys(bits).ravel()
-                low = np.repeat((bits[:, 0].astype(np.uint64) | bits[:, 1].astype(np.uint64) << np.uint64(32)).view(np.int64), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(low), pa.array(np.repeat(bits[:, 2].astype(np.int64), TABLES))], names=["key", "node", "low", "high"])
+            bits = [np.frombuffer(data, np.uint32).reshape(-1, WORDS) for data in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(bits)), [len(b) * TABLES for b in bits])
+            keys = np.unique(of << 32 | table_keys(np.concatenate(bits)).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array((keys & 0xFFFFFFFF).astype(np.int32)), batch.column(0).take(pa.array(keys >> 32))], names=["key", "node"])
 
-    return nodes.select("node", "bits").where("octet_length(bits) > 0").mapInArrow(run, "key long, node long, low long, high long")
+    return nodes.select("node", "bits").where("octet_length(bits) > 0").mapInArrow(run, "key int, node long")
 
 
 def copy_classes(images: DataFrame) -> DataFrame:
@@ -274,19 +273,16 @@ def copy_classes(images: DataFrame) -> DataFrame:
 
     class_id is the smallest media_id of those that links connect; images of the same pixels are one node. Null,
     empty and unreadable images are a class of their own, as are images without corners, unless their pixels
-    are the same. Pairs meet by a table entry whose descriptors are alike in both; in entries of many images
+    are the same. Pairs meet by a table entry; in entries of many images
     the pairs that are linked through others already are left out, all others are compared.
     """
     described = stored(_described(images), "corners")
     nodes = stored(described.where("node IS NOT NULL").groupBy("node").agg(F.min("media_id").alias("media_id"), F.first("corners").alias("corners"), F.first("bits").alias("bits")), "nodes")
-    entries = stored(_entries(nodes), "table")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(entries.join(sizes, "key"), "entries")
+    sizes = _entries(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(_entries(nodes).join(sizes, "key"), "entries")
     few = met.where(F.col("n") <= SMALL)
-    one, two = (few.select("key", F.col("node").alias(x), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}")) for x in "ab")
-    apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (apart <= HAMMING)).select("a", "b")
-    large = stored(one_of_equal(met.where(F.col("n") > SMALL).select(F.col("key").alias("bucket"), "node").distinct()), "large")
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    large = stored(one_of_equal(met.where(F.col("n") > SMALL).select(F.col("key").alias("bucket"), "node")), "large")
     pivots, starred = stars(large, met.groupBy("node").agg(F.sum("n").alias("rank")))
     links = stored(_linked(pairs.unionByName(starred).distinct(), nodes), "links")
     if not large.isEmpty():
