@@ -256,16 +256,17 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """key, node for each table and corner of the nodes, once for each key of a node."""
+    """key, node, fold for each table and corner of the nodes, like ones once; folds differ in no more bits than descriptors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "bits", 64 << 10):
-            bits = [np.frombuffer(data, np.uint32).reshape(-1, WORDS) for data in batch.column(1).to_pylist()]
-            of = np.repeat(np.arange(len(bits)), [len(b) * TABLES for b in bits])
-            keys = np.unique(of << 32 | table_keys(np.concatenate(bits)).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array((keys & 0xFFFFFFFF).astype(np.int32)), batch.column(0).take(pa.array(keys >> 32))], names=["key", "node"])
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits = np.frombuffer(data, np.uint32).reshape(-1, WORDS)
+                both = np.unique(table_keys(bits).astype(np.uint64) << np.uint64(32) | np.bitwise_xor.reduce(bits, axis=1)[:, None])
+                halves = both.view(np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 1]), pa.array(np.full(len(both), node)), pa.array(halves[:, 0])], names=["key", "node", "fold"])
 
-    return nodes.select("node", "bits").where("octet_length(bits) > 0").mapInArrow(run, "key int, node long")
+    return nodes.select("node", "bits").where("octet_length(bits) > 0").mapInArrow(run, "key int, node long, fold int")
 
 
 def copy_classes(images: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def copy_classes(images: DataFrame) -> DataFrame:
 
     class_id is the smallest media_id of those that links connect; images of the same pixels are one node. Null,
     empty and unreadable images are a class of their own, as are images without corners, unless their pixels
-    are the same. Pairs meet by a table entry; in entries of many images
+    are the same. Pairs meet by a table entry with like descriptors; in entries of many images
     the pairs that are linked through others already are left out, all others are compared.
     """
     described = stored(_described(images), "corners")
@@ -281,8 +282,10 @@ def copy_classes(images: DataFrame) -> DataFrame:
     sizes = _entries(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(_entries(nodes).join(sizes, "key"), "entries")
     few = met.where(F.col("n") <= SMALL)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    large = stored(one_of_equal(met.where(F.col("n") > SMALL).select(F.col("key").alias("bucket"), "node")), "large")
+    one, two = (few.select("key", F.col("node").alias(x), F.col("fold").alias(f"f{x}")) for x in "ab")
+    like = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= HAMMING
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & like).select("a", "b")
+    large = stored(one_of_equal(met.where(F.col("n") > SMALL).select(F.col("key").alias("bucket"), "node").distinct()), "large")
     pivots, starred = stars(large, met.groupBy("node").agg(F.sum("n").alias("rank")))
     links = stored(_linked(pairs.unionByName(starred).distinct(), nodes), "links")
     if not large.isEmpty():
