@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,23 +31,37 @@ def is_private_v4(host: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def _inside_v6(hosts: pd.Series) -> pd.Series:
-    nets = [ipaddress.ip_network(n) for n in PRIVATE_V6]
+_GROUP = "[0-9a-f]{1,4}"
+#: Eight groups, or fewer around one double colon.
+_V6 = "|".join([f"{_GROUP}(?::{_GROUP}){{7}}", *(f"(?:{_GROUP}(?::{_GROUP}){{{a - 1}}})?::(?:{_GROUP}(?::{_GROUP}){{0,{6 - a}}})?" if a else f"::(?:{_GROUP}(?::{_GROUP}){{0,6}})?" for a in range(7)), f"(?:{_GROUP}:){{7}}:"])
 
-    def inside(host: str | None) -> bool:
-        try:
-            ip = ipaddress.ip_address(host or "")
-        except ValueError:
-            return False
-        return any(ip in n for n in nets)
 
-    return hosts.map(inside)
+def v6_groups(host: Column) -> Column:
+    """An IPv6 address in lower case, without a zone and with an IPv4 ending spelt as groups; null if it is none."""
+    plain = F.regexp_extract(F.lower(host), r"\A([^%]*)(?:%[^%]+)?\z", 1)
+    ending = F.regexp_extract(plain, r"\A(?:.*:)([^:]*[.][^:]*)\z", 1)
+    number = v4_number(ending)
+    groups = F.concat_ws(":", F.lower(F.hex(F.floor(number / 65536))), F.lower(F.hex(number % 65536)))
+    whole = F.when(ending == "", plain).when(number.isNotNull(), F.concat(F.substring(plain, F.lit(1), F.length(plain) - F.length(ending)), groups))
+    return F.when(whole.rlike(rf"\A(?:{_V6})\z"), whole)
+
+
+def is_private_v6(host: Column) -> Column:
+    """True for an IPv6 address in one of the networks, by its first group, or by being the one of the host itself."""
+    groups, inside = v6_groups(host), F.lit(False)
+    for net in map(ipaddress.ip_network, PRIVATE_V6):
+        if net.prefixlen == 128:
+            inside = inside | ((F.regexp_replace(groups, "[0:]", "") == "1") & groups.rlike(r"(?:\A|:)0*1\z"))
+        else:  # the networks end within the first group, which then has four digits
+            low, high = int(net.network_address) >> 112, int(net.broadcast_address) >> 112
+            first = F.regexp_extract(groups, r"\A([0-9a-f]{4}):", 1)
+            inside = inside | F.coalesce(first.between(f"{low:04x}", f"{high:04x}"), F.lit(False))
+    return F.coalesce(groups.isNotNull() & inside, F.lit(False))
 
 
 def is_private(host: Column) -> Column:
-    """For both versions. Only hosts with a colon reach Python; Spark has no function for IPv6 networks."""
-    inside_v6 = F.pandas_udf(_inside_v6, "boolean")
-    return F.when(F.coalesce(F.instr(host, ":") > 0, F.lit(False)), inside_v6(F.when(F.instr(host, ":") > 0, host))).otherwise(is_private_v4(host))
+    """For both versions."""
+    return is_private_v4(host) | is_private_v6(host)
 
 
 def passes_gate(path: Column, proxy_header: Column, private: Column) -> Column:

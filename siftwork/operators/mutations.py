@@ -51,11 +51,14 @@ def new_users(requests: DataFrame, first_id: int, now: Column) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, first: int) -> DataFrame:
-    """Adds id: consecutive numbers in ascending order. Counts per partition, one small row each, give the offsets."""
+    """Adds id: consecutive numbers in ascending order. Counts per partition, one small row each, give the offsets.
+
+    Both uses of the dealt rows are one exchange of the plan, so they see the same ranges.
+    """
     from pyspark.sql import Window
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
     counts = dealt.groupBy("__part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__before"))

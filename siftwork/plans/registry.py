@@ -332,12 +332,12 @@ def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.health(spark)
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 30 END AS seconds, CASE doc_id % 4 WHEN 0 THEN least(doc_id, 600) WHEN 3 THEN 30 END AS capped
-    FROM documents WHERE doc_id > 0""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id > 0 THEN doc_id END WHEN doc_id % 4 IN (1, 2) THEN NULL ELSE 30 END AS seconds,
+    CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id > 0 THEN least(doc_id, 600) END WHEN doc_id % 4 IN (1, 2) THEN NULL ELSE 30 END AS capped FROM documents""")
 def retry_after_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
     header = F.when(k == 0, F.col("doc_id").cast("string")).when(k == 1, "soon").when(k == 2, "-5").otherwise("30s")
-    d = tables.read(spark, sf_dir, "documents").where("doc_id > 0").select("doc_id", header.alias("header"))
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", header.alias("header"))
     return d.select("doc_id", text.retry_after_header(F.col("header")).alias("seconds"), text.retry_after_header(F.col("header"), text.RETRY_CAP).alias("capped"))
 
 

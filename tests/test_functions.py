@@ -88,6 +88,7 @@ def test_private_addresses_match_the_library(spark, hosts):
         except ValueError:
             return False
 
+    hosts += ["::1%eth0", "::1%", "0:0:0:0:0:0:0:1", "::0.0.0.1", "::10.0.0.1", "1::1", "::01", "0::0:1", "FD00::1", "fd00:1:2:3:4:5:6:7", "fd00:1:2:3:4:5:6::", "fd00::1:2:3:4:5:6:7", "fc:0::", ":::1", "::1::", "fe80", "fd00:::", "fdff:1:2:3:4:5:1.2.3.4", "fd00:1:2:3:4:5:6:1.2.3.4", "fd00::1.2.3.256", "::10", "1::"]
     hosts = [h for h in hosts if h.isprintable()] + ["172.16.0.0", "172.32.0.0", "fe80::1", "febf::", "fec0::", "010.0.0.1"]
     assert run(spark, hosts, network.is_private) == [known(h) for h in hosts]
 

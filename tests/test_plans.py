@@ -41,6 +41,6 @@ def test_row_rules_do_not_shuffle(spark, sf, name):
     assert "Exchange" not in plan(registry.QUERIES[name](spark, sf))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"docs_gate_ipv6"}))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_python_on_executors(spark, sf, name):
     assert not re.search("Python|Pandas|Arrow", plan(registry.QUERIES[name](spark, sf)))
