@@ -34,7 +34,7 @@ BANDS, ROWS = 20, 4
 #: Buckets of at most so many nodes are compared pair by pair.
 SMALL = 24
 #: Text bytes of a block; a tile compares two blocks of a bucket.
-BLOCK = 512 << 10
+BLOCK = 2 << 20
 
 
 def canonical(text: str | None) -> str:
