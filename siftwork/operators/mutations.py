@@ -79,14 +79,17 @@ def new_sessions(requests: DataFrame, now: Column, minutes: int = clock.SESSION_
 
 
 def reset_passwords(requests: DataFrame, users: DataFrame, tokens: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Requests (token_id, user_id, token_state, same_password) with outcome, and users, tokens and sessions afterwards.
+    """Requests (request_id, token_id, user_id, token_state, same_password) with outcome, and users, tokens and sessions afterwards.
 
     A token that is not valid, or a new password equal to the old one, changes nothing. Otherwise the
-    token is used, the user active and every session of theirs revoked. The first of several requests with
-    one token is not told apart: the outcome is the token's.
+    token is used, the user active and every session of theirs revoked. Of several requests of a batch that would
+    reset with one token the smallest request_id does; the token of the later ones is used by then: invalid_token.
     """
     good = F.coalesce((F.col("token_state") == "valid"), F.lit(False))
     outcome = F.when(~good, "invalid_token").when(F.coalesce(F.col("same_password"), F.lit(False)), "same_password").otherwise("reset")
-    decided = requests.withColumn("outcome", outcome)
+    first = requests.where(outcome == "reset").groupBy("token_id").agg(F.min("request_id").alias("__first"))
+    late = (outcome == "reset") & (F.col("request_id") != F.col("__first"))
+    rows = requests.join(first, "token_id", "left").withColumn("outcome", F.when(F.coalesce(late, F.lit(False)), "invalid_token").otherwise(outcome))
+    decided = rows.select(*requests.columns, "outcome")
     done = decided.where("outcome = 'reset'")
     return decided, activated(users, done.select(F.col("user_id").alias("id"))), consumed(tokens, done.select(F.col("token_id").alias("id"))), revoked_for_users(sessions, done.select("user_id"))

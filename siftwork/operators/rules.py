@@ -24,14 +24,13 @@ def token_states(presented: DataFrame, tokens: DataFrame, users: DataFrame, now:
     secret), expired, superseded (resets only: the user has a later one), used, already_verified (sign-ups
     only: the user is active), valid. Of tokens made at the same time the one with the larger id is later.
     """
-    newest = latest_by(tokens.select("user_id", "purpose", "created_at", "id"), ["user_id", "purpose"], "created_at", "id")
-    known = (
-        tokens.select("id", "purpose", "user_id", "is_used", "expires_at")
-        .join(newest.select("user_id", "purpose", F.col("id").alias("newest_id")), ["user_id", "purpose"], "left")
-        .join(users.select(F.col("id").alias("user_id"), F.col("is_active").alias("user_active"), F.lit(True).alias("user_found")), "user_id", "left")
-        .select(F.col("id").alias("token_id"), "purpose", F.col("user_id").alias("token_user"), "is_used", "expires_at", "newest_id", "user_active", "user_found")
-    )
+    # Presented tokens come first, so that later joins meet no others; only resets ask for the latest one.
+    known = tokens.select(F.col("id").alias("token_id"), "purpose", F.col("user_id").alias("token_user"), "is_used", "expires_at")
+    resets = tokens.where("purpose = 'password_reset'").select("user_id", "created_at", "id")
+    newest = latest_by(resets, ["user_id"], "created_at", "id").select(F.col("user_id").alias("token_user"), F.col("id").alias("newest_id"))
+    owners = users.select(F.col("id").alias("token_user"), F.col("is_active").alias("user_active"), F.lit(True).alias("user_found"))
     rows = presented.withColumn("token_id", text.token_id(F.col("public_token"))).join(known, ["token_id", "purpose"], "left")
+    rows = rows.join(newest, "token_user", "left").join(owners, "token_user", "left")
     reset, signup = F.col("purpose") == "password_reset", F.col("purpose") == "signup"
     state = (
         F.when(~_yes(F.col("user_found")) | ~_yes(F.col("secret_ok")), "invalid")
@@ -53,6 +52,11 @@ def session_gates(requests: DataFrame, sessions: DataFrame, users: DataFrame, no
     return rows.select(*requests.columns, F.when(F.col("gate_found"), F.col("gate_user")).alias("gate_user"), gate.alias("gate"))
 
 
+def cookie_gates(requests: DataFrame, sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Adds session_id and its gate to rows of cookie; a cookie that is no session id is unauthenticated, as is none."""
+    return session_gates(requests.withColumn("session_id", text.session_id(F.col("cookie"))), sessions, users, now)
+
+
 def issue_limits(requests: DataFrame, tokens: DataFrame, users: DataFrame, purpose: str, now: Column) -> DataFrame:
     """Adds outcome and retry_after to rows of email that ask for a token of that purpose.
 

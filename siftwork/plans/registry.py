@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import chat, clock, network, text
 from siftwork.operators import lookup, mutations, outbox, rules
-from siftwork.sources import requests, tables
+from siftwork.sources import requests, schemas, tables
 
 SESSION_NOW, TOKEN_NOW = "2001-06-01 00:00:00", "2024-01-30 23:58:00"
 _S, _T = f"TIMESTAMP '{SESSION_NOW}'", f"TIMESTAMP '{TOKEN_NOW}'"
@@ -126,6 +127,17 @@ def session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.session_gates(asked, sessions, tables.users(spark, sf_dir), clock.at(SESSION_NOW))
 
 
+@query(f"""SELECT s.id, r.ok AND s.id % 4 <> 3 AS known, CASE WHEN NOT r.ok OR s.id % 4 = 3 OR u.id IS NULL THEN 'unauthenticated' WHEN NOT u.is_active THEN 'unverified' ELSE 'active' END AS gate
+    FROM (SELECT id, NOT revoked AND expires_at > {_S} AS ok FROM sessions) r JOIN sessions s ON s.id = r.id LEFT JOIN users u ON u.id = s.user_id""")
+def session_cookie_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.md5(F.col("id").cast("string"))
+    named = tables.sessions(spark, sf_dir).withColumn("number", F.col("id")).withColumn("id", text.session_id(digits))
+    k = F.col("number") % 4
+    cookie = F.when(k == 0, F.col("id")).when(k == 1, F.upper("id")).when(k == 2, F.concat(F.lit("{"), "id", F.lit("}"))).otherwise(F.substring("id", 1, 35))
+    gates = rules.cookie_gates(named.select("number", cookie.alias("cookie")), named, tables.users(spark, sf_dir), clock.at(SESSION_NOW))
+    return gates.select(F.col("number").alias("id"), F.col("gate_user").isNotNull().alias("known"), "gate")
+
+
 @query("""SELECT event_id, user_id, event_type, coalesce(last_ts + INTERVAL 1 HOUR > ts, false) AS limited,
     CAST(CASE WHEN last_ts IS NULL THEN 3600 ELSE greatest(1, ceil(date_diff('microsecond', ts, last_ts + INTERVAL 1 HOUR) / 1000000.0)) END AS BIGINT) AS retry_after
     FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS last_ts FROM events)""")
@@ -196,10 +208,18 @@ def reset_password_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reset(spark, sf_dir)[3].select("id", "user_id", "revoked")
 
 
+@query("""SELECT id * 2 + use AS request_id, id AS token_id, CASE WHEN state <> 'valid' THEN 'invalid_token' WHEN id % 3 = 0 THEN 'same_password' WHEN use = 1 THEN 'invalid_token' ELSE 'reset' END AS outcome
+    FROM states, (VALUES (0), (1)) AS uses(use) WHERE purpose = 'password_reset'""")
+def reset_password_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reset(spark, sf_dir)[0].select("request_id", "token_id", "outcome")
+
+
 def _reset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     tokens, users = tables.tokens(spark, sf_dir), tables.users(spark, sf_dir)
     states = rules.token_states(_presented(tokens.where("purpose = 'password_reset'")), tokens, users, clock.at(TOKEN_NOW))
-    asked = states.select("token_id", F.col("token_user").alias("user_id"), F.col("state").alias("token_state"), (F.col("token_id") % 3 == 0).alias("same_password"))
+    # Every token is presented twice, the second time in vain.
+    twice = states.withColumn("use", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = twice.select((F.col("token_id") * 2 + F.col("use")).alias("request_id"), "token_id", F.col("token_user").alias("user_id"), F.col("state").alias("token_state"), (F.col("token_id") % 3 == 0).alias("same_password"))
     return mutations.reset_passwords(asked, users, tokens, tables.sessions(spark, sf_dir))
 
 
@@ -242,9 +262,19 @@ def open_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT 5000000 + row_number() OVER (ORDER BY request_id) - 1 AS id, 'new' || user_id || '@example.com' AS email, 'new' || user_id AS username, false AS is_active, {_S} AS created_at
     FROM (SELECT min(id) AS request_id, user_id FROM sessions GROUP BY user_id)""")
 def register_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _new_users(spark, sf_dir).select("id", "email", "username", "is_active", "created_at")
+
+
+@query(f"""SELECT 5000000 + row_number() OVER (ORDER BY request_id) - 1 AS id, 'new' || user_id || '@example.com' AS email, 'new' || user_id AS username, {_S} AS created_at
+    FROM (SELECT min(id) AS request_id, user_id FROM sessions GROUP BY user_id)""")
+def registration_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.registered(_new_users(spark, sf_dir))
+
+
+def _new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("new"), F.col("user_id"))
     asked = tables.sessions(spark, sf_dir).select(F.col("id").alias("request_id"), F.concat(name, F.lit("@example.com")).alias("email"), name.alias("username"), F.lit("").alias("password_hash"))
-    return mutations.new_users(asked, 5_000_000, clock.at(SESSION_NOW)).select("id", "email", "username", "is_active", "created_at")
+    return mutations.new_users(asked, 5_000_000, clock.at(SESSION_NOW))
 
 
 @query("""SELECT r.email, r.username, u.id IS NOT NULL AS email_taken, v.id IS NOT NULL AS username_taken
@@ -269,15 +299,16 @@ def chat_prompt_last8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", chat.prompt(F.col("message"), history).alias("prompt"))
 
 
-_FIRST_WORD = "split_part(text, ' ', 1)"
-_EMAILS = f"(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {_FIRST_WORD} || '@mail.example' WHEN 1 THEN {_FIRST_WORD} WHEN 2 THEN '@' || {_FIRST_WORD} WHEN 3 THEN {_FIRST_WORD} || '@' ELSE 'a@b@c' END AS email FROM documents)"
+# Addresses made of whole texts, with dots for their white space.
+_LOCAL = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13), '....')"
+_EMAILS = f"(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {_LOCAL} || '@mail.example' WHEN 1 THEN {_LOCAL} WHEN 2 THEN '@' || {_LOCAL} WHEN 3 THEN {_LOCAL} || '@' ELSE {_LOCAL} || '@b@c.example' END AS email FROM documents)"
 _MASK = "CASE WHEN regexp_full_match(email, '[^@]+@[^@]+', 's') THEN {shown} || '******@' || split_part(email, '@', 2) ELSE '' END"
 
 
 def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
+    local = F.translate(F.coalesce("text", F.lit("")), " \t\n\r", "....")
     k = F.col("doc_id") % 5
-    email = F.when(k == 0, F.concat(word, F.lit("@mail.example"))).when(k == 1, word).when(k == 2, F.concat(F.lit("@"), word)).when(k == 3, F.concat(word, F.lit("@"))).otherwise("a@b@c")
+    email = F.when(k == 0, F.concat(local, F.lit("@mail.example"))).when(k == 1, local).when(k == 2, F.concat(F.lit("@"), local)).when(k == 3, F.concat(local, F.lit("@"))).otherwise(F.concat(local, F.lit("@b@c.example")))
     return tables.read(spark, sf_dir, "documents").select("doc_id", email.alias("email"))
 
 
@@ -360,3 +391,84 @@ def mail_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     issued = tables.tokens(spark, sf_dir).select("id", "user_id", "purpose", F.concat(F.lit("s"), F.col("id")).alias("secret"))
     rows = outbox.outbox(issued, tables.users(spark, sf_dir), "Desk", "desk@example.com", "https://example.com", {"signup": "/verify/", "password_reset": "/reset/"}, {"signup": "Verify", "password_reset": "Reset"})
     return rows.select("token_id", F.col("from").alias("sender"), F.element_at("to", 1).alias("recipient"), "subject", "url")
+
+
+_LINE = f"CASE event_type WHEN 'click' THEN '{chat.USER_LABEL}' ELSE '{chat.OTHER_LABEL}' END || '{chat.AFTER_LABEL}' || event_type || event_id"
+
+
+@query(f"""SELECT user_id, '{chat.SYSTEM}' || chr(10) || chr(10) || '{chat.HISTORY}' || chr(10) || array_to_string((list({_LINE} ORDER BY ts, event_id))[-8:], chr(10)) || chr(10) || chr(10) ||
+    '{chat.MESSAGE}' || max_by(event_type || event_id, (ts, event_id)) || chr(10) || '{chat.CLOSING}' AS prompt, least(count(*), 16) AS kept FROM events GROUP BY user_id""")
+def chat_prompt_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of many turns: a user's events stand in for theirs."""
+    e = tables.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "click", "user").otherwise("ai").alias("role"), F.concat("event_type", "event_id").alias("content"))
+    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    recent = e.withColumn("place", F.row_number().over(last)).where(F.col("place") <= chat.KEPT_TURNS)
+    rows = recent.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "role", "content"))).alias("turns"))
+    history = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    kept = chat.last_turns(history, chat.KEPT_TURNS)
+    return rows.select("user_id", chat.prompt(F.element_at("turns", -1)["content"], kept).alias("prompt"), F.size(kept).cast("long").alias("kept"))
+
+
+@query("SELECT conv_id, turn, coalesce(role IN ('user', 'ai'), false) AS known, coalesce(CASE role WHEN 'assistant' THEN 'ai' ELSE role END IN ('user', 'ai'), false) AS renamed FROM conversations")
+def role_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    renamed = F.when(F.col("role") == "assistant", "ai").otherwise(F.col("role"))
+    return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", chat.is_role(F.col("role")).alias("known"), chat.is_role(renamed).alias("renamed"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN text END AS message, turn % 3 = 0 OR (turn % 3 = 2 AND role = 'user') AS ok FROM conversations""")
+def chat_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.read(spark, sf_dir, "conversations")
+    k = F.col("turn") % 3
+    turn = F.struct("role", F.lit("said before").alias("content"))
+    body = F.to_json(F.struct(F.when(k != 1, F.col("text")).alias("message"), F.when(k == 2, F.array(turn)).alias("history")))
+    return schemas.chat_requests(c.select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", "message", "ok")
+
+
+@query("""SELECT custkey, record, concat_ws(',', CASE WHEN record = 'login' AND custkey % 4 = 3 THEN 'email' END, CASE WHEN record = 'forgot_password' AND custkey % 4 = 3 THEN 'email' END,
+    CASE WHEN record = 'reset_password' AND custkey % 5 = 0 THEN 'token' END, CASE WHEN record IN ('login', 'reset_password') AND custkey % 4 <> 0 THEN 'password' END) AS faulty
+    FROM (SELECT c_custkey AS custkey FROM customer), (VALUES ('login'), ('resend_verification'), ('forgot_password'), ('reset_password')) AS records(record)""")
+def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other four records over the same bodies."""
+    k = F.col("c_custkey") % 4
+    password = F.when(k == 0, "secret-12").when(k == 1, "short").when(k == 2, F.repeat(F.lit("x"), F.lit(129)))
+    token = F.when(F.col("c_custkey") % 5 == 0, " 1.a ").otherwise(" 1.abc ")
+    body = F.to_json(F.struct(F.when(k != 3, F.lit("a@b.example")).alias("email"), token.alias("token"), password.alias("password")))
+    bodies = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), body.alias("body"))
+    parts = [requests.parsed(bodies, r).select("custkey", F.lit(r).alias("record"), F.array_join("faulty", ",").alias("faulty")) for r in ("login", "resend_verification", "forgot_password", "reset_password")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name END AS key FROM customer")
+def first_api_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    first = F.when(k == 0, F.col("c_mktsegment")).when(k == 1, "")
+    return tables.read(spark, sf_dir, "customer").select("c_custkey", text.first_set(first, F.when(k == 1, F.col("c_name")), F.lit("")).alias("key"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '@x.example' WHEN 1 THEN c_name || '@x.example,second@x.example' END AS addresses FROM customer")
+def mail_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    one = F.struct(F.concat("c_name", F.lit("@x.example")).alias("email"), F.col("c_name").alias("name"))
+    two = F.struct(F.lit("second@x.example").alias("email"), F.lit(None).cast("string").alias("name"))
+    c = tables.read(spark, sf_dir, "customer").withColumn("to", F.when(k == 0, F.array(one)).when(k == 1, F.array(one, two)))
+    return c.select("c_custkey", F.array_join(chat.addresses(F.col("to")), ",").alias("addresses"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 OR (c_custkey % 3 = 1 AND length(c_mktsegment) >= 9) AS accepted FROM customer")
+def password_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    first = F.when(k == 1, F.col("c_mktsegment")).otherwise(F.col("c_name"))
+    second = F.when(k == 2, F.lower("c_name")).otherwise(first)
+    return tables.read(spark, sf_dir, "customer").select("c_custkey", text.passwords_match(first, second, 9).alias("accepted"))
+
+
+@query(f"SELECT id, CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 AND expires_at < {_T} THEN '' ELSE 'u' || user_id || '@x.example' END AS email FROM tokens")
+def stored_email_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id") % 3
+    email = F.when(k != 0, F.concat(F.lit("u"), "user_id", F.lit("@x.example")))
+    return tables.tokens(spark, sf_dir).select("id", text.stored_email(email, F.when(k != 2, F.col("expires_at")), clock.at(TOKEN_NOW)).alias("email"))
+
+
+@query(f"SELECT id, CAST(greatest(0, ceil(date_diff('microsecond', {_T}, expires_at) / 1000000.0)) AS BIGINT) AS seconds FROM tokens")
+def countdown_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.tokens(spark, sf_dir).select("id", clock.cooldown_seconds(F.col("expires_at"), clock.at(TOKEN_NOW)).alias("seconds"))
