@@ -43,10 +43,12 @@ def nullable(schema: StructType) -> StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured, as in tests."""
+    """The folder that driver and executors share; a temporary one where none is configured and all run on this machine."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='siftwork-')}"
         sc.setCheckpointDir(where)
     return where

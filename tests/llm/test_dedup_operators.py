@@ -3,12 +3,14 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork.llm import near_dedup, suffix_dedup
+from siftwork.llm.common import shared_dir
 from siftwork.llm.components import components
 from siftwork.llm.suffix_sort import blind_trie_order, deep_shallow
 
@@ -249,3 +251,12 @@ def test_suffix_dedup_keeps_columns_and_whole_characters(spark):
     got = {r["doc_id"]: (r["text"], r["block"]) for r in cut.collect()}
     assert got == {1: ("xtail", "a"), 2: ("日end", "b"), 3: (None, None), 4: ("kept as it is", "c")}
     assert suffix_dedup.digests(df.limit(0)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master: str, folder: str | None) -> SimpleNamespace:
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder}, getCheckpointDir=lambda: None))
+
+    assert shared_dir(session("spark://host:7077", "hdfs:///scratch")) == "hdfs:///scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077", None))
