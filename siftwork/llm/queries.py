@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import additive_ann, bpe, chat, image_copies, language_id, near_dedup, packing, quality, suffix_dedup, token_counts
+from siftwork.llm import additive_ann, bpe, chat, html_text, image_copies, language_id, lexical_search, near_dedup, packing, quality, source_audit, suffix_dedup, token_counts
 from siftwork.llm.common import held_out, table
 
 #: Where the tokenizer files are; callers may pass other paths to the operators.
@@ -72,7 +72,19 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, WORD_BPE, bpe.compile_lexicon(docs, WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op8_image_copies, op9_language_id, op10_bpe_transducer)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_attribution, op2_additive_ann, op3_bm25_packing, op4_bagminhash_dedup, op5_chat_format, op6_pu_quality, op7_suffix_dedup, op8_image_copies, op9_language_id, op10_bpe_transducer, op11_source_audit, op12_lexical_search, op13_html_text)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
@@ -96,4 +108,32 @@ ORACLES: dict[str, str] = {
             regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid
         FROM escaped GROUP BY conv_id
     """,
+    "op11_source_audit": r"""
+        WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        words AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        shares AS (SELECT k.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+            FROM kept k JOIN langs l USING (lang) JOIN totals g USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(s.p - t.p)), 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN shares s ON s.lang = a.lang AND s.source = a.source LEFT JOIN shares t ON t.lang = b.lang AND t.source = b.source AND t.term = s.term GROUP BY ALL)
+        SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS INTEGER) AS rank FROM shares WHERE n > 0 AND p > q
+        QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= 50
+    """,
+    "op12_lexical_search": r"""
+        WITH docs AS (SELECT row_number() OVER () AS d, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        words AS (SELECT d, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        sizes AS (SELECT d, count(*) AS n FROM words GROUP BY d), whole AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM sizes),
+        asked AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark))),
+        times AS (SELECT d, doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        dfs AS (SELECT term, CAST(floor(1000 * ln((2 * w.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM times, whole w GROUP BY term, w.n),
+        scores AS (SELECT i, item_id, d, doc_id, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * s.n * w.n) // w.l)))) AS BIGINT) AS score
+            FROM asked JOIN times USING (term) JOIN dfs f USING (term) JOIN sizes s USING (d), whole w GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 50
+    """,
 }
