@@ -37,7 +37,7 @@ def terms(texts: pa.Array, flags: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     inside = flags[data]
     change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     cuts = ends_of[:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])  # empty texts end where others do
     both = cuts[inside[cuts - 1] & inside[cuts]] if len(cuts) else cuts  # a run that goes over into the next text
     edges = np.concatenate([change, both, both, *([[0]] if len(data) and inside[0] else []), *([[len(data)]] if len(data) and inside[-1] else [])]).astype(np.int64)
     edges.sort(kind="stable")
