@@ -198,7 +198,7 @@ def _ask(level: int, bits: int, length: int, row_: str) -> tuple[Callable, Calla
             release_memory()
         cell = (sent[0] >> np.uint64(64 - bits)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(cell))
+        ends = np.append(first[1:], len(cell)) if len(cell) else first  # a block may have nothing left to ask
         keys = [b"".join(k[a:b].tobytes() for k in sent) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
         return pa.table({"cell": pa.array(cell[first], pa.int64()), "block": pa.array([block_id] * len(keys), pa.int64()), "level": pa.array([level] * len(keys), pa.int32()), "keys": pa.array(keys, pa.binary())})
 
@@ -230,8 +230,9 @@ def _tell(level: int) -> Callable[[pa.Table], pa.Table]:
 def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema, length: int = LENGTH) -> DataFrame:
     """out(rows, removed) for the rows of each block of docs, which needs a text column; removed has a flag for each byte of a row's text.
 
-    Matches never cross texts; a null text is empty. Rows are dealt by a hash of their contents, so equal
-    rows are in one block and count as occurrences of each other, as any other copies do.
+    Matches never cross texts; a null text is empty. Rows are dealt by a hash of their contents and place, so that rows alike in
+    all columns spread over the blocks like others and count as occurrences of each other, as any copies do. Places
+    hold for rows read from storage; what a shuffle made should be stored first. The dealt rows are written once.
     """
     if length < ANCHOR + STEP:
         raise ValueError(f"length must be {ANCHOR + STEP} at least")
@@ -239,7 +240,8 @@ def with_repeats(docs: DataFrame, out: Callable[[pa.Table, list[np.ndarray]], pa
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks, bits = max(1, math.ceil(total / BLOCK)), max(8, math.ceil(math.log2(max(1, total / CELL))))
     row_, block_ = fresh("__row", docs.columns), fresh("__block", docs.columns)
-    dealt = docs.withColumn(row_, F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn(block_, F.pmod(F.xxhash64(row_), F.lit(blocks)))
+    own = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    dealt = docs.withColumn(row_, F.xxhash64(*own, F.monotonically_increasing_id())).withColumn(block_, F.pmod(F.xxhash64(row_), F.lit(blocks)))
     kept = _by_block(dealt, block_)
     told = None
     for level in (1, 2, 3):

@@ -242,6 +242,57 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, block, length):
     assert sorted(str(tuple(r)) for r in suffix_dedup.digests(df, length).collect()) == sorted(want)
 
 
+def _prose(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghij klmnopqrstuvwxyz") for _ in range(n))
+
+
+#: Tables in which some block, or every one, has nothing left to ask at some level. Most are read with small blocks, so that there are many.
+PLAIN_TABLES = {
+    "short texts": [(i, _prose(i, 20 + 8 * i)) for i in range(20)],
+    "nulls": [(i, None) for i in range(30)],
+    "one long text": [(1, _prose(1, 30_000))],
+    "one long text among short ones": [(1, _prose(2, 30_000)), *[(2 + i, _prose(9 + i, 50)) for i in range(30)]],
+    "copies of one text": [(i, _prose(3, 900)) for i in range(1200)],
+    "copies of a periodic text": [(i, "abcdefg" * 90) for i in range(800)],
+    "rows alike in everything": [(5, _prose(4, 900))] * 800,
+}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 1 << 20])
+@pytest.mark.parametrize("name", PLAIN_TABLES)
+def test_suffix_dedup_of_plain_tables(spark, monkeypatch, name, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rows = PLAIN_TABLES[name]
+    repeats = "copies" in name or "alike" in name
+    path = f"{shared_dir(spark)}/plain-{name.replace(' ', '-')}-{block}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.digests(df).collect())
+    size = lambda t: len(t or "")
+    assert got == Counter((i, size(t), size(t) * repeats, int(repeats)) for i, t in rows)
+    left = Counter(tuple(r) for r in corpus_pipeline.cut_repeats(spark, df, "").collect())
+    assert left == (Counter() if repeats else Counter(r for r in rows if r[1]))
+
+
+def test_rows_alike_share_no_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 16)
+    sizes = []
+    real = suffix_dedup._by_block
+
+    def spy(dealt, block_):
+        out = real(dealt, block_)
+        sizes.extend(r["count"] for r in out.groupBy(block_).count().collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_by_block", spy)
+    df = spark.createDataFrame([(5, _prose(4, 900))] * 1000, "doc_id long, text string")
+    assert suffix_dedup.digests(df).where("n_removed = 900").count() == 1000
+    assert max(sizes) < 3 * (1 << 16) / 900
+
+
 def test_suffix_dedup_keeps_columns_and_whole_characters(spark):
     passage = "é" * 150
     rows = [(1, "x" + passage + "tail", "a"), (2, "日" + passage + "end", "b"), (3, None, None), (4, "kept as it is", "c")]
