@@ -37,28 +37,29 @@ def revoked_for_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
     return _flagged(sessions, users, "user_id", "revoked", True, ~F.col("revoked"))
 
 
-def new_users(requests: DataFrame, first_id: int, now: Column) -> DataFrame:
-    """Rows of users to append for accepted requests (request_id, email, username, password_hash); inactive.
+def new_users(requests: DataFrame, first_id: int, now: Column, users: DataFrame | None = None) -> DataFrame:
+    """Rows of users to append for requests (request_id, email, username, password_hash) that succeed one after another; inactive.
 
-    One request wins each address and each name, the smallest request_id; ids count up by request_id,
-    through a range-partitioned sort and partition offsets, not in one task.
+    Ids count up by request_id, through a range-partitioned sort and partition offsets, not in one task.
     """
-    best = F.min("request_id")
-    by_email = requests.groupBy("email").agg(best.alias("request_id"))
-    winners = requests.join(by_email, ["email", "request_id"], "left_semi")
-    winners = winners.join(winners.groupBy("username").agg(best.alias("request_id")), ["username", "request_id"], "left_semi")
-    return numbered(winners, "request_id", first_id).select("id", "email", "username", "password_hash", F.lit(False).alias("is_active"), F.lit(False).alias("is_admin"), now.alias("created_at"))
+    from siftwork.operators.registration import register
+
+    known = requests.select("email", "username").limit(0) if users is None else users
+    return register(requests, known, first_id, now)[1].drop("request_id")
 
 
 def numbered(rows: DataFrame, order: str, first: int) -> DataFrame:
     """Adds id: consecutive numbers in ascending order. Counts per partition, one small row each, give the offsets.
 
-    Both uses of the dealt rows are one exchange of the plan, so they see the same ranges.
+    The dealt rows are written once, each with the number of its range: ranges are drawn from a sample, so a second
+    exchange, even of the same rows, could cut them elsewhere.
     """
     from pyspark.sql import Window
 
+    from siftwork.sources.scratch import written
+
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), "numbered")
     counts = dealt.groupBy("__part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__before"))
