@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions.text import stripped_or_empty
+from siftwork.operators.timeline import rows_before
 
 # Turns that are kept, sent and put into a prompt, and the prompt's texts.
 KEPT_TURNS, SENT_TURNS, PROMPT_TURNS = 16, 8, 8
@@ -45,3 +46,14 @@ def reply(text: Column) -> Column:
 def addresses(recipients: Column) -> Column:
     """The addresses of recipients (array of email, name); null for none."""
     return F.when(F.size(F.coalesce(recipients, F.array().cast("array<struct<email:string,name:string>>"))) > 0, F.transform(recipients, lambda r: r["email"]))
+
+
+def prompts(turns: DataFrame, slot_turns: int = 1024) -> DataFrame:
+    """conv_id, turn, prompt for each user turn of turns (conv_id, turn, role, content): the prompt of its call, made of the turns before it.
+
+    Turns alike in number are in order of role and content. A very long conversation is spread over slots of turn numbers.
+    """
+    rows = turns.select("conv_id", "turn", "role", "content", F.struct("role", "content").alias("said"))
+    past = rows_before(rows, ["conv_id"], "turn", "said", PROMPT_TURNS, "past", F.floor(F.col("turn") / slot_turns))
+    history = F.transform("past", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
+    return past.where("role = 'user'").select("conv_id", "turn", prompt(F.col("content"), history).alias("prompt"))

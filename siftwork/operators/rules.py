@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import clock, text
 from siftwork.operators.lookup import latest_by
+from siftwork.operators.timeline import as_of, cooled
 
 
 def _yes(c: Column) -> Column:
@@ -75,6 +76,61 @@ def issue_limits(requests: DataFrame, tokens: DataFrame, users: DataFrame, purpo
     return rows.withColumn("outcome", outcome).withColumn("retry_after", wait).select(*requests.columns, "asked_user", "outcome", "retry_after")
 
 
+def issues_in_order(requests: DataFrame, tokens: DataFrame, users: DataFrame, purpose: str, minutes: int | None = None) -> DataFrame:
+    """issue_limits() for requests (request_id, email, at) that come at their own times, each knowing what was issued before it.
+
+    A request that issues starts an interval for later ones of the batch, one that is limited does not; tokens of the table count from
+    their own time on. Adds asked_user, outcome, last_issue and retry_after. A user with very many requests is spread over tasks.
+    """
+    minutes = clock.RESEND_MINUTES[purpose] if minutes is None else minutes
+    known = users.select("email", F.col("id").alias("asked_user"), F.col("is_active").alias("asked_active"))
+    rows = requests.join(known, "email", "left")
+    silent = F.col("asked_user").isNull() | (_yes(F.col("asked_active")) if purpose == "signup" else F.lit(False))
+    early = F.when(~text.is_email(F.col("email")), "invalid_email").when(silent, "ok")
+    rows = rows.select("request_id", "email", "at", "asked_user", early.alias("early"))
+    own = tokens.where(F.col("purpose") == purpose).select(F.col("user_id").alias("asked_user"), F.col("created_at").alias("at"), F.lit(True).alias("issued"))
+    asked = rows.where("early IS NULL").unionByName(own, allowMissingColumns=True)
+    done = cooled(asked, ["asked_user"], "at", "request_id", minutes, F.col("issued")).where("issued IS NULL").drop("issued")
+    limited = F.when(F.col("limited"), "limited").otherwise("issue")
+    decided = done.withColumn("outcome", limited).unionByName(rows.where("early IS NOT NULL").withColumn("outcome", F.col("early")), allowMissingColumns=True)
+    wait = F.when(F.col("outcome") == "limited", clock.retry_after_seconds(F.col("last_issue"), minutes, F.col("at"))).when(F.col("outcome") != "invalid_email", F.lit(60 * minutes).cast("long"))
+    return decided.select("request_id", "email", "at", "asked_user", "outcome", "last_issue", wait.alias("retry_after"))
+
+
+def token_states_at(presented: DataFrame, tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """token_states() for tokens presented at their own times `at`: what came later, a newer reset token too, is not known yet.
+
+    is_used and is_active are taken as the tables have them; operators/replay.py follows them through a log.
+    """
+    known = tokens.select(F.col("id").alias("token_id"), "purpose", F.col("user_id").alias("token_user"), "is_used", "expires_at", F.col("created_at").alias("token_made"))
+    rows = presented.withColumn("token_id", text.token_id(F.col("public_token"))).join(known, ["token_id", "purpose"], "left")
+    resets = tokens.where("purpose = 'password_reset'").select(F.col("user_id").alias("token_user"), "created_at", "id")
+    rows = as_of(rows, resets, ["token_user"], "at", "created_at", "id", "newest")
+    owners = users.select(F.col("id").alias("token_user"), F.col("is_active").alias("user_active"), F.lit(True).alias("user_found"))
+    rows = rows.join(owners, "token_user", "left")
+    made = _yes(F.col("token_made") <= F.col("at"))
+    reset, signup = F.col("purpose") == "password_reset", F.col("purpose") == "signup"
+    state = (
+        F.when(~_yes(F.col("user_found")) | ~_yes(F.col("secret_ok")) | ~made, "invalid")
+        .when(clock.is_expired(F.col("expires_at"), F.col("at")), "expired")
+        .when(reset & (F.col("newest.id") != F.col("token_id")), "superseded")
+        .when(_yes(F.col("is_used")), "used")
+        .when(signup & _yes(F.col("user_active")), "already_verified")
+        .otherwise("valid")
+    )
+    return rows.select(*presented.columns, "token_id", "token_user", state.alias("state"))
+
+
+def newest_session_at(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Adds to requests (user_id, at) the user's newest session made by then, newest_id, and whether it was live at that time.
+
+    A session that ends exactly then is over, as in session_gates(). No session: null and false.
+    """
+    rows = as_of(requests, sessions.select("user_id", "created_at", "id", "expires_at", "revoked"), ["user_id"], "at", "created_at", "id", "newest")
+    live = clock.is_live(F.col("newest.revoked"), F.col("newest.expires_at"), F.col("at"))
+    return rows.select(*requests.columns, F.col("newest.id").alias("newest_id"), live.alias("live"))
+
+
 def resend_requests(requests: DataFrame, sessions: DataFrame, users: DataFrame, tokens: DataFrame, now: Column) -> DataFrame:
     """Outcome of resend requests (request_id, email, session_id): a blank address falls back to the session's user.
 

@@ -29,7 +29,7 @@ def query(sql: str) -> Callable:
 
 #: The stand-in tables in SQL.
 _WITH = """
-WITH users AS (
+WITH RECURSIVE users AS (
     SELECT c_custkey AS id, c_name || '@example.com' AS email, c_name AS username, c_custkey % 2 = 0 AS is_active FROM customer
 ), sessions AS (
     SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS created_at, 'login' AS kind,
