@@ -24,7 +24,7 @@ WINDOW = 4096
 #: Tokens of a shard, the unit of one inverted index.
 SHARD = 1 << 20
 #: Shards of a range, the unit of a task.
-SHARDS = 16
+SHARDS = 4
 #: BM25's saturation and length normalisation; fixed values in common use.
 K1, B = 1.2, 0.75
 
@@ -191,11 +191,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
     Each row of docs is one document, repeated rows too; empty and null texts are the end token alone.
     Sequences have `window` tokens, apart from powers of two at the end of a shard. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = stored(tokenised(docs, tokenizer, end_id), "tokens")
     weight, total = rarity(rows)
-    # Ranges grow in number with the tokens, so that a task's bytes do not; equal documents are told apart by their ids' hash.
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (SHARDS * SHARD)))
+    # Ranges follow from the tokens alone, so that a task's bytes stay and no setting decides which documents meet; equal documents are
+    # told apart by their ids' hash.
+    ranges = max(1, math.ceil(total / (SHARDS * SHARD)))
     order = ("near", "doc_id", F.xxhash64("ids"))
     dealt = ordered(rows, weight).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
