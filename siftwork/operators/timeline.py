@@ -28,22 +28,22 @@ def slot_of(time: Column, seconds: int) -> Column:
     return F.floor(micros(time) / (seconds * 1_000_000))
 
 
-def as_of(requests: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, tie: str, into: str, seconds: int = 30 * DAY) -> DataFrame:
+def as_of(requests: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, tie: str, into: str, seconds: int = 30 * DAY, at_tie: str | None = None) -> DataFrame:
     """Adds `into` to requests: the row of the same keys with the greatest (time, tie) not after `at`, as a struct; null if there is none.
 
-    A row exactly at that time counts. Rows without a key or time match nothing; requests without one get null.
+    A row exactly at that time counts; given at_tie, a column of requests, only if its tie is not greater. Rows without a key or time match nothing; requests without one get null.
     """
     rest = [c for c in rows.columns if c not in (*keys, time, tie)]
     whole = rows.where(F.greatest(*[F.col(c).isNull().cast("int") for c in (*keys, time)], F.lit(0)) == 0)
-    known = whole.select(*keys, F.col(time).alias("__t"), slot_of(F.col(time), seconds).alias("__slot"), F.struct(time, tie, *rest).alias("__row"))
-    asked = requests.select(*keys, F.col(at).alias("__t"), slot_of(F.col(at), seconds).alias("__slot"), F.struct(*requests.columns).alias("__asked"))
+    known = whole.select(*keys, F.col(time).alias("__t"), (F.lit(0) if at_tie is None else F.col(tie)).alias("__tie"), slot_of(F.col(time), seconds).alias("__slot"), F.struct(time, tie, *rest).alias("__row"))
+    asked = requests.select(*keys, F.col(at).alias("__t"), (F.lit(0) if at_tie is None else F.col(at_tie)).alias("__tie"), slot_of(F.col(at), seconds).alias("__slot"), F.struct(*requests.columns).alias("__asked"))
     # The latest row of each slot that has any, and with it of all slots before one.
     slots = known.groupBy(*keys, "__slot").agg(F.max("__row").alias("__best"))
     slots = slots.unionByName(asked.select(*keys, "__slot").distinct(), allowMissingColumns=True).groupBy(*keys, "__slot").agg(F.max("__best").alias("__best"))
     before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.select(*keys, "__slot", F.max("__best").over(before).alias("__carried"))
     both = known.withColumn("__kind", F.lit(0)).unionByName(asked.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "__slot").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "__slot").orderBy("__t", "__tie", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__own", F.max("__row").over(within)).where("__kind = 1").join(carried, [*keys, "__slot"], "left")
     return found.select("__asked.*", F.coalesce("__own", "__carried").alias(into))
 

@@ -1,3 +1,3 @@
 """Queries over the test tables, with their SQL."""
 
-from siftwork.plans import registry, timed  # noqa: F401  (timed adds its queries to those of registry)
+from siftwork.plans import logs, registry, timed  # noqa: F401  (logs and timed add their queries to those of registry)
