@@ -46,17 +46,44 @@ def v6_groups(host: Column) -> Column:
     return F.when(whole.rlike(rf"\A(?:{_V6})\z"), whole)
 
 
+def address_bits(host: Column) -> Column:
+    """The address as 32 or 128 characters 0 and 1, so that a network is a beginning of it; null if it is no address."""
+    groups = v6_groups(host)
+    side = lambda n: F.filter(F.split(F.split_part(groups, F.lit("::"), F.lit(n)), ":"), lambda g: g != "")
+    left, right = side(1), side(2)
+    every = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+    long = F.array_join(F.transform(every, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    return F.coalesce(F.lpad(F.bin(v4_number(host)), 32, "0"), F.when(groups.isNotNull(), long))
+
+
+def network_bits(cidr: Column) -> Column:
+    """The bits that all addresses of a network begin with, after 4: or 6:; null if it is none.
+
+    The length follows a slash; without one the network is a single address. Bits of the address beyond the length do not count.
+    """
+    host, size = F.split_part(cidr, F.lit("/"), F.lit(1)), F.split_part(cidr, F.lit("/"), F.lit(2))
+    bits = address_bits(host)
+    n = F.when(F.instr(cidr, "/") == 0, F.length(bits)).when(size.rlike(r"\A[0-9]{1,3}\z") & (F.size(F.split(cidr, "/")) == 2), size.try_cast("int"))
+    return F.when((n <= F.length(bits)) & ~F.contains(host, F.lit("%")), F.concat(version(bits), F.substring(bits, F.lit(1), n)))
+
+
+def version(bits: Column) -> Column:
+    return F.when(F.length(bits) == 32, "4:").when(F.length(bits) == 128, "6:")
+
+
+def within(host: Column, networks: tuple[str, ...]) -> Column:
+    """True for an address in one of a few networks of either version, whatever their lengths; false for others and for null."""
+    bits = address_bits(host)
+    inside = F.lit(False)
+    for net in map(ipaddress.ip_network, networks):
+        first = f"{int(net.network_address):0{net.max_prefixlen}b}"[: net.prefixlen]
+        inside = inside | ((F.length(bits) == net.max_prefixlen) & bits.startswith(first))
+    return F.coalesce(inside, F.lit(False))
+
+
 def is_private_v6(host: Column) -> Column:
-    """True for an IPv6 address in one of the networks, by its first group, or by being the one of the host itself."""
-    groups, inside = v6_groups(host), F.lit(False)
-    for net in map(ipaddress.ip_network, PRIVATE_V6):
-        if net.prefixlen == 128:
-            inside = inside | ((F.regexp_replace(groups, "[0:]", "") == "1") & groups.rlike(r"(?:\A|:)0*1\z"))
-        else:  # the networks end within the first group, which then has four digits
-            low, high = int(net.network_address) >> 112, int(net.broadcast_address) >> 112
-            first = F.regexp_extract(groups, r"\A([0-9a-f]{4}):", 1)
-            inside = inside | F.coalesce(first.between(f"{low:04x}", f"{high:04x}"), F.lit(False))
-    return F.coalesce(groups.isNotNull() & inside, F.lit(False))
+    """True for an IPv6 address in one of the networks."""
+    return within(host, PRIVATE_V6)
 
 
 def is_private(host: Column) -> Column:

@@ -71,7 +71,7 @@ def issue_limits(requests: DataFrame, tokens: DataFrame, users: DataFrame, purpo
     rows = requests.join(known, "email", "left")
     silent = F.col("asked_user").isNull() | (_yes(F.col("asked_active")) if purpose == "signup" else F.lit(False))
     limited = clock.is_limited(F.col("last_issued"), minutes, now)
-    outcome = F.when(~text.is_email(F.col("email")), "invalid_email").when(silent, "ok").when(limited, "limited").otherwise("issue")
+    outcome = F.when(~text.is_server_email(F.col("email")), "invalid_email").when(silent, "ok").when(limited, "limited").otherwise("issue")
     wait = F.when(F.col("outcome") == "limited", clock.retry_after_seconds(F.col("last_issued"), minutes, now)).when(F.col("outcome") != "invalid_email", F.lit(60 * minutes).cast("long"))
     return rows.withColumn("outcome", outcome).withColumn("retry_after", wait).select(*requests.columns, "asked_user", "outcome", "retry_after")
 
@@ -86,7 +86,7 @@ def issues_in_order(requests: DataFrame, tokens: DataFrame, users: DataFrame, pu
     known = users.select("email", F.col("id").alias("asked_user"), F.col("is_active").alias("asked_active"))
     rows = requests.join(known, "email", "left")
     silent = F.col("asked_user").isNull() | (_yes(F.col("asked_active")) if purpose == "signup" else F.lit(False))
-    early = F.when(~text.is_email(F.col("email")), "invalid_email").when(silent, "ok")
+    early = F.when(~text.is_server_email(F.col("email")), "invalid_email").when(silent, "ok")
     rows = rows.select("request_id", "email", "at", "asked_user", early.alias("early"))
     own = tokens.where(F.col("purpose") == purpose).select(F.col("user_id").alias("asked_user"), F.col("created_at").alias("at"), F.lit(True).alias("issued"))
     asked = rows.where("early IS NULL").unionByName(own, allowMissingColumns=True)
@@ -153,7 +153,7 @@ def logins(requests: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """
     rows = requests.join(users.select("email", F.col("id").alias("login_user"), F.col("is_active").alias("login_active")), "email", "left")
     known = F.col("login_user").isNotNull() & _yes(F.col("password_ok"))
-    outcome = F.when(~text.is_email(F.col("email")), "invalid_email").when(~known, "bad_credentials").when(~_yes(F.col("login_active")), "needs_verification").otherwise("ok")
+    outcome = F.when(~text.is_server_email(F.col("email")), "invalid_email").when(~known, "bad_credentials").when(~_yes(F.col("login_active")), "needs_verification").otherwise("ok")
     opens = outcome.isin("needs_verification", "ok")
     return rows.select(*requests.columns, outcome.alias("outcome"), F.when(opens, F.col("login_user")).alias("login_user"), F.when(opens, clock.minutes_after(now, clock.SESSION_MINUTES)).alias("expires_at"))
 
