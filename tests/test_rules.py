@@ -125,9 +125,9 @@ def test_stream_of_requests(spark, users, now, tmp_path):
     sessions = spark.createDataFrame([(1, 1, "login", NOW + timedelta(1), False)], SESSIONS)
     from siftwork.streaming.gates import gate_stream
 
-    spark.createDataFrame([(1,), (2,)], "session_id long").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session_id long").parquet(str(tmp_path / "in"))
-    q = gate_stream(stream, sessions, users, now).writeStream.format("memory").queryName("gates").start()
+    spark.createDataFrame([(1, NOW), (2, NOW)], "session_id long, at timestamp_ntz").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id long, at timestamp_ntz").parquet(str(tmp_path / "in"))
+    q = gate_stream(stream, sessions, users).writeStream.format("memory").queryName("gates").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.sql("SELECT session_id, gate FROM gates").collect()) == [(1, "active"), (2, "unauthenticated")]
