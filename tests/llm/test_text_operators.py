@@ -365,6 +365,77 @@ def test_quality_needs_no_negative_labels():
     assert model.scores(good).mean() > 0.8 and model.scores(bad).mean() < 0.2
 
 
+def plain_pu(positive, unlabelled, prior, steps, units=16, decay=2e-4, seed=7):
+    """The non-negative risk and its gradient sample by sample, as the method states them; returns the score of a row of features."""
+    rng = np.random.default_rng(seed)
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    params = [rng.normal(0, 1 / np.sqrt(both.shape[1]), (both.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.zeros(1)]
+    first, second = ([np.zeros_like(x) for x in params] for _ in range(2))
+
+    def forward(row):
+        x = (row - mean) / scale
+        h = np.tanh(params[0].T @ x + params[1])
+        return x, h, float(params[2] @ h + params[3][0])
+
+    def mean_loss(rows, sign):
+        """Of log(1 + exp(-sign * z)), with its gradient."""
+        loss, grads = 0.0, [np.zeros_like(x) for x in params]
+        for row in rows:
+            x, h, z = forward(row)
+            loss += np.log1p(np.exp(-sign * z))
+            dz = -sign / (1 + np.exp(sign * z))
+            dh = dz * params[2] * (1 - h * h)
+            for g, d in zip(grads, (x[:, None] * dh[None, :], dh, dz * h, np.array([dz])), strict=True):
+                g += d
+        return loss / len(rows), [g / len(rows) for g in grads]
+
+    for step in range(1, steps + 1):
+        _, as_pos = mean_loss(positive, 1)
+        pos_neg, pos_neg_grad = mean_loss(positive, -1)
+        unl_neg, unl_neg_grad = mean_loss(unlabelled, -1)
+        negative = unl_neg - prior * pos_neg
+        for i in range(4):
+            g = unl_neg_grad[i] - prior * pos_neg_grad[i]
+            g = -g if negative < 0 else prior * as_pos[i] + g
+            g = g + decay * params[i]
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            params[i] = params[i] - 0.01 * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+    return lambda row: 1 / (1 + np.exp(-forward(row)[2]))
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_quality_fit_equals_plain_risk_and_gradient(prior):
+    """With the largest prior the estimated risk of negatives falls below zero, so the ascent is met too."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(1, 1, (14, 5)), np.concatenate([rng.normal(1, 1, (10, 5)), rng.normal(-1, 1, (10, 5))])
+    got = quality.fit_pu(positive, unlabelled, prior, steps=120).scores(unlabelled)
+    want = [plain_pu_score(row) for plain_pu_score in [plain_pu(positive, unlabelled, prior, 120)] for row in unlabelled]
+    assert np.abs(got - want).max() < 1e-6
+
+
+def test_quality_query_equals_a_plain_version(spark):
+    """The whole operator on a few documents: which rows teach, the prior, the fit and every score."""
+    rng = np.random.default_rng(5)
+    good, bad = "Sensible words make up this sentence, and it ends well. ", "BUY now!!! $$$ 100 % click >>> "
+    rows = [(i, (good if i % 3 else bad) * int(rng.integers(1, 6)) + str(i)) for i in range(40)] + [(100, ""), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 40, 2)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(docs, model).collect()}
+    texts = {i: t for i, t in rows if t is not None}
+    x = {i: quality.features([t]).astype(np.float32).astype(float)[0] for i, t in texts.items()}
+    order = lambda salt, ids: [r["doc_id"] for r in docs.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64(F.lit(salt), "doc_id", "text")).collect()]
+    positive = np.array([x[i] for i in order(1, [i for i in range(0, 40, 2) if i % 3])])
+    unlabelled = np.array([x[i] for i in order(2, list(texts))])
+    assert model.prior == quality.class_prior(positive, unlabelled)
+    plain = plain_pu(positive, unlabelled, model.prior, 600)
+    for i, t in rows:
+        want = plain(quality.features([t])[0])
+        assert abs(got[i][0] - want) < 1e-3 and got[i][1] == int(got[i][0] >= 0.3)
+
+
 def test_quality_edges(spark):
     docs = frame(spark, HARD)
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (6, 0, None), (7, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
