@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.operators.mutations import numbered
-from siftwork.sources.scratch import written
+from siftwork.sources.scratch import discarded, written
 
 
 def _first(rows: DataFrame, key: str) -> DataFrame:
@@ -41,7 +41,8 @@ def accepted(requests: DataFrame, users: DataFrame) -> DataFrame:
         rest = left
         for key in keys:
             rest = rest.join(chosen.select(key), key, "left_anti")
-        left = written(rest, "requests")
+        before, left = left, written(rest, "requests")
+        discarded(before)
     out = parts[0] if parts else left.select("request_id", *keys)
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import chat, clock, network, text
-from siftwork.operators import lookup, mutations, outbox, rules
+from siftwork.operators import lookup, mutations, outbox, rules, timeline
 from siftwork.sources import requests, schemas, tables
 
 SESSION_NOW, TOKEN_NOW = "2001-06-01 00:00:00", "2024-01-30 23:58:00"
@@ -142,9 +142,11 @@ def session_cookie_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(CASE WHEN last_ts IS NULL THEN 3600 ELSE greatest(1, ceil(date_diff('microsecond', ts, last_ts + INTERVAL 1 HOUR) / 1000000.0)) END AS BIGINT) AS retry_after
     FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS last_ts FROM events)""")
 def cooldown_retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    e = tables.read(spark, sf_dir, "events").withColumn("last_ts", before)
-    return e.select("event_id", "user_id", "event_type", clock.is_limited(F.col("last_ts"), 60, F.col("ts")).alias("limited"), clock.retry_after_seconds(F.col("last_ts"), 60, F.col("ts")).alias("retry_after"))
+    """Every event against the one just before it; timed.cooldown_in_order lets only events that were let through count."""
+    e = tables.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    past = timeline.rows_before(e, ["user_id", "event_type"], "ts", "event_id", 1, "past", timeline.slot_of(F.col("ts"), 7 * timeline.DAY))
+    last = F.try_element_at("past", F.lit(1))["ts"]
+    return past.select("event_id", "user_id", "event_type", clock.is_limited(last, 60, F.col("ts")).alias("limited"), clock.retry_after_seconds(last, 60, F.col("ts")).alias("retry_after"))
 
 
 _LIMITS = """SELECT u.email, u.id AS asked_user, CASE WHEN {silent} THEN 'ok' WHEN l.created_at + INTERVAL 1 MINUTE > {now} THEN 'limited' ELSE 'issue' END AS outcome,

@@ -25,3 +25,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Removes tables that written() made and nothing asks for any more, such as those of a finished round."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for place in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
