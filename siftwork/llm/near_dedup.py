@@ -161,6 +161,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     null doc_id take part by their text; a class of such rows only has a null class_id. Repeated rows are copies.
     """
     signed = stored(_signed(docs), "signed")
+    whole = _classed(docs, signed, similarity)
+    names = whole.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
+    classes = whole.select("node", "class_node").join(names, "class_node")
+    return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", "class_node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def _classed(docs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """node, doc_id (its smallest), class_node for each distinct text of signed docs."""
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -178,10 +186,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if not large.isEmpty():
         links = links.unionByName(stored(_across(large, pivots, components(links), texts, similarity), "links"))
     groups = components(links)
-    whole = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class_node"))
-    names = whole.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
-    classes = whole.select("node", "class_node").join(names, "class_node")
-    return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", "class_node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class_node"))
 
 
 def _across(large: DataFrame, pivots: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -233,9 +238,10 @@ def _joining(texts: list[str], components: list[bytes], left: np.ndarray, within
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: all without words, and of each class the first by doc_id (nulls last), then text."""
-    classes = near_classes(docs, similarity).where("node IS NOT NULL").select("doc_id", "class_node", "node").dropDuplicates()
-    first = Window.partitionBy("class_node").orderBy(F.asc_nulls_last("doc_id"), "node")
-    chosen = classes.withColumn("place", F.row_number().over(first)).where("place = 1").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    # A text's smallest id stands for its copies, and a class's first text is a minimum, combined before it is shuffled.
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")
+    first = _classed(docs, stored(_signed(docs), "signed"), similarity).groupBy("class_node").agg(F.min(order).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.node").alias("kept_node"))
     node = fresh("__node", docs.columns)
     place = fresh("__place", docs.columns)
     named = _with_node(docs, node)
