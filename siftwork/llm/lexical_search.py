@@ -59,39 +59,43 @@ def _list(values: np.ndarray | pa.Array, sizes: list[int], kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of the forward index for each block of the task's documents."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in rows_by_bytes(batches, "text", BLOCK_BYTES):
-        for at in range(0, batch.num_rows, BLOCK_DOCS):
-            part = batch.slice(at, BLOCK_DOCS)
-            found, doc = terms(part.column(1), _WORD)
-            coded = found.dictionary_encode()
-            key = doc * max(1, len(coded.dictionary)) + np.asarray(coded.indices)
-            key.sort()
-            first = runs(key)
-            times = np.diff(np.append(first, len(key)))
-            doc, word = np.divmod(key[first], max(1, len(coded.dictionary)))
-            length = np.bincount(np.repeat(doc, times), minlength=part.num_rows)
-            some = length > 0  # documents without terms are never found
-            sizes, distinct = length[some], np.bincount(doc, minlength=part.num_rows)[some]
-            ids = part.column(0).filter(pa.array(some))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    _list(ids, [len(ids)], pa.int64()),
-                    _list(sizes, [len(sizes)], pa.int32()),
-                    _list(distinct, [len(distinct)], pa.int32()),
-                    _list(coded.dictionary.cast(pa.binary()), [len(coded.dictionary)], pa.binary()),
-                    _list(word, [len(word)], pa.int32()),
-                    _list(times, [len(times)], pa.int32()),
-                    pa.array([int(some.sum())], pa.int64()),
-                    pa.array([int(sizes.sum())], pa.int64()),
-                ],
-                names=["block", "doc_ids", "sizes", "distinct", "words", "word", "times", "filled", "total"],
-            )
-            number += 1
-    release_memory()
+def _indexed(block_docs: int):
+    """A row of the forward index for each block of so many of the task's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in rows_by_bytes(batches, "text", BLOCK_BYTES):
+            for at in range(0, batch.num_rows, block_docs):
+                part = batch.slice(at, block_docs)
+                found, doc = terms(part.column(1), _WORD)
+                coded = found.dictionary_encode()
+                key = doc * max(1, len(coded.dictionary)) + np.asarray(coded.indices)
+                key.sort()
+                first = runs(key)
+                times = np.diff(np.append(first, len(key)))
+                doc, word = np.divmod(key[first], max(1, len(coded.dictionary)))
+                length = np.bincount(np.repeat(doc, times), minlength=part.num_rows)
+                some = length > 0  # documents without terms are never found
+                sizes, distinct = length[some], np.bincount(doc, minlength=part.num_rows)[some]
+                ids = part.column(0).filter(pa.array(some))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number], pa.int64()),
+                        _list(ids, [len(ids)], pa.int64()),
+                        _list(sizes, [len(sizes)], pa.int32()),
+                        _list(distinct, [len(distinct)], pa.int32()),
+                        _list(coded.dictionary.cast(pa.binary()), [len(coded.dictionary)], pa.binary()),
+                        _list(word, [len(word)], pa.int32()),
+                        _list(times, [len(times)], pa.int32()),
+                        pa.array([int(some.sum())], pa.int64()),
+                        pa.array([int(sizes.sum())], pa.int64()),
+                    ],
+                    names=["block", "doc_ids", "sizes", "distinct", "words", "word", "times", "filled", "total"],
+                )
+                number += 1
+        release_memory()
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -107,7 +111,7 @@ class Index:
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """The index of docs. Every row is a document of its own, also one that repeats another's id; a null text has no terms."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    forward = stored(rows.mapInArrow(_indexed, _FORWARD), "forward")
+    forward = stored(rows.mapInArrow(_indexed(BLOCK_DOCS), _FORWARD), "forward")
     sums = forward.agg(F.sum("filled").alias("n"), F.sum("total").alias("total")).first()
     n, total = sums["n"] or 0, sums["total"] or 0
 

@@ -66,18 +66,23 @@ def _partial(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for batch in rows_by_bytes(batches, "text", HELD):
-        if size and size + batch.nbytes > HELD:
+def _count(most: int):
+    """Partial runs of a task's rows, of about so many bytes of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in rows_by_bytes(batches, "text", most):
+            if size and size + batch.nbytes > most:
+                yield from _slices(_partial(held))
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
             yield from _slices(_partial(held))
-            held, size = [], 0
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield from _slices(_partial(held))
-    held.clear()
-    release_memory()
+        held.clear()
+        release_memory()
+
+    return run
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def share(count: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
     return 1 + quotient
 
 
-def _compare(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
+def _compare(key: tuple, rows: pa.Table, groups: pa.Table, cells: int) -> pa.Table:
     """Partial sums of the pairs of sources of a tile over a chunk of terms, and the best terms of each source there.
 
     Sums are of what a term's distance is over that of two sources without it; the latter, times all terms, is added once.
@@ -172,7 +177,7 @@ def _compare(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
         p = share(n, total[of], kept)
         new = np.concatenate([[True], _differs(rows.column("term").combine_chunks())])
         run = np.cumsum(new) - 1
-        step = max(1, CELLS // count)
+        step = max(1, cells // count)
         bounds = np.searchsorted(run, np.arange(0, run[-1] + 1 + step, step))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if a == b:
@@ -203,7 +208,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     pairs of distance 0; one of a single source has no pairs. No documents, no rows. A text is held whole by its task.
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    partial = rows.mapInArrow(_count, _COUNTS)
+    partial = rows.mapInArrow(_count(HELD), _COUNTS)
     dealt = partial.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
     kept = stored(dealt.mapInArrow(_keep(least_docs), _KEPT), "kept_terms")
     # Groups: every source of every language, with the totals of both and the number of kept terms.
@@ -222,8 +227,12 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     everywhere = tiled(groups).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     placed = tiled(kept.drop("first").join(groups.select("lang", "source", "block", "blocks"), ["lang", "source"])).drop("block")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("term"), F.lit(chunks)).cast("int"))
-    keys = ["lang", "chunk", "x", "y"]
-    met = placed.groupBy(*keys).cogroup(everywhere.groupBy(*keys)).applyInArrow(_compare, "lang string, source string, part string, item string, value long")
+    keys, cells = ["lang", "chunk", "x", "y"], CELLS
+
+    def compare(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
+        return _compare(key, rows, groups, cells)
+
+    met = placed.groupBy(*keys).cogroup(everywhere.groupBy(*keys)).applyInArrow(compare, "lang string, source string, part string, item string, value long")
     met = stored(met, "compared")
     pairs = met.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     pairs = pairs.unionByName(pairs.select("lang", F.col("item").alias("source"), "part", F.col("source").alias("item"), "value"))

@@ -131,20 +131,23 @@ def test_search_edges(spark):
 
 
 def test_bounds_prune(spark, monkeypatch):
-    """Of blocks that a query cannot rise in, none is scored."""
+    """Blocks that a query cannot rise in are passed over: forty blocks, of which all but the best few stay below its threshold."""
     monkeypatch.setattr(lexical_search, "BLOCK_DOCS", 10)
-    wanted = []
+    asked = []
     real = lexical_search._bounds
 
     def spy(queries, most, least, done):
-        if most is None:
-            wanted.append(int(least[0]))
+        asked.append((queries, most, least, done))
         return real(queries, most, least, done)
 
     monkeypatch.setattr(lexical_search, "_bounds", spy)
     docs = [(i, "gold gold gold" if i < 20 else "gold " + "lead " * 500) for i in range(400)]
     assert [r[2] for r in searched(spark, docs, [(1, "gold")], 5)] == [0, 1, 2, 3, 4]
-    assert wanted and wanted[0] > 0
+    queries, most, least, done = asked[-1]
+    assert most is None and least[0] > 0 and len(done) == lexical_search.FIRST
+    index = lexical_search.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    wanted = index.maxima.mapInArrow(real(queries, None, least, {}), "block long, item int, bound long")
+    assert index.maxima.count() >= 40 > 6 >= wanted.count() > 0
 
 
 @pytest.mark.parametrize("name", ["op11_source_audit", "op12_lexical_search"])
