@@ -9,7 +9,7 @@ element or by a word of its class, id or role goes first. For each node that is
 counts the characters a tag carries, less where they sit in links. The sum of a node's child densities is largest where
 many dense blocks stand side by side: that subtree is the main text. The least density on the path from there up to the
 body is the threshold: blocks beside the subtree that reach it and are as dense as its own blocks belong to it too.
-Where the subtree lies in an article or main element, that element's whole content is the text.
+Where the subtree lies in an article, else in a main element, that element's whole content is the text.
 
 Pages are independent, so the work is one pass without a shuffle.
 """
@@ -46,8 +46,9 @@ NAMES = frozenset(
 )
 #: Names such as with-sidebar say what an element stands beside, not what it is.
 BESIDE = frozenset("has with no without is".split())
-#: Elements that are never dropped for their names.
-KEPT = frozenset("html body article main".split())
+#: Elements that are not dropped for their names; of articles only those that say what they are not.
+KEPT = frozenset("html body main".split())
+NO_ARTICLE = frozenset("comment comments reply replies related teaser promo ad advert advertisement sponsored widget".split())
 
 #: Comments; elements whose content is no markup; tags; other declarations; half a tag at the end. Tags end at the next "<", so that
 #: unfinished ones cost no second look at the text behind them.
@@ -76,9 +77,9 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _boilerplate(name: str, rest: str, node: Node) -> bool:
+def _boilerplate(name: str, rest: str, node: Node, forms: bool) -> bool:
     if name in ASIDE:
-        return True
+        return forms or name not in ("form", "fieldset")
     if name == "header":  # of the page; an article's own header holds its title
         while node is not None and node.name not in ("article", "main"):
             node = node.up
@@ -90,7 +91,10 @@ def _boilerplate(name: str, rest: str, node: Node) -> bool:
     for found in LABEL.findall(rest):
         for label in "".join(found).lower().split():
             words = WORD.findall(label)
-            if not NAMES.isdisjoint(words) and words[0] not in BESIDE:
+            if name == "article":
+                if words and words[0] in NO_ARTICLE:
+                    return True
+            elif not NAMES.isdisjoint(words) and words[0] not in BESIDE:
                 return True
     return False
 
@@ -103,12 +107,13 @@ def _ended(node: Node, at: Node, open_: dict[str, int]) -> Node:
     return at
 
 
-def tree(page: str) -> Node:
-    """The page's blocks. Missing end tags are made up for; what is boilerplate by name is left out."""
+def tree(page: str, forms: bool = True) -> Node:
+    """The page's blocks. Missing end tags are made up for; what is boilerplate by name is left out, forms only if so told."""
     root = node = Node("html", None)
     links = 0  # anchors that are open
     open_: dict[str, int] = {}  # blocks that are open, by name
     dropped: list[str] = []  # open elements from the outermost dropped one on
+    begun = False  # whether an article or main element has been met
     at = 0
 
     def say(text: str) -> None:
@@ -132,14 +137,14 @@ def tree(page: str) -> Node:
                     del dropped[len(dropped) - 1 - dropped[::-1].index(name) :]
                 elif name in ("article", "main", "body", "html"):
                     dropped.clear()  # it was never closed
-            elif name in ("article", "main") and dropped[0] not in ("aside", "nav", "menu", "dialog"):
-                dropped.clear()
+            elif name in ("article", "main") and not begun and dropped[0] not in ("aside", "nav", "menu", "dialog") and not _boilerplate(name, rest, node, forms):
+                dropped.clear()  # the page's text stands in it, or it was never closed
             elif name not in VOID and not rest.endswith("/"):
                 dropped.append(name)
             if dropped or token["close"] and name not in ("article", "main", "body", "html"):
                 continue
         if name not in BLOCK:
-            if not token["close"] and name not in VOID and not node.name == "html" and _boilerplate(name, rest, node):
+            if not token["close"] and name not in VOID and _boilerplate(name, rest, node, forms):
                 dropped.append(name)
                 continue
             if not token["close"]:
@@ -180,9 +185,10 @@ def tree(page: str) -> Node:
                     above = above.up
                 node = _ended(node, above, open_)
         links = 0
-        if _boilerplate(name, rest, node):
+        if _boilerplate(name, rest, node, forms):
             dropped.append(name)
             continue
+        begun = begun or name in ("article", "main")
         inner = Node(name, node)
         node.parts.append(inner)
         open_[name] = open_.get(name, 0) + 1
@@ -253,11 +259,14 @@ def main_text(page: str | None) -> str:
         return ""
     root = tree(page)
     nodes = measure(root)
+    if not root.chars:  # a form may hold the whole page
+        root = tree(page, forms=False)
+        nodes = measure(root)
     best = max(nodes, key=lambda n: n.total)  # the first in page order of equal ones
     threshold, node, home = best.density, best, None
     while node is not None:
         threshold = min(threshold, node.density)
-        if node.name in ("article", "main"):
+        if node.name == "article" or node.name == "main" and home is None:
             home = node
         node = node.up
     out: list[str] = []

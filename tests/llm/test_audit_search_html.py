@@ -198,6 +198,13 @@ PROSE = " ".join(re.sub("<[^>]*>", "", P + " " + Q).split())
         ("<!-- <article>no</article> --><article><script>'<p>no</p>'</script><style>p{}</style>yes</article><!-- open", "yes"),
         ("<article>kept<div style='display:none'>gone</div><span class='ad'>gone</span> too</article> <b", "kept too"),
         ("<article>a < b and 3 > 2</article>", "a < b and 3 > 2"),
+        (f"<article>{P}{Q}<section id=comments><article class=comment>{P}</article></section></article>", PROSE),
+        (f"<article>{Q}</article><div id='comments'><article>{P}{P}{P}</article></div><article class='comment odd'>{P}{P}{P}</article>", " ".join(re.sub("<[^>]*>", "", Q).split())),
+        (f"<main><article><h1>T</h1>{P}{Q}</article><p>Read on.</p></main>", "T " + PROSE),
+        (f"<main><h1>T</h1>{P}{Q}</main><div>{P}</div>", "T " + PROSE),
+        (f"<div class=ad>never closed <article>{P}{Q}</article>", PROSE),
+        (f"<form id=f><div>{P}{Q}</div><input></form>", PROSE),
+        (f"<form>{P}</form><div class='page'>{P}{Q}</div>", PROSE),
     ],
 )
 def test_pages(page, text):
