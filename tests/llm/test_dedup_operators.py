@@ -261,13 +261,13 @@ PLAIN_TABLES = {
 
 @pytest.mark.parametrize("block", [1 << 16, 1 << 20])
 @pytest.mark.parametrize("name", PLAIN_TABLES)
-def test_suffix_dedup_of_plain_tables(spark, monkeypatch, name, block):
+def test_suffix_dedup_of_plain_tables(spark, monkeypatch, tmp_path, name, block):
     import corpus_pipeline
 
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     rows = PLAIN_TABLES[name]
     repeats = "copies" in name or "alike" in name
-    path = f"{shared_dir(spark)}/plain-{name.replace(' ', '-')}-{block}"
+    path = str(tmp_path / "plain")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
     df = spark.read.parquet(path)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.digests(df).collect())

@@ -365,6 +365,15 @@ def test_quality_needs_no_negative_labels():
     assert model.scores(good).mean() > 0.8 and model.scores(bad).mean() < 0.2
 
 
+def test_packing_is_the_same_with_wide_ids(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda: sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in packing.pack(docs, WORD_BPE).collect())
+    assert packing.narrowest(WORD_BPE, 2) is np.uint16 and packing.narrowest(WORD_BPE, 1 << 16) is np.uint32
+    narrow = rows()
+    monkeypatch.setattr(packing, "narrowest", lambda *_: np.uint32)
+    assert rows() == narrow
+
+
 def plain_pu(positive, unlabelled, prior, steps, units=16, decay=2e-4, seed=7):
     """The non-negative risk and its gradient sample by sample, as the method states them; returns the score of a row of features."""
     rng = np.random.default_rng(seed)
