@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.bpe import encoder
 from siftwork.llm.common import mix, release_memory, rows_by_bytes, stored
+from siftwork.llm.word_bpe import word_bpe
 
 WINDOW = 4096
 #: Tokens of a shard, the unit of one inverted index.
@@ -113,14 +114,19 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
     return out
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit, end_id last); a null text is empty."""
+def narrowest(tokenizer: str, end_id: int) -> type:
+    """The smaller of two number types that holds every id."""
+    return np.uint16 if max(end_id, *word_bpe(tokenizer).token) < 1 << 16 else np.uint32
+
+
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: type = np.uint32) -> DataFrame:
+    """doc_id, ids (little-endian numbers of that kind, end_id last); a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, end = encoder(tokenizer), np.array([end_id], np.uint32).tobytes()
+        words_of, end = encoder(tokenizer), np.array([end_id], kind).tobytes()
         for batch in rows_by_bytes(batches, "text", 2 << 20):
             flat, sizes = words_of.encode(batch.column(1).to_pylist())
-            ids = [part.tobytes() + end for part in np.split(flat, np.cumsum(sizes)[:-1])]
+            ids = [part.tobytes() + end for part in np.split(flat.astype(kind), np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -130,13 +136,13 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 MARKED = 64
 
 
-def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+def rarity(rows: DataFrame, kind: type = np.uint32) -> tuple[np.ndarray, int]:
     """The idf of each token id over all rows (ids), 0 for tokens of one document; as long as the vocabulary. And all tokens' number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, n, tokens = np.zeros(0, np.int64), 0, 0
         for batch in rows_by_bytes(batches, "ids", 4 << 20):
-            held = [np.frombuffer(row, np.uint32)[:-1] for row in batch.column(0).to_pylist()]
+            held = [np.frombuffer(row, kind)[:-1] for row in batch.column(0).to_pylist()]
             wide = max((int(h.max()) + 1 for h in held if len(h)), default=0)
             if wide > len(count):
                 count = np.pad(count, (0, wide - len(count)))
@@ -157,7 +163,7 @@ def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.where(df > 1, np.log(max(n, 1) / np.maximum(df, 1)), 0.0), tokens
 
 
-def ordered(rows: DataFrame, weight: np.ndarray) -> DataFrame:
+def ordered(rows: DataFrame, weight: np.ndarray, kind: type = np.uint32) -> DataFrame:
     """doc_id, near, ids: near is made of the two least tokens, where a token's time is exponential at the rate of its weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +177,9 @@ def ordered(rows: DataFrame, weight: np.ndarray) -> DataFrame:
         name[np.searchsorted(np.sort(time), np.inf) :] = 0
         for batch in rows_by_bytes(batches, "ids", 4 << 20):
             rows = batch.column(1).to_pylist()
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(kind).itemsize
             ends = np.cumsum(sizes)
-            at = np.minimum(np.frombuffer(b"".join(rows), np.uint32), len(weight))
+            at = np.minimum(np.frombuffer(b"".join(rows), kind).astype(np.int64), len(weight))
             at = np.append(place, len(weight))[at]
             at[ends - 1] = len(weight)  # the end token
             first = np.minimum.reduceat(at, ends - sizes)
@@ -191,17 +197,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
     Each row of docs is one document, repeated rows too; empty and null texts are the end token alone.
     Sequences have `window` tokens, apart from powers of two at the end of a shard. An empty table gives no rows.
     """
-    rows = stored(tokenised(docs, tokenizer, end_id), "tokens")
-    weight, total = rarity(rows)
+    kind = narrowest(tokenizer, end_id)
+    rows = stored(tokenised(docs, tokenizer, end_id, kind), "tokens")
+    weight, total = rarity(rows, kind)
     # Ranges follow from the tokens alone, so that a task's bytes stay and no setting decides which documents meet; equal documents are
     # told apart by their ids' hash.
     ranges = max(1, math.ceil(total / (SHARDS * SHARD)))
     order = ("near", "doc_id", F.xxhash64("ids"))
-    dealt = ordered(rows, weight).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt = ordered(rows, weight, kind).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
-        for doc_ids, ids in _shards(batches):
+        for doc_ids, ids in _shards(batches, kind):
             sequences = pack_shard(ids, window)
             pieces = [(i, s, n, sequence + q, o) for q, seq in enumerate(sequences) for (i, s, n), o in zip(seq, _offsets(seq), strict=True)]
             sequence += len(sequences)
@@ -210,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
                     pa.array([doc_ids[p[0]] for p in pieces], pa.int64()),
                     pa.array([p[1] for p in pieces], pa.int64()),
                     pa.array([p[2] for p in pieces], pa.int64()),
-                    pa.array([ids[p[0]][p[1] : p[1] + p[2]].tobytes() for p in pieces], pa.binary()),
+                    pa.array([ids[p[0]][p[1] : p[1] + p[2]].astype(np.uint32).tobytes() for p in pieces], pa.binary()),
                     pa.array([len(ids[p[0]]) for p in pieces], pa.int64()),
                     pa.array([p[3] for p in pieces], pa.int64()),
                     pa.array([p[4] for p in pieces], pa.int64()),
@@ -226,13 +233,13 @@ def _offsets(sequence: list[tuple[int, int, int]]) -> list[int]:
     return (np.cumsum(lengths) - lengths).tolist()
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _shards(batches: Iterator[pa.RecordBatch], kind: type = np.uint32) -> Iterator[tuple[list, list[np.ndarray]]]:
     doc_ids: list = []
     ids: list[np.ndarray] = []
     total = 0
     for batch in batches:
         for doc_id, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            tokens = np.frombuffer(row, np.uint32)
+            tokens = np.frombuffer(row, kind)
             if total and total + len(tokens) > SHARD:
                 yield doc_ids, ids
                 doc_ids, ids, total = [], [], 0
