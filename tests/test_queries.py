@@ -49,6 +49,21 @@ def test_query_matches_sql_on_a_second_size(spark, duck, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("name", ["docs_gate_ipv4", "docs_gate_ipv6"])
+def test_gates_match_sql_for_users_of_large_numbers(spark, tmp_path, name):
+    """Numbers that fit into no part of an IPv4 and no group of an IPv6 address."""
+    users = (7, 255, 256, 1499, 65_533, 65_534, 65_535, 89_999, 2**31, 2**40 + 5)
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS event_id, u AS user_id, TIMESTAMP '2024-01-01' AS ts, 'click' AS event_type, '{{}}' AS props FROM (SELECT unnest({list(users)}) AS u), range(0, 210) r(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    con.execute("CREATE VIEW customer AS SELECT 1 AS c_custkey, '' AS c_name")
+    con.execute("CREATE VIEW orders AS SELECT 1 AS o_orderkey, 1 AS o_custkey, TIMESTAMP '2000-01-01' AS o_orderdate, 'F' AS o_orderstatus")
+    cursor = con.execute(registry.ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    got = sorted(str(tuple(r[c] for c in names)) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(map(str, cursor.fetchall()))
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
