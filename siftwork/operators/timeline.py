@@ -169,23 +169,27 @@ def cooled(rows: DataFrame, keys: list[str], time: str, tie: str, minutes: int,
             yield _batch(out, entry_types)
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = key = None
+        last = None
         for batch in batches:
-            limited, before = [], []
-            for now, t, is_forced, entry in zip(zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True), *(batch.column(i).to_pylist() for i in range(width, width + 3)), strict=True):
-                if now != key:
-                    key, last = now, entry
+            limited, before, own = [], [], []
+            for i, (t, is_forced, entry) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(width, width + 3)), strict=True)):
+                if t is None:  # where a slot begins
+                    last = entry
+                    continue
+                own.append(i)
                 before.append(last)
                 limited.append(not is_forced and last is not None and t < last + interval)
                 if not limited[-1]:
                     last = t
-            yield pa.RecordBatch.from_arrays([batch.column(width + 3), pa.array(limited, pa.bool_()), pa.array(before, pa.int64())], names=["__row", "limited", "__last"])
+            yield pa.RecordBatch.from_arrays([batch.column(width + 3).take(pa.array(own, pa.int64())), pa.array(limited, pa.bool_()), pa.array(before, pa.int64())], names=["__row", "limited", "__last"])
 
     step_types, entry_types = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (step_ddl, entry_ddl))
     times = placed.select(*group, "__t", "__forced", "__tie").repartition(*group).sortWithinPartitions(*group, "__t", F.desc("__forced"), "__tie")
     steps = times.mapInArrow(functions, step_ddl)
     entries = steps.repartition(*named).sortWithinPartitions(*group).mapInArrow(chained, entry_ddl)
-    ready = placed.join(entries, group).sortWithinPartitions(*group, "__t", F.desc("__forced"), "__tie").select(*group, "__t", "__forced", "__entry", "__row")
+    # A slot's entry comes as a row without a time, before its others: a join would leave it to the planner how a slot's rows are dealt.
+    begun = placed.unionByName(entries, allowMissingColumns=True).repartition(*group)
+    ready = begun.sortWithinPartitions(*group, F.col("__t").asc_nulls_first(), F.desc("__forced"), "__tie").select(*group, "__t", "__forced", "__entry", "__row")
     # The row is null-free as a whole but its fields may be null.
     done = ready.mapInArrow(decided, f"__row {ready.schema['__row'].dataType.simpleString()}, limited boolean, __last long")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")

@@ -49,6 +49,12 @@ def test_query_matches_sql_on_a_second_size(spark, duck, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_issues_in_order_match_sql_where_a_join_may_become_a_broadcast(spark):
+    """At this size the planner once broadcast where slots begin, and a slot's rows came apart."""
+    sf = "/root/testdata/sf0.1"
+    compare(spark, sf, tables_of(sf), "reset_issues_in_order")
+
+
 @pytest.mark.parametrize("name", ["docs_gate_ipv4", "docs_gate_ipv6"])
 def test_gates_match_sql_for_users_of_large_numbers(spark, tmp_path, name):
     """Numbers that fit into no part of an IPv4 and no group of an IPv6 address."""
