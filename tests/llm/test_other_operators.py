@@ -287,3 +287,19 @@ def test_tables_meet_what_the_hamming_bound_admits():
     one, two = (np.packbits(x, axis=2, bitorder="little").view(np.uint32).reshape(-1, 3) for x in (flat, edited))
     met = (image_copies.table_keys(one) == image_copies.table_keys(two)).any(axis=1).reshape(-1, 4).any(axis=1)
     assert met.mean() >= 0.93  # four corners, all of them at the bound
+
+
+def test_neighbours_within_tight_clusters(spark):
+    """Differences within a cluster are below what the codes tell apart, so more of them must be scored exactly; large components too."""
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((4, 32))[rng.integers(0, 4, 1500)] + 1e-4 * rng.standard_normal((1500, 32))) * 1e200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = additive_ann.nearest(df, F.col("vec_id") % 50 == 0, codebooks=8).collect()
+    unit = x / 1e200
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        like = unit @ unit[q]
+        like[q] = -2
+        hits += len(set(np.argsort(-like)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 150
