@@ -31,6 +31,8 @@ from siftwork.llm.term_runs import letters, runs, terms
 
 #: Documents shown for a query, documents and text bytes of a block, blocks that a query scores first, and queries of a group.
 TOP, BLOCK_DOCS, BLOCK_BYTES, FIRST, QUERIES = 50, 256, 8 << 20, 4, 2048
+#: Blocks that a task decodes at once.
+AT_ONCE = 16
 
 _FORWARD = "block long, doc_ids array<long>, sizes array<int>, distinct array<int>, words array<binary>, word array<int>, times array<int>, filled long, total long"
 _MAXIMA = "block long, words array<binary>, docs array<int>, impacts array<int>"
@@ -111,7 +113,7 @@ class Index:
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """The index of docs. Every row is a document of its own, also one that repeats another's id; a null text has no terms."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    forward = stored(rows.mapInArrow(_indexed(BLOCK_DOCS), _FORWARD), "forward")
+    forward = stored(rows.mapInArrow(_indexed(BLOCK_DOCS), _FORWARD), "forward", AT_ONCE)
     sums = forward.agg(F.sum("filled").alias("n"), F.sum("total").alias("total")).first()
     n, total = sums["n"] or 0, sums["total"] or 0
 
@@ -125,7 +127,7 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
                 docs = np.bincount(word, minlength=height)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(4).slice(i, 1), _list(docs, [height], pa.int32()), _list(best, [height], pa.int32())], names=["block", "words", "docs", "impacts"])
 
-    return Index(forward, stored(forward.mapInArrow(most, _MAXIMA), "maxima"), n, total)
+    return Index(forward, stored(forward.mapInArrow(most, _MAXIMA), "maxima", AT_ONCE), n, total)
 
 
 def _values(scalar: pa.ListScalar) -> np.ndarray:

@@ -7,7 +7,9 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from siftwork.llm import html_text, lexical_search, source_audit
 from siftwork.llm.queries import ORACLES
@@ -226,3 +228,13 @@ def test_time_is_linear_in_hostile_pages(part):
     start = time.process_time()
     html_text.main_text("<div>" * 2000 + part * 20_000)
     assert time.process_time() - start < 10
+
+
+def test_index_rows_are_decoded_a_few_at_a_time(spark, tmp_path):
+    """A task's memory must not grow with the blocks of a file: the reader decodes a whole row group at once."""
+    docs = spark.range(40 * lexical_search.BLOCK_DOCS, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), "id").alias("text"))
+    index = lexical_search.build(docs)
+    for stored in (index.forward, index.maxima):
+        for file in stored.inputFiles():
+            data = pq.ParquetFile(file.removeprefix("file://")).metadata
+            assert max(data.row_group(i).num_rows for i in range(data.num_row_groups)) <= lexical_search.AT_ONCE
