@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ByteHash, hash_threshold, nullable, rows_by_bytes
+from siftwork.llm.common import ByteHash, hash_threshold, nullable, release_memory, rows_by_bytes
 from siftwork.llm.runs import as_text, code_points, distinct
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -26,6 +27,8 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 #: Counts that a worker gathers before it sends them on.
 MEMO = 100_000
+#: Terms that are hashed together.
+AT_ONCE = 1 << 14
 
 
 @lru_cache(1)
@@ -62,9 +65,13 @@ def grams(word: str, order: int) -> list[str]:
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
-    units, ends = code_points(terms)
-    starts = np.append(0, ends[:-1] + 1)[: len(terms)]
-    return ByteHash(units).slices(starts, ends)
+    """A hash of each term, some at a time: the driver asks for those of a whole model."""
+    out = np.zeros(len(terms), np.uint64)
+    for a in range(0, len(terms), AT_ONCE):
+        units, ends = code_points(terms[a : a + AT_ONCE])
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        out[a : a + AT_ONCE] = ByteHash(units).slices(starts, ends)
+    return out
 
 
 @dataclass
@@ -164,7 +171,7 @@ def fit(docs: DataFrame, max_docs: int = 5_000) -> LanguageModel | None:
         ngrams = words.mapInArrow(count_ngrams, schema).groupBy("lang", "term").agg(F.sum("n").alias("n")).toArrow()
     finally:
         words.unpersist()
-    langs = sorted(set(known.column("lang").to_pylist()))
+    langs = sorted(known.column("lang").unique().to_pylist())
     if not langs:
         return None
 
@@ -172,12 +179,15 @@ def fit(docs: DataFrame, max_docs: int = 5_000) -> LanguageModel | None:
         """Terms, and log frequencies smoothed by half an occurrence of each of them."""
         terms = rows.column("term").combine_chunks().dictionary_encode()
         counts = np.zeros((len(terms.dictionary), len(langs)))
-        of = {x: i for i, x in enumerate(langs)}
-        counts[terms.indices.to_numpy(), [of[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
+        lang = pc.index_in(rows.column("lang"), pa.array(langs, rows.schema.field("lang").type)).to_numpy()
+        counts[terms.indices.to_numpy(), lang] = rows.column("n").to_numpy()
         return terms.dictionary.to_pylist(), np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
 
-    size = np.array(list(map(len, ngrams.column("term").to_pylist())))
-    return LanguageModel(langs, Table.of(*logs(known)), {order: Table.of(*logs(ngrams.filter(pa.array(size == order)))) for order in ORDERS})
+    size = pc.utf8_length(ngrams.column("term"))
+    model = LanguageModel(langs, Table.of(*logs(known)), {order: Table.of(*logs(ngrams.filter(pc.equal(size, order)))) for order in ORDERS})
+    del known, ngrams, size
+    release_memory()
+    return model
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:

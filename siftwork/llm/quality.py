@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import hash_threshold, nullable, rows_by_bytes
+from siftwork.llm.common import hash_threshold, nullable, release_memory, rows_by_bytes
 
 WORDS = re.compile(r"\S+")
 #: Features: shares of each byte value, then the measures of measures().
@@ -101,7 +101,10 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    del both
+    p, u = positive - mean, unlabelled - mean
+    p /= scale
+    u /= scale
     params = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.zeros(1)]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
 
@@ -171,7 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> QualityMod
     positive, unlabelled = gathered(texts.join(good, "doc_id", "left_semi"), 1), gathered(texts, 2)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit_pu(positive, unlabelled, class_prior(positive, unlabelled))
+    model = fit_pu(positive, unlabelled, class_prior(positive, unlabelled))
+    del positive, unlabelled
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3) -> DataFrame:

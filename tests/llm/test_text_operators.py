@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -464,3 +465,15 @@ def test_pack_shard_covers_every_token():
             for i, s, n in sequence:
                 seen[i][s : s + n] += 1
         assert all((s == 1).all() for s in seen)
+
+
+def test_the_terms_of_a_model_are_hashed_in_little_memory():
+    terms = [f"{i:x}é" * (1 + i % 3) for i in range(120_000)] + ["", "é"]
+    tracemalloc.start()
+    hashed = language_id.term_hashes(terms)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 20
+    some = range(0, len(terms), 997)
+    assert [hashed[i] for i in some] == [language_id.term_hashes([terms[i]])[0] for i in some]
+    assert len(language_id.term_hashes([])) == 0
