@@ -80,23 +80,32 @@ def _tokens(log: DataFrame, users: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.select(*log.columns, "owner", outcome.alias("outcome"))
 
 
-def _live(rows: DataFrame, sessions: DataFrame, ends: DataFrame, resets: DataFrame) -> DataFrame:
+def _ended(sessions: DataFrame, ends: DataFrame, resets: DataFrame) -> DataFrame:
+    """Adds `ended` to sessions: the first request after they opened that ends them, by their id or as a reset of their user; null if none does.
+
+    sessions: session_id, user_id, opened, ... ends: session_id, when. resets: user_id, at, request_id.
+    """
+    # The first reset after a session opened is the latest before it in time run backwards; so are ids, by their complement, which does not overflow.
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    back = lambda c: epoch + (epoch - c)
+    turned = resets.select("user_id", back(F.col("at")).alias("__at"), F.bitwise_not("request_id").alias("__tie"), _when().alias("__reset"))
+    opened = F.coalesce(F.col("opened.at"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    begun = sessions.withColumn("__opened", back(opened)).withColumn("__id", F.bitwise_not("opened.request_id"))
+    # An equal id would be the request that opened the session, which is no reset.
+    met = as_of(begun, turned, ["user_id"], "__opened", "__at", "__tie", "__first", at_tie="__id")
+    over = sessions.select("session_id", "opened").join(ends, "session_id").where("when > opened").groupBy("session_id").agg(F.min("when").alias("__over"))
+    return met.join(over, "session_id", "left").select(*sessions.columns, F.least("__over", "__first.__reset").alias("ended"))
+
+
+def _live(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Adds the columns of a session that is live just before the request, as `live`, to rows of session_id; null if none is.
 
-    sessions: session_id, user_id, kind, expires_at, revoked, opened. ends: session_id, when. resets: user_id, at, request_id.
+    sessions: session_id, user_id, kind, expires_at, revoked, opened, ended. Ends are a session's own, so a request meets them by one join.
     """
-    over = sessions.join(ends, "session_id").where("when > opened").groupBy("session_id").agg(F.min("when").alias("ended"))
-    known = sessions.join(over, "session_id", "left")
     held = F.struct("user_id", "kind", "expires_at", "revoked", "opened", "ended")
-    met = rows.join(known.select("session_id", held.alias("held"), F.col("user_id").alias("held_user")), "session_id", "left")
-    met = as_of(met, resets.select(F.col("user_id").alias("held_user"), "at", "request_id"), ["held_user"], "at", "at", "request_id", "last_reset", at_tie="request_id")
+    met = rows.join(sessions.select("session_id", held.alias("held")), "session_id", "left")
     h = F.col("held")
-    alive = (
-        _yes(h["opened"] < _when())
-        & clock.is_live(h["revoked"], h["expires_at"], F.col("at"))
-        & ~_yes(h["ended"] < _when())
-        & ~_yes(F.struct(F.col("last_reset.at").alias("at"), F.col("last_reset.request_id").alias("request_id")) > h["opened"])
-    )
+    alive = _yes(h["opened"] < _when()) & clock.is_live(h["revoked"], h["expires_at"], F.col("at")) & ~_yes(h["ended"] < _when())
     return met.select(*rows.columns, F.when(alive, h).alias("live"))
 
 
@@ -121,21 +130,21 @@ def replay(log: DataFrame, users: DataFrame, tokens: DataFrame, sessions: DataFr
     shape = ("session_id", "user_id", "created_at", "kind", "expires_at", "revoked", "opened")
     old = sessions.select(F.col("id").alias("session_id"), "user_id", "created_at", "kind", "expires_at", "revoked", F.struct(F.col("created_at").alias("at"), F.lit(-(2**63)).alias("request_id")).alias("opened"))
     made = opened.select(F.col("new_session_id").alias("session_id"), "user_id", F.col("at").alias("created_at"), F.lit("login").alias("kind"), clock.minutes_after(F.col("at"), clock.SESSION_MINUTES).alias("expires_at"), F.lit(False).alias("revoked"), _when().alias("opened"))
-    base = old.select(*shape).unionByName(made.select(*shape))
 
     resets = decided.where("outcome = 'reset'").select(F.col("owner").alias("user_id"), "at", "request_id")
     verified = decided.where("outcome = 'valid'")
     ends = log.where("op = 'logout'").unionByName(verified.select(*log.columns)).where("session_id IS NOT NULL").select("session_id", _when().alias("when"))
+    base = written(_ended(old.select(*shape).unionByName(made.select(*shape)), ends, resets), "sessions")
     own = _yes(F.col("live.user_id") == F.col("owner")) & (F.coalesce("live.kind", F.lit("login")) != "signup")
     # A user verifies once, so a rotation never starts from another rotation's session.
-    rotated = _live(verified, base, ends, resets).where(F.col("live").isNotNull() & own)
+    rotated = _live(verified, base).where(F.col("live").isNotNull() & own)
     turned = rotated.select(F.col("new_session_id").alias("session_id"), F.col("owner").alias("user_id"), F.col("at").alias("created_at"), F.lit("login").alias("kind"), F.col("live.expires_at").alias("expires_at"), F.lit(False).alias("revoked"), _when().alias("opened"))
-    every = written(base.unionByName(turned.select(*shape)), "sessions")
+    every = base.unionByName(written(_ended(turned.select(*shape), ends, resets), "turned"))
 
-    seen = written(_live(verified, every, ends, resets), "seen")
+    seen = written(_live(verified, every), "seen")
     verify = seen.select("request_id", "at", "op", "outcome", F.when(F.col("live").isNotNull() & own, "home").otherwise("login").alias("target"))
     failed = decided.where("op = 'verify' AND outcome <> 'valid'").select("request_id", "at", "op", "outcome", F.lit("failed").alias("target"))
-    gates = active_at(_live(log.where("op = 'gate'"), every, ends, resets).withColumn("gate_user", F.col("live.user_id")), "gate_user")
+    gates = active_at(_live(log.where("op = 'gate'"), every).withColumn("gate_user", F.col("live.user_id")), "gate_user")
     gates = gates.withColumn("outcome", F.when(F.col("live").isNull() | ~_yes(F.col("is_user")), "unauthenticated").when(F.col("is_active"), "active").otherwise("unverified"))
     rest = log.where("op IS NULL OR op NOT IN ('verify', 'reset', 'login', 'gate')").withColumn("outcome", F.when(F.col("op") == "logout", "ok"))
     outcomes = verify.unionByName(failed)

@@ -119,3 +119,28 @@ def test_a_token_serves_once_and_a_reset_ends_sessions(spark):
 
 def test_empty_log(spark):
     check(spark, [], [(1, True, "a")], [(1, 1, "signup", False, at(0), at(1))], [("s", 1, at(0), None, at(1), False)])
+
+
+def test_a_request_meets_its_session_and_its_end_by_one_join(spark):
+    rng = random.Random(5)
+    log = [(i, at(rng.randrange(40)), "gate", None, None, None, None, None, f"s{rng.randrange(6)}", None) for i in range(20)]
+    sessions = [(f"s{i}", i % 2, at(i), "login", at(60), False) for i in range(6)]
+    frames = (spark.createDataFrame(rows, kind) for rows, kind in ((log, replay.LOG), ([(0, True, "a"), (1, True, "b")], USERS), ([], TOKENS), (sessions, SESSIONS)))
+    outcomes = replay.replay(*frames).outcomes
+    assert "Window" not in outcomes._jdf.queryExecution().toString()
+    assert outcomes.count() == 20
+
+
+def test_ends_of_sessions_equal_plain_minima(spark):
+    rng = random.Random(6)
+    opened = [(f"s{i}", rng.choice([None, 0, 1, 2]), (at(rng.randrange(100_000)), rng.choice([-(2**63), i]))) for i in range(80)]
+    ends = [(f"s{rng.randrange(90)}", (at(rng.randrange(100_000)), 1000 + i)) for i in range(60)]
+    resets = [(rng.choice([0, 1, 5]), *(opened[i][2][:1] if i % 3 == 0 else (at(rng.randrange(100_000)),)), 2000 + i) for i in range(60)]
+    got = replay._ended(
+        spark.createDataFrame(opened, "session_id string, user_id long, opened struct<at: timestamp_ntz, request_id: long>"),
+        spark.createDataFrame(ends, "session_id string, when struct<at: timestamp_ntz, request_id: long>"),
+        spark.createDataFrame(resets, "user_id long, at timestamp_ntz, request_id long"),
+    )
+    want = {s: min([w for x, w in ends if x == s and w > o] + [(a, r) for v, a, r in resets if v == u and (a, r) > o], default=None) for s, u, o in opened}
+    assert {r["session_id"]: r["ended"] and tuple(r["ended"]) for r in got.collect()} == want
+    assert any(want.values()) and not all(want.values())
