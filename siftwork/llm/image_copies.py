@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ RADIUS = 9
 HAMMING, AGREE, OFF = 7, 4, 3.0
 #: Radians by which the turn of an agreeing match may differ from the transform's.
 TURN = 0.4
-#: Table entries with more images than this are compared with a pivot, then in tiles of two blocks with so many descriptor bytes.
+#: Of table entries with more descriptors than this, the like ones of so many images are compared with a pivot, then in tiles of two blocks with so many descriptor bytes.
 SMALL, BLOCK = 16, 96 << 10
+#: Pixels that are described together.
+SHEET = 1 << 17
 #: Larger pictures count as unreadable, since a task decodes a picture whole.
 MOST_PIXELS = 1 << 27
 
@@ -140,8 +143,8 @@ def _alone(y: np.ndarray, x: np.ndarray, strength: np.ndarray, reach: int) -> np
     top = np.zeros(int(cell.max()) + 1, strength.dtype)
     np.maximum.at(top, cell, strength)
     some = np.flatnonzero(strength >= top[cell])
-    for a in range(0, len(some), 64):
-        own = some[a : a + 64]
+    for a in range(0, len(some), 16):
+        own = some[a : a + 16]
         near = slice(*np.searchsorted(y, [y[own[0]] - reach, y[own[-1]] + reach + 1]))
         close = (np.abs(y[own, None] - y[near]) <= reach) & (np.abs(x[own, None] - x[near]) <= reach)
         out[own] = ~(close & (strength[near] > strength[own, None])).any(axis=1)
@@ -156,13 +159,41 @@ def table_keys(bits: np.ndarray) -> np.ndarray:
 
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners (n, 4): x, y at full size, scale, angle; descriptors (n, WORDS) of 32 bits. None for small or flat images."""
-    corners, bits = [np.zeros((0, 4))], [np.zeros((0, WORDS), np.uint32)]
-    image = pixels.astype(np.float32)
+    return describe_all([pixels])[0]
+
+
+def describe_all(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What describe gives for each image; those of like widths are worked on together, one above the other."""
+    out: list = [None] * len(images)
+    order = sorted(range(len(images)), key=lambda i: images[i].shape[1])
+    start, area = 0, 0
+    for k, i in enumerate(order):
+        h, w = images[i].shape
+        if k > start and (area + h * w > SHEET or w > 1.2 * images[order[start]].shape[1] + 4):
+            _describe_sheet(images, order[start:k], out)
+            start, area = k, 0
+        area += h * w
+    if order:
+        _describe_sheet(images, order[start:], out)
+    return out
+
+
+def _describe_sheet(images: list[np.ndarray], which: list[int], out: list) -> None:
+    """Puts into out what describe gives for these images. Nothing within RADIUS + 1 of an image's border is a corner, so none depends on its neighbours."""
+    h, w = (np.array([images[i].shape[axis] for i in which]) for axis in (0, 1))
+    top = np.cumsum(np.r_[0, (h + 3) // 4 * 4])  # a multiple of 4, so that halving keeps images apart
+    image = np.zeros((top[-1], -(-w.max() // 4) * 4), np.float32)
+    for i, y in zip(which, top.tolist(), strict=False):
+        image[y : y + images[i].shape[0], : images[i].shape[1]] = images[i]
+    own, corners, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4))], [np.zeros((0, WORDS), np.uint32)]
+    edge = RADIUS + 1
     for level, most in enumerate(CORNERS):
         if level:
-            h, w = image.shape[0] // 2 * 2, image.shape[1] // 2 * 2
-            image = (image[:h:2, :w:2] + image[1:h:2, :w:2] + image[:h:2, 1:w:2] + image[1:h:2, 1:w:2]) / 4
-        if min(image.shape) < 2 * RADIUS + 3:
+            image = (image[::2, ::2] + image[1::2, ::2] + image[::2, 1::2] + image[1::2, 1::2]) / 4
+            h, w, top = h // 2, w // 2, top // 2
+            if image.shape[0] % 2 or image.shape[1] % 2:
+                image = np.pad(image, ((0, image.shape[0] % 2), (0, image.shape[1] % 2)))
+        if (np.minimum(h, w) < 2 * RADIUS + 3).all():
             break
         smooth = _box(image)
         smooth *= np.float32(1 / 9)
@@ -170,7 +201,6 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         dy, dx = smooth[2:, 1:-1] - smooth[:-2, 1:-1], smooth[1:-1, 2:] - smooth[1:-1, :-2]
         for plane, (p, q) in zip(products, ((dx, dx), (dy, dy), (dx, dy)), strict=True):
             np.multiply(p, q, out=plane[1:-1, 1:-1])
-        edge = RADIUS + 1
         xx, yy, xy = _box(products[:, edge - 2 : 2 - edge, edge - 2 : 2 - edge])[:, 1:-1, 1:-1]
         half = (xx - yy) / 2
         half *= half
@@ -181,55 +211,81 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         highest = np.maximum(np.maximum(across[:, :-2], across[:, 2:]), across[:, 1:-1])
         y, x = np.nonzero((inner >= highest) & (inner > 25))
         strength = inner[y, x]
-        alone = _alone(y, x, strength, APART)
         y, x = y + edge, x + edge
-        order = np.argsort(-strength, kind="stable")
-        order = order[alone[order] | (np.arange(len(order)) < most)]
-        y, x = y[order], x[order]
+        of = np.searchsorted(top, y, side="right") - 1
+        row = y - top[of]
+        inside = (row >= edge) & (row < h[of] - edge) & (x < w[of] - edge) & (np.minimum(h, w)[of] >= 2 * RADIUS + 3)
+        y, x, of, row, strength = y[inside], x[inside], of[inside], row[inside], strength[inside]
         if not len(y):
             continue
-        patch = smooth[y[:, None] + _DISC[0], x[:, None] + _DISC[1]]
-        angle = np.arctan2((patch * _DISC[0]).sum(axis=1), (patch * _DISC[1]).sum(axis=1))
-        turn = np.rint(angle / (2 * np.pi / 32)).astype(np.int64) % 32
-        at = TESTS[turn]
-        value = smooth[y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
-        tests = value[..., 0] < value[..., 1]
-        bits.append(np.packbits(tests.reshape(len(y), WORDS, 32), axis=2, bitorder="little").view(np.uint32)[..., 0])
-        scale = 2.0**level
-        corners.append(np.stack([(x + 0.5) * scale, (y + 0.5) * scale, np.full(len(x), scale), angle], axis=1))
-    return np.concatenate(corners), np.concatenate(bits)
+        # Cells of different images are kept apart.
+        apart = np.cumsum(np.r_[0, (h // (APART + 1) + 2) * (APART + 1)])
+        alone = _alone(row + apart[of], x, strength, APART)
+        order = np.lexsort((-strength, of))
+        place = np.arange(len(order)) - np.searchsorted(of, of)  # of is in order, before and after
+        order = order[alone[order] | (place < most)]
+        y, x, of, row = y[order], x[order], of[order], row[order]
+        for a in range(0, len(y), 2048):
+            part = slice(a, a + 2048)
+            patch = smooth[y[part, None] + _DISC[0], x[part, None] + _DISC[1]]
+            angle = np.arctan2((patch * _DISC[0]).sum(axis=1), (patch * _DISC[1]).sum(axis=1))
+            turn = np.rint(angle / (2 * np.pi / 32)).astype(np.int64) % 32
+            at = TESTS[turn]
+            value = smooth[y[part, None, None] + at[..., 1], x[part, None, None] + at[..., 0]]
+            tests = value[..., 0] < value[..., 1]
+            bits.append(np.packbits(tests.reshape(len(turn), WORDS, 32), axis=2, bitorder="little").view(np.uint32)[..., 0])
+            scale = 2.0**level
+            corners.append(np.stack([(x[part] + 0.5) * scale, (row[part] + 0.5) * scale, np.full(len(turn), scale), angle], axis=1))
+            own.append(of[part])
+    of = np.concatenate(own)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(which) + 1))
+    corners, bits = np.concatenate(corners)[order], np.concatenate(bits)[order]
+    for k, i in enumerate(which):
+        out[i] = corners[ends[k] : ends[k + 1]], bits[ends[k] : ends[k + 1]]
 
 
 def digest(pixels: np.ndarray) -> int:
-    data = repr(pixels.shape).encode() + np.rint(pixels).astype(np.uint8).tobytes()
+    whole = pixels if pixels.dtype == np.uint8 else np.rint(pixels).astype(np.uint8)
+    data = repr(pixels.shape).encode() + whole.tobytes()
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def _described(images: DataFrame) -> DataFrame:
-    """media_id, node (digest of the pixels, null if unreadable), corners (float32 rows), bits (32-bit rows)."""
+    """media_id, digest (of the pixels, null if unreadable), corners (four columns of float32, one after another), bits (32-bit rows), node (a number of its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "image", 4 << 20):
-            node, corners, bits = [], [], []
-            for data in batch.column(1).to_pylist():
-                pixels = decode(data)
-                if pixels is None:
-                    node.append(None)
-                    c, b = np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32)
-                else:
-                    node.append(digest(pixels))
-                    c, b = describe(pixels)
-                corners.append(c.astype(np.float32).tobytes())
-                bits.append(b.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(corners, pa.binary()), pa.array(bits, pa.binary())], names=["media_id", "node", "corners", "bits"])
+            pixels = [decode(data) for data in batch.column(1).to_pylist()]
+            node = [None if p is None else digest(p) for p in pixels]
+            found = iter(describe_all([p for p in pixels if p is not None]))
+            none = np.zeros((0, 4)), np.zeros((0, WORDS), np.uint32)
+            each = [none if p is None else next(found) for p in pixels]
+            corners, bits = [c.T.astype(np.float32).tobytes() for c, _ in each], [b.tobytes() for _, b in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(corners, pa.binary()), pa.array(bits, pa.binary())], names=["media_id", "digest", "corners", "bits"])
+
+    found = images.select(F.col("media_id").cast("long").alias("media_id"), F.col("image")).mapInArrow(run, "media_id long, digest long, corners binary, bits binary")
+    return found.withColumn("node", F.monotonically_increasing_id())
+
+
+def _corners(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(4, -1).T
 
-    return images.select(F.col("media_id").cast("long").alias("media_id"), F.col("image")).mapInArrow(run, "media_id long, node long, corners binary, bits binary")
+
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many bits differ."""
+    out = np.bitwise_count(one[..., 0] ^ two[..., 0])
+    for k in range(1, WORDS):
+        out += np.bitwise_count(one[..., k] ^ two[..., k])
+    return out
 
 
 def _like(ba: np.ndarray, bb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the descriptors of two images that are within HAMMING, some rows at a time."""
     step = max(1, (1 << 20) // max(1, len(bb)))
-    found = [np.nonzero(np.bitwise_count(ba[k : k + step, None] ^ bb[None]).sum(axis=2) <= HAMMING) for k in range(0, len(ba), step)]
+    found = [np.nonzero(_apart(ba[k : k + step, None], bb[None]) <= HAMMING) for k in range(0, len(ba), step)]
+    if len(found) == 1:
+        return found[0]
     return np.concatenate([i + k * step for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
 
 
@@ -260,13 +316,98 @@ def _entries(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, "bits", 64 << 10):
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bits = np.frombuffer(data, np.uint32).reshape(-1, WORDS)
-                both = np.unique(table_keys(bits).astype(np.uint64) << np.uint64(32) | np.bitwise_xor.reduce(bits, axis=1)[:, None])
-                halves = both.view(np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 1]), pa.array(np.full(len(both), node)), pa.array(halves[:, 0])], names=["key", "node", "fold"])
+            data = batch.column(1)
+            bits = np.frombuffer(b"".join(data.to_pylist()), np.uint32).reshape(-1, WORDS)
+            of = np.repeat(np.arange(batch.num_rows), pc.binary_length(data).to_numpy(zero_copy_only=False) // (4 * WORDS))
+            both = table_keys(bits).astype(np.uint64) << np.uint64(32) | np.bitwise_xor.reduce(bits, axis=1)[:, None]
+            of, both = np.repeat(of, TABLES), both.ravel()
+            order = np.lexsort((both, of))
+            of, both = of[order], both[order]
+            new = np.append(True, (of[1:] != of[:-1]) | (both[1:] != both[:-1]))[: len(of)]
+            halves = both[new].view(np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 1]), batch.column(0).take(pa.array(of[new])), pa.array(halves[:, 0])], names=["key", "node", "fold"])
+
+    # An image with fewer corners has no link.
+    return nodes.select("node", "bits").where(F.octet_length("bits") >= AGREE * 4 * WORDS).mapInArrow(run, "key int, node long, fold int")
+
 
-    return nodes.select("node", "bits").where("octet_length(bits) > 0").mapInArrow(run, "key int, node long, fold int")
+def _met(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share an entry with like folds: bucket null, or as the members a of a bucket, b null, where these are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0)
+            if not batch.num_rows:
+                continue
+            if kept and key[batch.num_rows - 1] == kept[0].column(0)[0]:
+                kept.append(batch)
+                continue
+            # All but the last entry of the batch are whole.
+            last = int(np.searchsorted(key.to_numpy(), key[batch.num_rows - 1].as_py()))
+            yield from _meetings([*kept, batch.slice(0, last)])
+            kept = [batch.slice(last)]
+        if kept:
+            yield from _meetings(kept)
+
+    dealt = _entries(nodes).repartition("key").sortWithinPartitions("key", "fold", "node")
+    return dealt.mapInArrow(run, "bucket long, a long, b long")
+
+
+def _meetings(entries: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _met says of whole entries, given by key, fold and node."""
+    key, node, fold = (np.concatenate([e.column(i).to_numpy() for e in entries]) for i in range(3))
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n = np.diff(np.append(start, len(key)))
+    pairs = [np.zeros((2, 0), np.int64)]
+    for m in range(2, SMALL + 1):
+        i, j = np.triu_indices(m, 1)
+        first = start[n == m][:, None]
+        a, b = (first + i).ravel(), (first + j).ravel()
+        like = np.bitwise_count(fold[a] ^ fold[b]) <= HAMMING
+        pairs.append(np.stack([node[a[like]], node[b[like]]]))
+    yield from _pair_rows(np.concatenate(pairs, axis=1))
+    for e in np.flatnonzero(n > SMALL).tolist():
+        own = slice(start[e], start[e] + n[e])
+        yield from _large_entry(int(key[start[e]]), node[own], fold[own])
+
+
+def _large_entry(key: int, node: np.ndarray, fold: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What _met says of one entry, given by fold: pairs while they are no more than its rows, else buckets of like folds that chain together."""
+    at = np.flatnonzero(np.append(True, fold[1:] != fold[:-1]))
+    some, size = fold[at], np.diff(np.append(at, len(fold)))
+    label, pairs, total = np.arange(len(some)), [], 0
+    for g in range(len(some)):
+        like = g + np.flatnonzero(np.bitwise_count(some[g] ^ some[g:]) <= HAMMING)
+        label[np.isin(label, label[like])] = label[like].min()
+        if size[g] > SMALL:
+            like = like[1:]  # members of one fold that are many are a bucket
+        total += int(size[g]) * int(size[like].sum()) - (int(size[g]) * (int(size[g]) + 1) // 2 if size[g] <= SMALL else 0)
+        if total <= len(node):
+            pairs += [(g, h) for h in like.tolist()]
+    if total <= len(node):
+        for g, h in pairs:
+            one, two = (node[at[k] : at[k] + size[k]] for k in (g, h))
+            i, j = np.triu_indices(len(one), 1) if g == h else np.indices((len(one), len(two))).reshape(2, -1)
+            if len(i):
+                yield from _pair_rows(np.stack([one[i], two[j]]))
+        label = np.where(size > SMALL, np.arange(len(some)), -1)
+    of = np.repeat(label, size)
+    for k in np.unique(label[label >= 0]).tolist():
+        both = np.unique(node[of == k])
+        if len(both) > 1:
+            bucket = np.full(len(both), key << 32 | int(some[k]) & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(both), pa.nulls(len(both), pa.int64())], names=["bucket", "a", "b"])
+
+
+def _pair_rows(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    a, b = np.minimum(*pairs), np.maximum(*pairs)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = (a != b) & np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    for k in range(0, int(new.sum()), 1 << 16):
+        x, y = a[new][k : k + (1 << 16)], b[new][k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y)], names=["bucket", "a", "b"])
 
 
 def copy_classes(images: DataFrame) -> DataFrame:
@@ -274,28 +415,28 @@ def copy_classes(images: DataFrame) -> DataFrame:
 
     class_id is the smallest media_id of those that links connect; images of the same pixels are one node. Null,
     empty and unreadable images are a class of their own, as are images without corners, unless their pixels
-    are the same. Pairs meet by a table entry with like descriptors; in entries of many images
+    are the same. Pairs meet by a table entry with like descriptors; where many images hold one of these,
     the pairs that are linked through others already are left out, all others are compared.
     """
     described = stored(_described(images), "corners")
-    nodes = stored(described.where("node IS NOT NULL").groupBy("node").agg(F.min("media_id").alias("media_id"), F.first("corners").alias("corners"), F.first("bits").alias("bits")), "nodes")
-    sizes = _entries(nodes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(_entries(nodes).join(sizes, "key"), "entries")
-    few = met.where(F.col("n") <= SMALL)
-    one, two = (few.select("key", F.col("node").alias(x), F.col("fold").alias(f"f{x}")) for x in "ab")
-    like = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= HAMMING
-    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & like).select("a", "b")
-    large = stored(one_of_equal(met.where(F.col("n") > SMALL).select(F.col("key").alias("bucket"), "node").distinct()), "large")
-    pivots, starred = stars(large, met.groupBy("node").agg(F.sum("n").alias("rank")))
+    readable = described.where("digest IS NOT NULL")
+    heads = stored(readable.groupBy("digest").agg(F.min("media_id").alias("media_id"), F.min("node").alias("node"), F.count("*").alias("n")), "heads")
+    # Rows with the pixels of an earlier one are few or many; descriptors of the rest are read where they lie.
+    again = stored(readable.select("digest", F.col("node").alias("other")).join(heads.where("n > 1"), "digest").where("other <> node").select(F.col("other").alias("node")), "again")
+    nodes = readable.select("node", "corners", "bits").join(again, "node", "left_anti")
+    met = stored(_met(nodes), "met")
+    pairs = met.where("bucket IS NULL").select("a", "b")
+    large = stored(one_of_equal(met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node")).distinct()), "large")
+    pivots, starred = stars(large, large.groupBy("node").agg(F.count("*").alias("rank")))
     links = stored(_linked(pairs.unionByName(starred).distinct(), nodes), "links")
     if not large.isEmpty():
         links = links.unionByName(stored(_across(large, pivots, components(links), nodes), "links"))
     groups = components(links)
-    whole = nodes.select("node", "media_id").join(groups, "node", "left").select("node", "media_id", F.coalesce("component", "node").alias("component"))
+    whole = heads.select("digest", "media_id", "node").join(groups, "node", "left").select("digest", "media_id", F.coalesce("component", "node").alias("component"))
     named = whole.groupBy("component").agg(F.min("media_id").alias("class_id"))
-    classes = whole.join(named, "component").select("node", "class_id")
-    out = described.select("media_id", "node", (F.octet_length("corners") / 16).cast("int").alias("n_corners")).join(classes, "node", "left")
-    return out.select("media_id", F.when(F.col("node").isNull(), F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), "n_corners")
+    classes = whole.join(named, "component").select("digest", "class_id")
+    out = described.select("media_id", "digest", (F.octet_length("corners") / 16).cast("int").alias("n_corners")).join(classes, "digest", "left")
+    return out.select("media_id", F.when(F.col("digest").isNull(), F.col("media_id")).otherwise(F.col("class_id")).alias("class_id"), "n_corners")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -303,7 +444,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [[np.frombuffer(x, k).reshape(-1, n) for x in batch.column(c).to_pylist()] for c, k, n in (("ca", np.float32, 4), ("ba", np.uint32, WORDS), ("cb", np.float32, 4), ("bb", np.uint32, WORDS))]
+            read = [[_corners(x) if c[0] == "c" else np.frombuffer(x, np.uint32).reshape(-1, WORDS) for x in batch.column(c).to_pylist()] for c in ("ca", "ba", "cb", "bb")]
             keep = [agreeing((ca, ba), (cb, bb), AGREE) >= AGREE for ca, ba, cb, bb in zip(*read, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
@@ -318,7 +459,7 @@ def _across(large: DataFrame, pivots: DataFrame, groups: DataFrame, nodes: DataF
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")
         nodes = rows.column("node").to_pylist()
-        corners = [np.frombuffer(x, np.float32).reshape(-1, 4) for x in rows.column("corners").to_pylist()]
+        corners = [_corners(x) for x in rows.column("corners").to_pylist()]
         bits = [np.frombuffer(x, np.uint32).reshape(-1, WORDS) for x in rows.column("bits").to_pylist()]
         label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
         found = _joining(corners, bits, label, rows.column("block").to_numpy() == key[2].as_py(), key[1] == key[2])
@@ -342,7 +483,7 @@ def _joining(corners: list[np.ndarray], bits: list[np.ndarray], label: np.ndarra
         first = np.cumsum(size[some]) - size[some]
         of_i, of_j = np.zeros(len(some), np.int64), np.zeros(len(other), bool)
         for a in range(0, len(bits[i]), 16):
-            like = np.bitwise_count(bits[i][a : a + 16, None] ^ other[None]).sum(axis=2) <= HAMMING
+            like = _apart(bits[i][a : a + 16, None], other[None]) <= HAMMING
             of_i += np.logical_or.reduceat(like, first, axis=1).sum(axis=0)
             of_j |= like.any(axis=0)
         enough = (of_i >= AGREE) & (np.add.reduceat(of_j, first, dtype=np.int64) >= AGREE)

@@ -258,6 +258,33 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, block):
     assert all(top(got[i]) == top(i) for i in pixels)  # no class joins what no links join
 
 
+def test_descriptions_do_not_depend_on_what_lies_beside():
+    """Pictures of several sizes, some too small for corners, described together and each alone."""
+    rng = np.random.default_rng(9)
+    images = [scene(rng)[: rng.integers(2, 160), : rng.integers(2, 200)] for _ in range(60)] + [np.full((50, 61), 9.0), scene(rng)[:21, :21], rng.integers(0, 255, (200, 83)).astype(np.uint8)]
+    for (corners, bits), image in zip(image_copies.describe_all(images), images, strict=True):
+        alone = image_copies.describe(image)
+        assert (corners == alone[0]).all() and (bits == alone[1]).all() and len(corners) == len(alone[0])
+
+
+def test_large_entries_give_rows_in_proportion_and_every_like_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**31), 2**31, 40).astype(np.int32)
+    near = (base[0] ^ (1 << rng.integers(0, 31, 2000))).astype(np.int32)
+    for fold in (np.sort(near), np.sort(np.append(base, base)), np.sort(np.concatenate([np.repeat(base[0], 300), base, near[:5]])), np.sort(rng.integers(-(2**31), 2**31, 500).astype(np.int32))):
+        node = rng.permutation(len(fold)).astype(np.int64)
+        out = pa.Table.from_batches(image_copies._large_entry(7, node, fold), pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])).to_pylist()
+        assert len(out) <= 2 * len(fold)
+        met, buckets = {(r["a"], r["b"]) for r in out if r["bucket"] is None}, {}
+        for r in out:
+            if r["bucket"] is not None:
+                buckets.setdefault(r["bucket"], set()).add(r["a"])
+        like = np.argwhere(np.bitwise_count(fold[:, None] ^ fold[None]) <= image_copies.HAMMING)
+        for i, j in like[like[:, 0] < like[:, 1]].tolist():
+            pair = tuple(sorted((node[i], node[j])))
+            assert pair in met or any({*pair} <= b for b in buckets.values())
+
+
 def test_joining_pairs_within_and_across_blocks():
     rng = np.random.default_rng(8)
     base = [image_copies.describe(scene(rng)) for _ in range(4)]
