@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ HAMMING, AGREE, OFF = 7, 4, 3.0
 TURN = 0.4
 #: Of table entries with more descriptors than this, the like ones of so many images are compared with a pivot, then in tiles of two blocks with so many descriptor bytes.
 SMALL, BLOCK = 16, 96 << 10
+#: Matches that are held, or pairs of them that are compared, at once.
+CELLS = 1 << 16
 #: Pixels that are described together.
 SHEET = 1 << 17
 #: Larger pictures count as unreadable, since a task decodes a picture whole.
@@ -122,14 +125,21 @@ _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1].reshape(2, -1)
 _DISC = _GRID[:, (_GRID**2).sum(axis=0) <= RADIUS**2]
 
 
-def _box(a: np.ndarray) -> np.ndarray:
-    """Sums over 3 x 3 pixels of each plane; zero on the border, where no corner is looked for."""
-    out = np.zeros_like(a)
-    b = a[..., :-2, :] + a[..., 1:-1, :]
-    b += a[..., 2:, :]
-    inner = out[..., 1:-1, 1:-1]
-    np.add(b[..., :-2], b[..., 1:-1], out=inner)
-    inner += b[..., 2:]
+@lru_cache(256)
+def _steps(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """_DISC and TESTS as steps between pixels that lie row after row."""
+    return _DISC[0] * width + _DISC[1], TESTS[..., 1] * width + TESTS[..., 0]
+
+
+def _box(a: np.ndarray, width: int) -> np.ndarray:
+    """Sums over 3 x 3 of the pixels given row after row, for all but the first and last width + 1.
+
+    In one run over all rows; what it takes from the next row lies on the border, where no corner is looked for.
+    """
+    b = a[: -2 * width] + a[width:-width]
+    b += a[2 * width :]
+    out = b[:-2] + b[1:-1]
+    out += b[2:]
     return out
 
 
@@ -143,14 +153,37 @@ def _alone(y: np.ndarray, x: np.ndarray, strength: np.ndarray, reach: int) -> np
     top = np.zeros(int(cell.max()) + 1, strength.dtype)
     np.maximum.at(top, cell, strength)
     some = np.flatnonzero(strength >= top[cell])
-    for a in range(0, len(some), 16):
-        own = some[a : a + 16]
-        near = slice(*np.searchsorted(y, [y[own[0]] - reach, y[own[-1]] + reach + 1]))
-        close = (np.abs(y[own, None] - y[near]) <= reach) & (np.abs(x[own, None] - x[near]) <= reach)
-        out[own] = ~(close & (strength[near] > strength[own, None])).any(axis=1)
+    # These are compared with each other first, then with all that are stronger than the weakest left.
+    some = some[_unmatched(y, x, strength, some, some, reach)]
+    stronger = np.flatnonzero(strength > strength[some].min())
+    out[some[_unmatched(y, x, strength, some, stronger, reach)]] = True
     return out
 
 
+def _unmatched(y: np.ndarray, x: np.ndarray, strength: np.ndarray, some: np.ndarray, others: np.ndarray, reach: int) -> np.ndarray:
+    """True for those of some that no stronger one of others is within reach of; both are places, in the order of rows."""
+    out, (oy, ox, os) = np.ones(len(some), bool), (v[others] for v in (y, x, strength))
+    first, last = np.searchsorted(oy, y[some] - reach), np.searchsorted(oy, y[some] + reach + 1)
+    for a in range(0, len(some), 8):
+        own, near = some[a : a + 8, None], slice(first[a], last[min(a + 7, len(some) - 1)])
+        close = os[near] > strength[own]
+        close &= np.abs(y[own] - oy[near]) <= reach
+        close &= np.abs(x[own] - ox[near]) <= reach
+        out[a : a + 8] = ~close.any(axis=1)
+    return out
+
+
+def _may_lead(of: np.ndarray, strength: np.ndarray, most: int) -> np.ndarray:
+    """True for the `most` strongest peaks of each image and few others; `of` is in order."""
+    start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    size = np.diff(np.append(start, len(of)))
+    # So many parts of an image have a peak each at least as strong as the weakest of their strongest.
+    parts = np.minimum(size, most)
+    number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    strongest = np.maximum.reduceat(strength, np.repeat(start, parts) + number * np.repeat(size, parts) // np.repeat(parts, parts))
+    return strength >= np.repeat(np.minimum.reduceat(strongest, np.cumsum(parts) - parts), size)
+
+
 def table_keys(bits: np.ndarray) -> np.ndarray:
     """Keys (n, TABLES) of descriptors, which name their table too."""
     each = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), WORDS * 4), axis=1, bitorder="little")
@@ -181,8 +214,9 @@ def describe_all(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]
 def _describe_sheet(images: list[np.ndarray], which: list[int], out: list) -> None:
     """Puts into out what describe gives for these images. Nothing within RADIUS + 1 of an image's border is a corner, so none depends on its neighbours."""
     h, w = (np.array([images[i].shape[axis] for i in which]) for axis in (0, 1))
-    top = np.cumsum(np.r_[0, (h + 3) // 4 * 4])  # a multiple of 4, so that halving keeps images apart
-    image = np.zeros((top[-1], -(-w.max() // 4) * 4), np.float32)
+    unit = 1 << (len(CORNERS) - 1)
+    top = np.cumsum(np.r_[0, -(-h // unit) * unit])  # a multiple, so that halving keeps images apart
+    image = np.zeros((top[-1], -(-w.max() // unit) * unit), np.float32)
     for i, y in zip(which, top.tolist(), strict=False):
         image[y : y + images[i].shape[0], : images[i].shape[1]] = images[i]
     own, corners, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4))], [np.zeros((0, WORDS), np.uint32)]
@@ -191,49 +225,62 @@ def _describe_sheet(images: list[np.ndarray], which: list[int], out: list) -> No
         if level:
             image = (image[::2, ::2] + image[1::2, ::2] + image[::2, 1::2] + image[1::2, 1::2]) / 4
             h, w, top = h // 2, w // 2, top // 2
-            if image.shape[0] % 2 or image.shape[1] % 2:
-                image = np.pad(image, ((0, image.shape[0] % 2), (0, image.shape[1] % 2)))
-        if (np.minimum(h, w) < 2 * RADIUS + 3).all():
+        fits = np.minimum(h, w) >= 2 * RADIUS + 3
+        if not fits.any():
             break
-        smooth = _box(image)
+        width = image.shape[1]
+        smooth = _box(image.ravel(), width)  # from pixel `width + 1` on, as each of the next two steps starts so much later
         smooth *= np.float32(1 / 9)
-        products = np.zeros((3, *smooth.shape), np.float32)
-        dy, dx = smooth[2:, 1:-1] - smooth[:-2, 1:-1], smooth[1:-1, 2:] - smooth[1:-1, :-2]
-        for plane, (p, q) in zip(products, ((dx, dx), (dy, dy), (dx, dy)), strict=True):
-            np.multiply(p, q, out=plane[1:-1, 1:-1])
-        xx, yy, xy = _box(products[:, edge - 2 : 2 - edge, edge - 2 : 2 - edge])[:, 1:-1, 1:-1]
-        half = (xx - yy) / 2
+        dy, dx = smooth[2 * width + 1 : -1] - smooth[1 : -2 * width - 1], smooth[width + 2 : -width] - smooth[width:-width - 2]
+        xx, yy = _box(dx * dx, width), _box(dy * dy, width)
+        dx *= dy
+        half = _box(dx, width)
         half *= half
-        half += xy * xy
-        strength = (xx + yy) / 2 - np.sqrt(half)  # the smaller eigenvalue
-        inner = strength[1:-1, 1:-1]
-        across = np.maximum(np.maximum(strength[:-2], strength[2:]), strength[1:-1])
-        highest = np.maximum(np.maximum(across[:, :-2], across[:, 2:]), across[:, 1:-1])
-        y, x = np.nonzero((inner >= highest) & (inner > 25))
-        strength = inner[y, x]
-        y, x = y + edge, x + edge
-        of = np.searchsorted(top, y, side="right") - 1
+        apart = xx - yy
+        apart /= 2
+        apart *= apart
+        half += apart
+        strength = xx
+        strength += yy
+        strength /= 2
+        strength -= np.sqrt(half, out=half)  # the smaller eigenvalue
+        across = np.maximum(strength[: -2 * width], strength[2 * width :])
+        np.maximum(across, strength[width:-width], out=across)
+        inner = strength[width + 1 : -width - 1]
+        highest = np.maximum(across[:-2], across[2:])
+        np.maximum(highest, across[1:-1], out=highest)
+        peak = inner >= highest
+        peak &= inner > 25
+        at = np.flatnonzero(peak)
+        strength = inner[at]
+        at += 4 * (width + 1)
+        y = at // width
+        x = at - y * width
+        of = np.searchsorted(top, np.arange(image.shape[0]), side="right")[y] - 1
         row = y - top[of]
-        inside = (row >= edge) & (row < h[of] - edge) & (x < w[of] - edge) & (np.minimum(h, w)[of] >= 2 * RADIUS + 3)
-        y, x, of, row, strength = y[inside], x[inside], of[inside], row[inside], strength[inside]
-        if not len(y):
+        inside = (row >= edge) & (row < (h - edge)[of]) & (x >= edge) & (x < (w - edge)[of]) & fits[of]
+        at, x, of, row, strength = at[inside], x[inside], of[inside], row[inside], strength[inside]
+        if not len(at):
             continue
         # Cells of different images are kept apart.
         apart = np.cumsum(np.r_[0, (h // (APART + 1) + 2) * (APART + 1)])
         alone = _alone(row + apart[of], x, strength, APART)
+        some = np.flatnonzero(alone | _may_lead(of, strength, most))
+        at, x, of, row, strength, alone = at[some], x[some], of[some], row[some], strength[some], alone[some]
         order = np.lexsort((-strength, of))
         place = np.arange(len(order)) - np.searchsorted(of, of)  # of is in order, before and after
         order = order[alone[order] | (place < most)]
-        y, x, of, row = y[order], x[order], of[order], row[order]
-        for a in range(0, len(y), 2048):
+        at, x, of, row = at[order], x[order], of[order], row[order]
+        disc, tests = _steps(width)
+        for a in range(0, len(at), 2048):
             part = slice(a, a + 2048)
-            patch = smooth[y[part, None] + _DISC[0], x[part, None] + _DISC[1]]
-            angle = np.arctan2((patch * _DISC[0]).sum(axis=1), (patch * _DISC[1]).sum(axis=1))
+            centre = at[part, None] - (width + 1)
+            patch = smooth.take(centre + disc).astype(np.float64)
+            angle = np.arctan2(*(np.einsum("ij,j->i", patch, d.astype(np.float64)) for d in _DISC))
             turn = np.rint(angle / (2 * np.pi / 32)).astype(np.int64) % 32
-            at = TESTS[turn]
-            value = smooth[y[part, None, None] + at[..., 1], x[part, None, None] + at[..., 0]]
-            tests = value[..., 0] < value[..., 1]
-            bits.append(np.packbits(tests.reshape(len(turn), WORDS, 32), axis=2, bitorder="little").view(np.uint32)[..., 0])
+            value = smooth.take(tests[turn] + centre[..., None])
+            tested = value[..., 0] < value[..., 1]
+            bits.append(np.packbits(tested.reshape(len(turn), WORDS, 32), axis=2, bitorder="little").view(np.uint32)[..., 0])
             scale = 2.0**level
             corners.append(np.stack([(x[part] + 0.5) * scale, (row[part] + 0.5) * scale, np.full(len(turn), scale), angle], axis=1))
             own.append(of[part])
@@ -283,10 +330,9 @@ def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 def _like(ba: np.ndarray, bb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the descriptors of two images that are within HAMMING, some rows at a time."""
     step = max(1, (1 << 20) // max(1, len(bb)))
-    found = [np.nonzero(_apart(ba[k : k + step, None], bb[None]) <= HAMMING) for k in range(0, len(ba), step)]
-    if len(found) == 1:
-        return found[0]
-    return np.concatenate([i + k * step for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
+    found = [np.flatnonzero(_apart(ba[k : k + step, None], bb[None]) <= HAMMING) + k * len(bb) for k in range(0, len(ba), step)]
+    i, j = np.divmod(found[0] if len(found) == 1 else np.concatenate([*found, np.zeros(0, np.int64)]), max(1, len(bb)))
+    return i, j
 
 
 def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], enough: float = np.inf) -> int:
@@ -311,6 +357,84 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return best
 
 
+def _flat(column: pa.Array, dtype: type, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The binaries of a column one after another, as numbers, and how many corners each has at so many numbers a corner."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // (4 * width)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype), size
+
+
+def _stepped(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, `size` of each, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def _cuts(cost: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows of about that cost together, or of one row."""
+    group = np.cumsum(cost) // most
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    return list(zip(start.tolist(), [*start[1:].tolist(), len(cost)], strict=True))
+
+
+def agreeing_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """For each row of corners and bits of two images (ca, ba, cb, bb): whether agreeing finds AGREE. The matches of several rows are worked on together."""
+    (fa, na), (fb, nb) = _flat(batch["ca"], np.float32, 4), _flat(batch["cb"], np.float32, 4)
+    # Each word of the descriptors lies by itself.
+    wa, wb = (np.asfortranarray(_flat(batch[c], np.uint32, WORDS)[0].reshape(-1, WORDS)) for c in ("ba", "bb"))
+    ea, eb = np.cumsum(na), np.cumsum(nb)
+    # Corners as rows (x, y, scale, angle).
+    xa, xb = (f[_stepped(4 * (e - n), n)[:, None] + np.repeat(n, n)[:, None] * np.arange(4)] for f, n, e in ((fa, na, ea), (fb, nb, eb)))
+    out, rows, first, second, held = np.zeros(len(na), bool), [], [], [], 0
+    for row, (sa, ta, sb, tb) in enumerate(zip((ea - na).tolist(), ea.tolist(), (eb - nb).tolist(), eb.tolist(), strict=True)):
+        i, j = _like(wa[sa:ta], wb[sb:tb])
+        if len(i) >= AGREE:
+            rows.append(row)
+            first.append(i + sa)
+            second.append(j + sb)
+            held += len(i)
+        if rows and (held > CELLS or row == len(na) - 1):
+            of = np.repeat(np.arange(len(rows)), [len(i) for i in first])
+            out[rows] = _agreeing_matches(xa, xb, np.concatenate(first), np.concatenate(second), of, len(rows))
+            rows, first, second, held = [], [], [], 0
+    return out
+
+
+def _agreeing_matches(xa: np.ndarray, xb: np.ndarray, i: np.ndarray, j: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """Whether AGREE of the matches (i, j) of each row agree, given by row and i."""
+
+    def several(group: np.ndarray, corner: np.ndarray, groups: int) -> np.ndarray:
+        key = np.unique(group * (int(corner.max(initial=0)) + 1) + corner)
+        return np.bincount(key // (int(corner.max(initial=0)) + 1), minlength=groups) >= AGREE
+
+    out = np.zeros(rows, bool)
+    open_ = several(of, i, rows) & several(of, j, rows)
+    keep = open_[of]
+    i, j, of = i[keep], j[keep], of[keep]
+    if not len(of):
+        return out
+    turns, scale = xb[j, 3] - xa[i, 3], xb[j, 2] / xa[i, 2]
+    c, s = scale * np.cos(turns), scale * np.sin(turns)
+    n = np.bincount(of, minlength=rows)
+    first = np.cumsum(n) - n
+    # The transform of each match against all matches of its row, until one agrees: first those of each row's first match, then of more.
+    done, step = 0, 1
+    while len(rest := np.flatnonzero((n > done) & ~out)):
+        tried = _stepped(first[rest] + done, np.minimum(n[rest] - done, step))
+        for a, b in _cuts(n[of[tried]], CELLS):
+            own = tried[a:b][~out[of[tried[a:b]]]]
+            size = n[of[own]]
+            m, place = _stepped(first[of[own]], size), np.repeat(np.arange(len(own)), size)
+            k = own[place]
+            dx, dy = xa[i[m], 0] - xa[i[k], 0], xa[i[m], 1] - xa[i[k], 1]
+            x, y = c[k] * dx - s[k] * dy + xb[j[k], 0], s[k] * dx + c[k] * dy + xb[j[k], 1]
+            near = (x - xb[j[m], 0]) ** 2 + (y - xb[j[m], 1]) ** 2 <= (OFF * np.maximum(1.0, scale[k]) * xb[j[m], 2]) ** 2
+            near &= np.cos(turns[m] - turns[k]) >= np.cos(TURN)
+            m, place = m[near], place[near]
+            agree = several(place, i[m], len(own)) & several(place, j[m], len(own))
+            out[of[own[agree]]] = True
+        done, step = done + step, 2 * step
+    return out
+
+
 def _entries(nodes: DataFrame) -> DataFrame:
     """key, node, fold for each table and corner of the nodes, like ones once; folds differ in no more bits than descriptors."""
 
@@ -366,31 +490,39 @@ def _meetings(entries: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (first + i).ravel(), (first + j).ravel()
         like = np.bitwise_count(fold[a] ^ fold[b]) <= HAMMING
         pairs.append(np.stack([node[a[like]], node[b[like]]]))
-    yield from _pair_rows(np.concatenate(pairs, axis=1))
+    found = [*_pair_rows(np.concatenate(pairs, axis=1))]
     for e in np.flatnonzero(n > SMALL).tolist():
         own = slice(start[e], start[e] + n[e])
-        yield from _large_entry(int(key[start[e]]), node[own], fold[own])
+        found += _large_entry(int(key[start[e]]), node[own], fold[own])
+    if found:
+        yield from pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
 def _large_entry(key: int, node: np.ndarray, fold: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What _met says of one entry, given by fold: pairs while they are no more than its rows, else buckets of like folds that chain together."""
     at = np.flatnonzero(np.append(True, fold[1:] != fold[:-1]))
     some, size = fold[at], np.diff(np.append(at, len(fold)))
-    label, pairs, total = np.arange(len(some)), [], 0
-    for g in range(len(some)):
-        like = g + np.flatnonzero(np.bitwise_count(some[g] ^ some[g:]) <= HAMMING)
-        label[np.isin(label, label[like])] = label[like].min()
-        if size[g] > SMALL:
-            like = like[1:]  # members of one fold that are many are a bucket
-        total += int(size[g]) * int(size[like].sum()) - (int(size[g]) * (int(size[g]) + 1) // 2 if size[g] <= SMALL else 0)
+    label, met, total = np.arange(len(some)), [], 0
+    for g in range(0, len(some), 64):
+        i, j = np.nonzero(np.bitwise_count(some[g : g + 64, None] ^ some[None, g:]) <= HAMMING)
+        one, two = i[i <= j] + g, j[i <= j] + g
+        for k in np.unique(one[label[one] != label[two]]).tolist():
+            chained = label[two[slice(*np.searchsorted(one, [k, k + 1]))]]  # k's own among them
+            hit = np.zeros(len(some), bool)
+            hit[chained] = True
+            label[hit[label]] = chained.min()
+        keep = (one < two) | (size[one] <= SMALL)  # members of one fold that are many are a bucket
+        one, two = one[keep], two[keep]
+        total += int(np.where(one < two, size[one] * size[two], size[one] * (size[one] - 1) // 2).sum())
         if total <= len(node):
-            pairs += [(g, h) for h in like.tolist()]
+            met.append((one, two))
     if total <= len(node):
-        for g, h in pairs:
-            one, two = (node[at[k] : at[k] + size[k]] for k in (g, h))
-            i, j = np.triu_indices(len(one), 1) if g == h else np.indices((len(one), len(two))).reshape(2, -1)
-            if len(i):
-                yield from _pair_rows(np.stack([one[i], two[j]]))
+        one, two = (np.concatenate(x) for x in zip(*met, strict=True))
+        cells = size[one] * size[two]
+        i, j = np.divmod(_stepped(np.zeros(len(one), np.int64), cells), np.repeat(size[two], cells))
+        one, two = np.repeat(one, cells), np.repeat(two, cells)
+        keep = (one < two) | (i < j)
+        yield from _pair_rows(np.stack([node[at[one] + i], node[at[two] + j]])[:, keep])
         label = np.where(size > SMALL, np.arange(len(some)), -1)
     of = np.repeat(label, size)
     for k in np.unique(label[label >= 0]).tolist():
@@ -444,9 +576,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [[_corners(x) if c[0] == "c" else np.frombuffer(x, np.uint32).reshape(-1, WORDS) for x in batch.column(c).to_pylist()] for c in ("ca", "ba", "cb", "bb")]
-            keep = [agreeing((ca, ba), (cb, bb), AGREE) >= AGREE for ca, ba, cb, bb in zip(*read, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            if batch.num_rows:
+                yield batch.filter(pa.array(agreeing_rows(batch))).select(["a", "b"])
 
     a, b = (nodes.select(F.col("node").alias(x), F.col("corners").alias(f"c{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "ba", "cb", "bb").mapInArrow(run, "a long, b long")
@@ -479,7 +610,7 @@ def _joining(corners: list[np.ndarray], bits: list[np.ndarray], label: np.ndarra
         if not open_.any():
             continue
         some = np.flatnonzero(open_)
-        other = flat[np.repeat(open_, size)]
+        other = np.asfortranarray(flat[np.repeat(open_, size)])
         first = np.cumsum(size[some]) - size[some]
         of_i, of_j = np.zeros(len(some), np.int64), np.zeros(len(other), bool)
         for a in range(0, len(bits[i]), 16):
@@ -502,7 +633,7 @@ SHADES = mix(np.arange(1, TILE * TILE + 1, dtype=np.uint64)) | np.uint64(1)
 
 def page_text(html: str | Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags out."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(html, r"(?is)<(?:(script|style)\b.*?</\1\s*>|!--.*?-->)", " ")
     return F.regexp_replace(text, r"(?s)<[^>]*>", " ")
 
 
@@ -517,21 +648,35 @@ def previews(pages: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_by_bytes(batches, text, 1 << 20):
-            images = [_preview(t) for t in batch.column(at).to_pylist()]
+            images = _previews(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(images, pa.binary())], names=[*batch.schema.names, "image"])
 
     return kept.mapInArrow(run, kept.withColumn("image", F.lit(None).cast("binary")).schema)
 
 
 def _preview(text: str | None) -> bytes | None:
-    words = text.split() if text else []
-    if not words:
-        return None
-    data = np.frombuffer(" ".join(words).encode("utf-8", "replace"), np.uint8)
+    return _previews([text])[0]
+
+
+def _previews(texts: list[str | None]) -> list[bytes | None]:
+    """The previews of several texts; all their words are hashed and shaded together."""
+    words = [text.split() if text else [] for text in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    if not n.any():
+        return [None] * len(texts)
+    data = np.frombuffer(" ".join(" ".join(w) for w in words if w).encode("utf-8", "replace"), np.uint8)
     gaps = np.flatnonzero(data == 32)
-    seed = ByteHash(data).slices(np.append(0, gaps + 1), np.append(gaps, len(data)))[:, None]
-    rows = -(-len(seed) // ACROSS)
-    blank = np.zeros(rows * ACROSS * TILE * TILE, np.uint8)
-    shades = (seed * SHADES >> np.uint64(61)).astype(np.uint8).ravel()
-    blank[: shades.size] = shades * np.uint8(36)
-    return pgm(blank.reshape(rows, ACROSS, TILE, TILE).transpose(0, 2, 1, 3).reshape(rows * TILE, ACROSS * TILE))
+    rows = -(-n // ACROSS)
+    first = np.cumsum(rows) - rows
+    seed = np.zeros(int(rows.sum()) * ACROSS, np.uint64)  # tiles without a word stay black
+    seed[np.arange(int(n.sum())) + np.repeat(first * ACROSS - np.cumsum(n) + n, n)] = ByteHash(data).slices(np.append(0, gaps + 1), np.append(gaps, len(data)))
+    seed = seed.reshape(-1, ACROSS)
+    pixels = np.empty((len(seed), TILE, ACROSS * TILE), np.uint8)
+    shades = np.tile(SHADES.reshape(TILE, TILE), ACROSS)
+    for a in range(0, len(seed), 256):
+        wide = np.repeat(seed[a : a + 256], TILE, axis=1)
+        for line in range(TILE):
+            pixels[a : a + 256, line] = (wide * shades[line]) >> np.uint64(61)
+    pixels *= np.uint8(36)
+    pixels = pixels.reshape(-1, ACROSS * TILE)
+    return [pgm(pixels[a * TILE : (a + r) * TILE]) if r else None for a, r in zip(first.tolist(), rows.tolist(), strict=True)]

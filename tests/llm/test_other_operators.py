@@ -285,6 +285,54 @@ def test_large_entries_give_rows_in_proportion_and_every_like_pair():
             assert pair in met or any({*pair} <= b for b in buckets.values())
 
 
+def test_pairs_judged_together_are_those_judged_alone(monkeypatch):
+    """Rows whose first transform fails, without corners and of one picture many times; few matches are held at once or all of them."""
+    rng = np.random.default_rng(12)
+    whole = scene(rng)
+    pictures = [image_copies.describe(p) for p in (whole, whole[10:, 20:], np.rot90(whole).copy(), scene(rng), np.zeros((5, 5)))]
+    mixed = [(c[order], b[order]) for c, b in pictures for order in (np.arange(len(c)), rng.permutation(len(c)))]
+    noisy = [(np.concatenate([c[rng.permutation(len(c))], c]), np.concatenate([b, b])) for c, b in mixed]
+    # As they are stored, corners are of 32 bits.
+    noisy = [(c.astype(np.float32), b) for c, b in noisy + mixed]
+    rows = [(one, two) for one in noisy for two in noisy]
+    columns = {c: [f(r[k]) for r in rows] for k, ends in enumerate("ab") for c, f in ((f"c{ends}", lambda r: r[0].T.astype(np.float32).tobytes()), (f"b{ends}", lambda r: r[1].tobytes()))}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary()) for c, v in columns.items()})
+    want = [image_copies.agreeing(a, b, image_copies.AGREE) >= image_copies.AGREE for a, b in rows]
+    assert 10 < sum(want) < len(rows) - 10
+    for cells in (1, 500, 1 << 16):
+        monkeypatch.setattr(image_copies, "CELLS", cells)
+        assert image_copies.agreeing_rows(batch).tolist() == want
+    assert not len(image_copies.agreeing_rows(batch.slice(0, 0)))
+
+
+def test_pairs_of_many_large_entries_come_in_few_batches():
+    rng = np.random.default_rng(13)
+    key = np.repeat(np.arange(300), 20)
+    fold = np.sort(rng.integers(-(2**31), 2**31, (300, 10)), axis=1).repeat(2, axis=1).ravel()
+    entries = pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(rng.permutation(len(key)), pa.int64()), pa.array(fold, pa.int32())], names=["key", "node", "fold"])
+    out = list(image_copies._meetings([entries]))
+    assert sum(b.num_rows for b in out) >= 3000
+    assert len(out) <= 2
+
+
+def test_previews_drawn_together_are_those_drawn_alone():
+    words = ["", None, "  ", "one", "é\ud800 two", " ".join(f"w{i}" for i in range(5000)), "one " * 16, "one " * 17]
+    together = image_copies._previews(words)
+    assert together == [image_copies._preview(w) for w in words]
+    page = image_copies.decode(together[6])
+    assert page.shape == (5, 80) and (page[:, :5] == page[:, 75:]).all() and (image_copies.decode(together[7])[5:, 5:] == 0).all()
+
+
+def test_peaks_that_may_lead_hold_the_strongest_of_each_image():
+    rng = np.random.default_rng(14)
+    of = np.sort(rng.choice([0, 2, 3, 7, 8], 400))
+    strength = rng.integers(0, 60, 400).astype(np.float32)
+    may = image_copies._may_lead(of, strength, 10)
+    order = np.lexsort((-strength, of))
+    lead = order[np.arange(400) - np.searchsorted(of, of) < 10]
+    assert may[lead].all() and may.sum() < 300
+
+
 def test_joining_pairs_within_and_across_blocks():
     rng = np.random.default_rng(8)
     base = [image_copies.describe(scene(rng)) for _ in range(4)]
