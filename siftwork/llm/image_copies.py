@@ -372,7 +372,7 @@ def _cuts(cost: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Runs of rows of about that cost together, or of one row."""
     group = np.cumsum(cost) // most
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
-    return list(zip(start.tolist(), [*start[1:].tolist(), len(cost)], strict=True))
+    return list(zip(start.tolist(), np.append(start, len(cost))[1:].tolist(), strict=True))
 
 
 def agreeing_rows(batch: pa.RecordBatch) -> np.ndarray:
@@ -576,8 +576,10 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(agreeing_rows(batch))).select(["a", "b"])
+            size = sum(pc.binary_length(batch[c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ca", "cb"))
+            for p, q in _cuts(size, 8 << 20):  # pictures of many corners come a few at a time
+                part = batch.slice(p, q - p)
+                yield part.filter(pa.array(agreeing_rows(part))).select(["a", "b"])
 
     a, b = (nodes.select(F.col("node").alias(x), F.col("corners").alias(f"c{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "ba", "cb", "bb").mapInArrow(run, "a long, b long")

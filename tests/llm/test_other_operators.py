@@ -305,6 +305,14 @@ def test_pairs_judged_together_are_those_judged_alone(monkeypatch):
     assert not len(image_copies.agreeing_rows(batch.slice(0, 0)))
 
 
+def test_runs_of_bounded_cost_hold_every_row():
+    assert image_copies._cuts(np.zeros(0, np.int64), 5) == []
+    for cost in ([1, 2, 30, 1, 1, 1, 1, 40], [0, 0, 0], [9]):
+        cuts = image_copies._cuts(np.array(cost), 5)
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(len(cost)))
+        assert all(sum(cost[a + 1 : b]) < 5 for a, b in cuts)
+
+
 def test_pairs_of_many_large_entries_come_in_few_batches():
     rng = np.random.default_rng(13)
     key = np.repeat(np.arange(300), 20)
